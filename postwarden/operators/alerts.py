@@ -12,7 +12,7 @@ def volume_spikes(log: DataFrame, threshold: float = 0.25) -> DataFrame:
     """Hours whose volume per label exceeds the previous hour's by more than ``threshold``.
 
     The windows run over hourly counts, one row per hour and label.  An hour
-    without mails counts as zero, so a spike is always against the hour before.
+    that follows one without mails has no base and raises nothing.
     """
     w = Window.partitionBy("predicted_label").orderBy("hour")
     adjacent = F.lag("hour").over(w) == F.col("hour") - F.expr("INTERVAL 1 HOUR")

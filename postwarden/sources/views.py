@@ -84,10 +84,10 @@ TABLES = {
 }
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One given table.  Text tables get the parallelism that per-character work needs."""
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """One given table; ``spread`` readies text tables for per-character work."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread_small(df) if name in TEXT_TABLES else df
+    return spread_small(df) if spread and name in TEXT_TABLES else df
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -100,11 +100,11 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def view(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """One of the views above over the parquet tables in ``folder``."""
     text, needs = TABLES[name]
     return spark.sql(
-        _as_arguments(text, needs), args=None, **{t: table(spark, folder, t) for t in needs}
+        _as_arguments(text, needs), args=None, **{t: table(spark, folder, t, spread) for t in needs}
     )
 
 
