@@ -45,20 +45,39 @@ def occurrences(text, term: str) -> Column:
     return removed.cast("int") if width == 1 else (removed / F.lit(width)).cast("int")
 
 
-def keyword_occurrences(text, terms: Iterable[str]) -> Column:
-    """Sum of occurrences over the list.  Terms may overlap, so each is counted alone."""
-    return _sum(occurrences(text, t) for t in terms)
+def _quoted(term: str) -> str:
+    return "'" + term.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def keywords_present(text, terms: Iterable[str]) -> Column:
+def keyword_occurrences(text: str | Column, terms: Iterable[str]) -> Column:
+    """Sum of occurrences over the list.  Terms may overlap, so each is counted alone.
+
+    Over a named column this is one SQL expression, which is much quicker to
+    build than a tree of several hundred column objects.
+    """
+    if isinstance(text, Column):
+        return _sum(occurrences(text, t) for t in terms)
+    by_width: dict[int, list[str]] = {}
+    for t in terms:
+        by_width.setdefault(len(t.encode()), []).append(t)
+    sums = []
+    for width, group in by_width.items():
+        left = " + ".join(f"octet_length(replace({text}, {_quoted(t)}, ''))" for t in group)
+        sums.append(f"({len(group)} * octet_length({text}) - ({left})) div {width}")
+    return F.expr(f"cast({' + '.join(f'({x})' for x in sums)} as int)")
+
+
+def keywords_present(text: str | Column, terms: Iterable[str]) -> Column:
     """How many of the listed terms occur at least once."""
-    text = _col(text)
-    return _sum(text.contains(F.lit(t)).cast("int") for t in terms)
+    if isinstance(text, Column):
+        return _sum(text.contains(F.lit(t)).cast("int") for t in terms)
+    return F.expr(" + ".join(f"cast(contains({text}, {_quoted(t)}) as int)" for t in terms))
 
 
-def contains_any(text, terms: Iterable[str]) -> Column:
-    text = _col(text)
-    return reduce(lambda a, b: a | b, (text.contains(F.lit(t)) for t in terms))
+def contains_any(text: str | Column, terms: Iterable[str]) -> Column:
+    if isinstance(text, Column):
+        return reduce(lambda a, b: a | b, (text.contains(F.lit(t)) for t in terms))
+    return F.expr("(" + " or ".join(f"contains({text}, {_quoted(t)})" for t in terms) + ")")
 
 
 def chars_in(text, char_class: str) -> Column:

@@ -6,25 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwarden.functions import fixed as fx
-from postwarden.operators.reports import trunc_time
+from postwarden.functions.times import micros, trunc_time
 
 AT = "classified_at"
 BAD_LABELS = ["spam", "phishing"]
 
 
-def _micros(ts: Column) -> Column:
-    """Microseconds of a zone-less timestamp, read as UTC."""
-    day = F.to_date(ts)
-    within = ts - day.cast("timestamp_ntz")
-    seconds = F.extract(F.lit("SECOND"), within)
-    return (
-        F.unix_date(day).cast("long") * 86_400_000_000
-        + F.hour(ts).cast("long") * 3_600_000_000
-        + F.minute(ts).cast("long") * 60_000_000
-        + (seconds * 1_000_000).cast("long")
-    )
-
-
 def trailing_bad_counts(
     log: DataFrame, window_seconds: int = 600, chunk_windows: int = 6
 ) -> DataFrame:
@@ -40,7 +27,7 @@ def trailing_bad_counts(
     chunk = width * chunk_windows
     bad = F.col("predicted_label").isin(BAD_LABELS)
     timed = log.filter(F.col("domain").isNotNull() & (F.col("domain") != "")).withColumn(
-        "us_", _micros(F.col(AT))
+        "us_", micros(F.col(AT))
     ).withColumn("chunk_", F.floor(F.col("us_") / chunk).cast("long"))
     near_end = F.col("us_") >= (F.col("chunk_") + 1) * chunk - width
     homes = F.when(

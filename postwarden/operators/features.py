@@ -89,13 +89,13 @@ def _train(df: DataFrame, keep: list[str], full: bool) -> DataFrame:
     reply = F.regexp_extract(headers, f"(?i)Reply-To:[{fx.WHITE}]*(.*)", 1)
     return_path = F.regexp_extract(headers, f"(?i)Return-Path:[{fx.WHITE}]*<(.*?)>", 1)
     columns |= {
-        "spam_keyword_count": tx.keyword_occurrences(low, fx.TRAIN_SPAM_KEYWORDS),
-        "spam_money_symbol": tx.flag(tx.contains_any(low, fx.TRAIN_MONEY_SYMBOLS)),
-        "spam_pct_off": tx.flag(tx.contains_any(low, ["% off", "off%"])),
+        "spam_keyword_count": tx.keyword_occurrences("lower_", fx.TRAIN_SPAM_KEYWORDS),
+        "spam_money_symbol": tx.flag(tx.contains_any("lower_", fx.TRAIN_MONEY_SYMBOLS)),
+        "spam_pct_off": tx.flag(tx.contains_any("lower_", ["% off", "off%"])),
         "spam_uppercase_words": tx.upper_words(both),
         "spam_exclamation_count": tx.occurrences(both, "!"),
         "spam_has_unsubscribe": tx.flag(low.contains("unsubscribe")),
-        "spam_has_dear_friend": tx.flag(tx.contains_any(low, ["dear friend", "dear valued"])),
+        "spam_has_dear_friend": tx.flag(tx.contains_any("lower_", ["dear friend", "dear valued"])),
         "spam_has_click_here": tx.flag(low.contains("click here")),
         "sender_domain_match": tx.flag(
             (F.col("domain_") != "")
@@ -107,7 +107,7 @@ def _train(df: DataFrame, keep: list[str], full: bool) -> DataFrame:
         "has_display_name": tx.flag(sender.rlike("^[^<]+<")),
         "header_length": F.length(headers),
         "free_email_provider": tx.flag(F.col("domain_").isin(fx.TRAIN_FREE_DOMAINS)),
-        "suspicious_sender": tx.flag(tx.contains_any(sender, fx.TRAIN_SENDER_TOKENS)),
+        "suspicious_sender": tx.flag(tx.contains_any("from_", fx.TRAIN_SENDER_TOKENS)),
         "subject_has_buy_now": tx.flag(F.lower("subject_").contains("buy now")),
     }
     return shared.select(*keep, *_named(columns))
@@ -167,7 +167,7 @@ def serve_inputs(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def _serve_columns() -> list[Column]:
     urls, body, subject = F.col("urls_"), F.col("body_"), F.col("subject_")
-    low, combined = F.col("body_lower_"), F.col("combined_")
+    low = F.col("body_lower_")
     sender, headers = F.col("from_"), F.col("headers_")
     columns = tx.text_stats("body_", "body_squeezed_", "body", SERVE_SPECIAL)
     columns["body_consecutive_caps"] = tx.flag(body.rlike("[A-Z]{4,}"))
@@ -185,9 +185,9 @@ def _serve_columns() -> list[Column]:
     }
     columns |= html_measures("body_", "serve")
     columns |= {
-        "spam_keyword_count": tx.keyword_occurrences(combined, fx.SERVE_SPAM_KEYWORDS),
-        "spam_money_symbol": tx.keyword_occurrences(body, fx.SERVE_MONEY_SYMBOLS)
-        + tx.keyword_occurrences(subject, fx.SERVE_MONEY_SYMBOLS),
+        "spam_keyword_count": tx.keyword_occurrences("combined_", fx.SERVE_SPAM_KEYWORDS),
+        "spam_money_symbol": tx.keyword_occurrences("body_", fx.SERVE_MONEY_SYMBOLS)
+        + tx.keyword_occurrences("subject_", fx.SERVE_MONEY_SYMBOLS),
         "spam_pct_off": tx.pattern_count(body, fx.PERCENT_OFF, "%"),
         "spam_uppercase_words": tx.shouted_words("body_squeezed_"),
         "spam_exclamation_count": tx.occurrences(body, "!") + tx.occurrences(subject, "!"),
@@ -200,8 +200,8 @@ def _serve_columns() -> list[Column]:
         ),
         "has_display_name": tx.flag(headers.contains("<") & headers.contains(">")),
         "header_length": F.length(headers),
-        "free_email_provider": tx.flag(tx.contains_any(sender, fx.SERVE_FREE_NAMES)),
-        "suspicious_sender": tx.flag(tx.contains_any(sender, fx.SERVE_SENDER_TOKENS)),
+        "free_email_provider": tx.flag(tx.contains_any("from_", fx.SERVE_FREE_NAMES)),
+        "suspicious_sender": tx.flag(tx.contains_any("from_", fx.SERVE_SENDER_TOKENS)),
         "subject_has_buy_now": tx.flag(subject.rlike("(?i)free|offer|buy now")),
     }
     return _named(columns)
@@ -250,7 +250,7 @@ def _compact(df: DataFrame, keep: list[str], full: bool) -> DataFrame:
     }
     columns |= {
         "free_email_provider": tx.flag(F.col("domain_").isin(fx.FREE_DOMAINS)),
-        "suspicious_sender": tx.flag(tx.contains_any(F.col("from_"), fx.COMPACT_SENDER_TOKENS)),
+        "suspicious_sender": tx.flag(tx.contains_any("from_", fx.COMPACT_SENDER_TOKENS)),
     }
     return cleaned.select(*keep, *_named(columns))
 

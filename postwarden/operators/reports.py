@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postwarden.functions.times import trunc_time
+
 AT = "classified_at"
 
 
@@ -13,15 +15,6 @@ def look_back(log: DataFrame, as_of: str, hours: int) -> DataFrame:
     return log.filter(F.col(AT) >= F.expr(f"TIMESTAMP_NTZ '{as_of}' - INTERVAL {int(hours)} HOURS"))
 
 
-def trunc_time(ts: Column, unit: str) -> Column:
-    """Start of the hour, day or week; independent of the session time zone."""
-    day = F.to_date(ts)
-    if unit == "week":
-        return F.trunc(day, "week").cast("timestamp_ntz")
-    midnight = day.cast("timestamp_ntz")
-    return midnight if unit == "day" else midnight + F.make_dt_interval(hours=F.hour(ts))
-
-
 def label_shares(df: DataFrame, label: str = "predicted_label") -> DataFrame:
     """Mails and share per label."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("mails"))

@@ -52,8 +52,8 @@ def risk_signals(df: DataFrame) -> DataFrame:
     return df.select(
         "*",
         domain_pattern_risk("from_").alias("domain_reputation"),
-        tx.keywords_present(text, fx.PHISHING_PHRASES).alias("phrases_"),
-        tx.keyword_occurrences(text, fx.URGENCY_TERMS).alias("urgency_"),
+        tx.keywords_present("combined_", fx.PHISHING_PHRASES).alias("phrases_"),
+        tx.keyword_occurrences("combined_", fx.URGENCY_TERMS).alias("urgency_"),
         F.regexp_count(text, F.lit(fx.LARGE_AMOUNT)).alias("amounts_"),
         text.rlike(fx.DISCOUNT).alias("discount_"),
     )
@@ -141,7 +141,7 @@ def _threat_typed(df: DataFrame) -> DataFrame:
     phrases, keywords = F.col("phrases_"), F.col("spam_keyword_count")
     urgency = F.col("urgency_")
     sender = F.col("suspicious_sender") == 1
-    posing = sender & tx.contains_any(F.col("from_"), fx.IMPERSONATED)
+    posing = sender & tx.contains_any("from_", fx.IMPERSONATED)
     phish = _Rules()
     phish.add(F.col("ip_in_url") == 1, 40, _factor(
         "ip_based_url", "critical", None, "URL uses IP address - STRONG phishing indicator"))

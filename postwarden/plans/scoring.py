@@ -91,10 +91,14 @@ def responses(scored: DataFrame, row_id: str = "mail_id") -> DataFrame:
 
 
 def factor_rows(scored: DataFrame, row_id: str = "mail_id") -> DataFrame:
-    """One row per risk factor of a mail."""
-    return scored.filter(F.size("risk_factors") > 0).select(
-        row_id, F.posexplode("risk_factors").alias("position", "factor")
-    ).select(
+    """One row per risk factor of a mail.
+
+    The outer explode keeps Spark from deriving a filter on the factors, which
+    would be pushed below the projections and compute everything twice.
+    """
+    return scored.select(
+        row_id, F.posexplode_outer("risk_factors").alias("position", "factor")
+    ).filter(F.col("position").isNotNull()).select(
         row_id, "position", F.col("factor.type").alias("factor_type"),
         F.col("factor.weight").alias("weight"), F.col("factor.value").alias("value"),
         F.col("factor.description").alias("description"),

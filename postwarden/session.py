@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "postwarden", master: str | None = None, **conf) -> SparkSession:
@@ -25,6 +25,8 @@ def build_session(app: str = "postwarden", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Call-site capture per column object makes building wide plans slow.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -46,3 +48,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Writes a result that several jobs will read to the shared folder and reads it back."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

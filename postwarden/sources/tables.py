@@ -26,7 +26,9 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Quoted CSV that keeps line breaks and outer blanks of texts."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', **keep).csv(path)
 
 
 def write_top_json(df: DataFrame, path: str, by: str, limit: int = 200) -> None:

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from postwarden.functions.times import from_instant, to_instant
 from postwarden.operators import campaigns as cp
 from postwarden.operators.domains import grade_domains
 from postwarden.session import shared_dir
 from postwarden.sources.tables import read_or_empty
 
 AT = "classified_at"
+INSTANT = "instant_"  # watermarks need a time with zone
 
 
 def log_stream(
@@ -78,10 +80,11 @@ def latest_rows(spark: SparkSession, home: str, keys: list[str]) -> DataFrame:
 def hourly_volume_stream(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Mails per hour and label; rows later than ``lateness`` behind the newest are dropped."""
     return (
-        log.withWatermark(AT, lateness)
-        .groupBy(F.window(AT, "1 hour").alias("w_"), "predicted_label")
+        log.select(to_instant(F.col(AT)).alias(INSTANT), "predicted_label")
+        .withWatermark(INSTANT, lateness)
+        .groupBy(F.window(INSTANT, "1 hour").alias("w_"), "predicted_label")
         .agg(F.count(F.lit(1)).alias("mails"))
-        .select(F.col("w_.start").alias("hour"), "predicted_label", "mails")
+        .select(from_instant(F.col("w_.start")).alias("hour"), "predicted_label", "mails")
     )
 
 
@@ -126,7 +129,8 @@ def sender_history(log: DataFrame) -> DataFrame:
 
 def unique_message_stream(log: DataFrame, lateness: str = "1 day") -> DataFrame:
     """First arrival per message id; ids are forgotten once ``lateness`` has passed."""
-    return log.withWatermark(AT, lateness).dropDuplicatesWithinWatermark(["message_id"])
+    timed = log.withColumn(INSTANT, to_instant(F.col(AT))).withWatermark(INSTANT, lateness)
+    return timed.dropDuplicatesWithinWatermark(["message_id"]).drop(INSTANT)
 
 
 # --- campaigns --------------------------------------------------------------
