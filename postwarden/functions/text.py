@@ -118,23 +118,30 @@ def _unescape_all(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-def unescape_html(text, full: bool = False) -> Column:
+def unescape_html(text: str | Column, full: bool = False) -> Column:
     """Decode character references.
 
     The default stays native and knows ``fixed.NAMED_ENTITIES``; ``full`` uses
     the complete HTML5 table, and sends only texts that hold an ``&`` to Python.
     Ampersands are produced last, so that ``&amp;lt;`` yields ``&lt;``.
     """
-    text = _col(text)
+    column = _col(text)
     if full:
-        return F.coalesce(_unescape_all(F.when(text.contains("&"), text)), text)
-    out = text
-    for name, char in fx.NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    out = F.replace(F.replace(out, F.lit("&#39;"), F.lit("'")), F.lit("&#x27;"), F.lit("'"))
+        return F.coalesce(_unescape_all(F.when(column.contains("&"), column)), column)
+    chars = {f"&{name};": char for name, char in fx.NAMED_ENTITIES.items()}
+    chars |= {"&#39;": "'", "&#x27;": "'"}
+    if isinstance(text, Column):
+        out = column
+        for ref, char in chars.items():
+            out = F.replace(out, F.lit(ref), F.lit(char))
+    else:
+        nested = text
+        for ref, char in chars.items():
+            nested = f"replace({nested}, {_quoted(ref)}, {_quoted(char)})"
+        out = F.expr(nested)
     return F.when(
-        text.contains("&"), F.regexp_replace(out, "&(?:amp|#38|#[xX]26);", "&")
-    ).otherwise(text)
+        column.contains("&"), F.regexp_replace(out, "&(?:amp|#38|#[xX]26);", "&")
+    ).otherwise(column)
 
 
 def clean_text(text, order: str = "tags_first", full_entities: bool = False) -> Column:
@@ -158,7 +165,7 @@ def html_to_text(markup) -> Column:
 
 def safe_text(text, full_entities: bool = False) -> Column:
     """Training-side normalisation: decode references, then squeeze white space."""
-    return squeeze(unescape_html(F.coalesce(_col(text), F.lit("")), full_entities))
+    return squeeze(F.coalesce(unescape_html(text, full_entities), F.lit("")))
 
 
 def bytes_to_text(raw) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from postwarden.functions import fixed as fx
 from postwarden.functions.times import micros, trunc_time
+from postwarden.operators.joins import lookup
+from postwarden.session import materialise
 
 AT = "classified_at"
 BAD_LABELS = ["spam", "phishing"]
@@ -99,10 +101,15 @@ def campaign_profile(
     episodes = alert_slots.withColumn("starts_", starts.cast("int")).withColumn(
         "episode", F.sum("starts_").over(order).cast("int")
     )
+    # Used three times below, and far smaller than the log it is computed from.
+    episodes = materialise(episodes, "episodes")
+    place = F.concat_ws("|", "domain", F.col("slot_").cast("string"))
     bad = log.filter(F.col("predicted_label").isin(BAD_LABELS)).withColumn(
         "slot_", trunc_time(F.col(AT), unit)
-    )
-    members = bad.join(episodes.select("domain", "slot_", "episode"), ["domain", "slot_"])
+    ).withColumn("place_", place)
+    members = lookup(
+        bad, episodes.select(place.alias("place_"), "episode"), "place_", "email_id"
+    ).filter(F.col("episode").isNotNull())
     keys = ["domain", "episode"]
     volume = members.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("email_count"),

@@ -34,18 +34,22 @@ def _content_key(columns: list[str]) -> Column:
 
 def dedupe_mail(
     df: DataFrame, keys: list[str] = ("subject", "body"), order: str = "mail_id", min_len: int = 30,
+    ids_unique: bool = False,
 ) -> DataFrame:
     """Keeps the row with the lowest ``order`` of each content; then drops short bodies.
 
-    ``order`` must be unique.  The smallest id per content hash is found with
-    partial aggregation, so a text with very many copies costs one row per
-    task; whole rows are shuffled once, to be matched with the kept ids.
+    The smallest id per content hash is found with partial aggregation, so a
+    text with very many copies costs one row per task; whole rows are shuffled
+    once, by id, to be matched with the kept ids.  Rows that share an id are
+    copies of each other (ids made from content); they are merged, first
+    within each task, unless ``ids_unique`` says there are none.
     """
     long_enough = df.filter(F.length("body") > min_len)
     kept = long_enough.groupBy(_content_key(list(keys)).alias("content_")).agg(
         F.min(order).alias(order)
     ).select(order)
-    return long_enough.join(kept, order, "left_semi")
+    rows = long_enough if ids_unique else long_enough.dropDuplicates([order])
+    return rows.join(kept, order, "left_semi")
 
 
 def unique_messages(df: DataFrame, key: str = "message_id", order: str = "email_id") -> DataFrame:
@@ -85,13 +89,14 @@ def normalise_labels(df: DataFrame, label: str = "label") -> tuple[DataFrame, Da
     )
 
 
-def label_encoding(df: DataFrame, label: str = "label") -> DataFrame:
-    """(label, code) with codes by alphabetical order of the labels present."""
-    names = df.filter(F.col(label).isNotNull()).select(label).distinct()
-    ordered = F.array_sort(F.collect_set(label))
-    return names.agg(ordered.alias("all_")).select(
-        F.posexplode("all_").alias("code", label)
-    ).select(label, "code")
+def label_encoding(
+    df: DataFrame, label: str = "label", known: list[str] = tuple(fx.LABEL_CODES)
+) -> DataFrame:
+    """(label, code) with codes by alphabetical order of the known labels present."""
+    present = df.filter(F.col(label).isin(*known)).agg(
+        F.array_sort(F.collect_set(label)).alias("present_")
+    )
+    return present.select(F.posexplode("present_").alias("code", label)).select(label, "code")
 
 
 # --- exact numbers per class ------------------------------------------------

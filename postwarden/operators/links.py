@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postwarden.functions import fixed as fx
 from postwarden.functions import text as tx
 from postwarden.functions import urls as ur
+from postwarden.operators.joins import small_or_balanced_lookup
 
 
 def analyze_links(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -42,23 +43,19 @@ def registered_domains(
 ) -> DataFrame:
     """Adds ``suffix``, ``domain`` and ``subdomain`` of a host by its longest listed suffix.
 
-    One lookup per suffix length keeps every row in its partition; the suffix
-    table is small, and Spark broadcasts it when its measured size allows.
+    One lookup per suffix length; hosts crowd on few suffixes, so the suffix
+    table is broadcast within its checked size and balanced beyond it.
     ``max_labels`` is the number of labels of the longest suffix.
     """
     listed = suffixes.select(F.lower("suffix").alias("suffix_")).distinct()
-    labels = F.split(F.col(host), r"\.")
-    out = df.withColumn("labels_", labels)
+    out = df.withColumn("labels_", F.split(F.col(host), r"\."))
     for k in range(1, max_labels + 1):
-        tail = F.when(
-            F.size("labels_") >= k,
-            F.array_join(F.slice(F.reverse("labels_"), 1, k), "\x1f"),
-        )
-        parts = F.array_join(F.reverse(F.split(tail, "\x1f")), ".")
-        out = out.withColumn(f"tail_{k}_", parts).join(
-            listed.select(F.col("suffix_").alias(f"hit_{k}_")),
-            F.col(f"tail_{k}_") == F.col(f"hit_{k}_"), "left",
+        tail = F.array_join(F.slice("labels_", -k, k), ".")
+        out = out.withColumn(f"tail_{k}_", F.when(F.size("labels_") >= k, tail))
+        right = listed.select(
+            F.col("suffix_").alias(f"tail_{k}_"), F.col("suffix_").alias(f"hit_{k}_")
         )
+        out = small_or_balanced_lookup(out, right, f"tail_{k}_")
     is_ip = F.col(host).rlike(fx.IPV4_HOST)
     hits = [F.when(~is_ip, F.col(f"hit_{k}_")) for k in range(max_labels, 0, -1)]
     suffix = F.coalesce(*hits, F.lit(""))

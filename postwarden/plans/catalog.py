@@ -566,7 +566,7 @@ def joined_feature_blocks(spark, d):
 
 @query
 def deduplicated_mail(spark, d):
-    return dataset.dedupe_mail(_mail(spark, d)).select("mail_id", "subject", "label")
+    return dataset.dedupe_mail(_mail(spark, d), ids_unique=True).select("mail_id", "subject", "label")
 
 
 @query

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from postwarden.functions import text as tx
 
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 PARSED = (
     "path string, from_email string, recipients string, sent string, subject_raw string, "
-    "body_raw string, body_type string, error string"
+    "body_raw string, error string"
 )
 
 
 def read_mail_files(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """(path, content) of every file below ``folder``; with ``stream`` as a file stream."""
-    reader = spark.readStream if stream else spark.read
+    reader = spark.readStream.schema(BINARY_FILE) if stream else spark.read
     return (
         reader.format("binaryFile").option("recursiveFileLookup", True).load(folder)
         .select("path", "content")
@@ -60,41 +61,51 @@ def read_trec(spark: SparkSession, index: str, data: str, source: str = "trec200
     return files.join(labels, "file_name").drop("file_name").withColumn("source", F.lit(source))
 
 
-def _part_text(part) -> str:
+def _plain(part) -> str:
+    """Decoded content of a part; a part that cannot be decoded counts as empty."""
     try:
         content = part.get_content()
-        return content if isinstance(content, str) else content.decode("utf-8", "ignore")
     except Exception:
-        raw = part.get_payload(decode=True)
-        return raw.decode("utf-8", "ignore") if raw else ""
+        return ""
+    if not isinstance(content, str):
+        raise TypeError(f"no text in {part.get_content_type()}")
+    return content
 
 
-def _choose_body(message, body_policy: str) -> tuple[str, str]:
-    """(text, content type) of the body under a policy."""
-    if not message.is_multipart():
-        return _part_text(message), message.get_content_type()
+def _markup(part) -> str:
+    """Payload bytes as text under the declared character set, else as UTF-8."""
+    raw = part.get_payload(decode=True) or b""
+    try:
+        return raw.decode(part.get_content_charset() or "utf-8", "ignore")
+    except LookupError:
+        return raw.decode("utf-8", "ignore")
+
+
+def _choose_body(message, body_policy: str) -> str:
     if body_policy == "all_plain":
-        plain = [p for p in message.walk() if p.get_content_type() == "text/plain"]
-        return "".join(_part_text(p) for p in plain), "text/plain"
+        if not message.is_multipart():
+            return _plain(message)
+        return "".join(_plain(p) for p in message.walk() if p.get_content_type() == "text/plain")
+    if not message.is_multipart():
+        return _markup(message)
     for part in message.walk():
         shown = "attachment" not in str(part.get("Content-Disposition"))
         if shown and part.get_content_type() in ("text/html", "text/txt"):
-            return _part_text(part), part.get_content_type()
-    return "", "text/plain"
+            return _markup(part)
+    return ""
 
 
 def _decode_one(path: str, content: bytes, body_policy: str) -> dict:
     row = dict.fromkeys(
-        ["from_email", "recipients", "sent", "subject_raw", "body_raw", "body_type", "error"]
+        ["from_email", "recipients", "sent", "subject_raw", "body_raw", "error"]
     )
     row["path"] = path
     try:
-        message = email.message_from_bytes(content, policy=email.policy.default)
-        body, kind = _choose_body(message, body_policy)
+        message = email.message_from_bytes(bytes(content), policy=email.policy.default)
         row |= {
             "from_email": str(message.get("from") or ""), "recipients": str(message.get("to") or ""),
             "sent": str(message.get("date") or ""), "subject_raw": str(message.get("subject") or ""),
-            "body_raw": body, "body_type": kind,
+            "body_raw": _choose_body(message, body_policy),
         }
     except Exception as problem:
         row["error"] = f"{type(problem).__name__}: {problem}"
@@ -117,7 +128,10 @@ def parse_mail(files: DataFrame, body_policy: str = "all_plain", full_entities:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [_decode_one(p, bytes(c), body_policy) for p, c in zip(batch["path"], batch["content"])]
+            rows = [
+                _decode_one(path, content, body_policy)
+                for path, content in zip(batch["path"], batch["content"])
+            ]
             out = pd.DataFrame(rows, columns=[f.split()[0] for f in PARSED.split(", ")])
             for c in extra:
                 out[c] = batch[c].to_numpy()

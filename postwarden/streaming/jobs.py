@@ -15,7 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postwarden.functions.times import from_instant, to_instant
 from postwarden.operators import campaigns as cp
-from postwarden.operators.domains import grade_domains
+from postwarden.operators.domains import domain_counts, grade_domains, merge_domain_counts
+from postwarden.plans.scoring import factor_rows, log_rows
 from postwarden.session import shared_dir
 from postwarden.sources.tables import read_or_empty
 
@@ -202,15 +203,18 @@ def campaign_table(spark: SparkSession, home: str) -> DataFrame:
 def store_job(
     mail: DataFrame, home: str, score: Callable[[DataFrame], DataFrame], once: bool = True
 ) -> StreamingQuery:
-    """Scores a mail stream and stores mails, risk factors and sender history of each batch."""
-    from postwarden.plans.scoring import factor_rows, log_rows
+    """Scores a mail stream and stores all tables of each batch.
 
+    Written are mails, risk factors, sender history and partial domain counts;
+    ``score`` maps mails to scored mails and the batch is scored once.
+    """
     def sink(rows: DataFrame, batch: int) -> None:
         scored = score(rows).persist()
         try:
             good = scored.filter(F.col("error").isNull())
             mails = log_rows(scored)
-            outputs = {"mails": mails, "factors": factor_rows(good), "history": sender_history(mails)}
+            outputs = {"mails": mails, "factors": factor_rows(good), "history": sender_history(mails),
+                       "domain_counts": domain_counts(mails)}
             for name, df in outputs.items():
                 df.write.mode("overwrite").parquet(_batch_folder(home, name, batch))
         finally:
@@ -219,5 +223,11 @@ def store_job(
     return _start(mail, "append", home, sink, once)
 
 
+def stored_domains(spark: SparkSession, home: str) -> DataFrame:
+    """Domain table over all stored batches."""
+    parts = spark.read.parquet(os.path.join(home, "domain_counts")).drop("batch")
+    return grade_domains(merge_domain_counts(parts.limit(0), parts))
+
+
 def new_home(spark: SparkSession, purpose: str) -> str:
     return shared_dir(spark, f"stream-{purpose}")
