@@ -14,7 +14,12 @@ KEY = "from_email_norm"
 
 
 def sender_key(df: DataFrame, normalise: str = "address") -> DataFrame:
-    """Adds the reputation key: the cleaned address, or the raw sender in lower case."""
+    """Adds the reputation key: the cleaned address, or the raw sender in lower case.
+
+    Rows that carry the key already are left as they are.
+    """
+    if KEY in df.columns:
+        return df
     raw = F.lower(F.coalesce(F.col("from_email"), F.lit("")))
     return df.withColumn(KEY, clean_address("from_email") if normalise == "address" else raw)
 
@@ -68,7 +73,10 @@ def with_sender_reputation(
     df: DataFrame, reputation: DataFrame, default_ratio: float = 0.0,
     normalise: str = "address", row_id: str = "mail_id", hot_share: float | None = HOT_SHARE,
 ) -> DataFrame:
-    """Reputation columns for every mail; unknown senders get 0 and ``default_ratio``."""
+    """Reputation columns for every row; unknown senders get 0 and ``default_ratio``.
+
+    The join may shuffle ``df``, so reduce mails to what is needed first.
+    """
     joined = lookup(
         sender_key(df, normalise), reputation.select(KEY, *fx.REPUTATION_COLUMNS), KEY, row_id,
         hot_share,

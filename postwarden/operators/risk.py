@@ -65,11 +65,11 @@ SIGNALS = ["phrases_", "urgency_", "amounts_", "discount_"]
 def risk_score(df: DataFrame, profile: str = "additive") -> DataFrame:
     """Adds risk_score, severity, risk_factors, domain_reputation and the threat columns.
 
-    Needs the serve features with ``from_`` and ``combined_``, and
-    ``sender_is_known``.  ``additive`` has threat_type ``none`` and zero
+    Needs the serve features with ``from_``, ``sender_is_known``, and either
+    ``combined_`` or the columns of ``risk_signals``.  ``additive`` has threat_type ``none`` and zero
     sub-scores; ``threat_typed`` tells phishing and spam points apart.
     """
-    signals = risk_signals(df)
+    signals = df if SIGNALS[0] in df.columns else risk_signals(df)
     if profile == "additive":
         scored = _additive(signals)
     elif profile == "threat_typed":

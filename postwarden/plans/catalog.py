@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwarden.functions import fixed as fx
@@ -14,7 +13,6 @@ from postwarden.functions import urls as ur
 from postwarden.operators import alerts, campaigns, dataset, domains, evaluation, links, model
 from postwarden.operators import reports, reputation, vectors
 from postwarden.operators.features import html_measures, mail_features
-from postwarden.operators.risk import risk_score  # noqa: F401
 from postwarden.plans import corpus, scoring, training
 from postwarden.session import materialise, shared_dir
 from postwarden.sources import mail_files, tables
@@ -500,8 +498,23 @@ def risk_factors(spark, d):
 
 @query
 def score_responses(spark, d):
+    """Fields read back from the nested answers."""
     rep = reputation.sender_reputation(_labelled_links(spark, d))
-    return scoring.responses(scoring.score_mail(_links(spark, d, True), rep, _hashed_scorer))
+    scored = scoring.score_mail(_links(spark, d, True), rep, _hashed_scorer)
+
+    def field(path: str, kind: str = "string"):
+        return F.get_json_object("response", f"$.{path}").cast(kind)
+
+    return scoring.responses(scored).select(
+        "mail_id", field("message_id").alias("message_id"), field("from_email").alias("from_email"),
+        field("predicted.predicted_label").alias("label"),
+        field("predicted.model_confidence", "double").alias("confidence"),
+        field("risk_analysis.risk_score", "int").alias("risk_score"),
+        field("risk_analysis.domain_reputation.domain").alias("domain"),
+        field("metadata.spam_keyword_count", "int").alias("spam_keyword_count"),
+        field("reputation.sender_is_known", "int").alias("sender_is_known"),
+        field("reasons[0].type").alias("first_reason"),
+    )
 
 
 @query

@@ -750,6 +750,10 @@ CHECKS["decision_live"] = f"""{LIVE} SELECT mail_id, risk_score, predicted_label
       ELSE 'Legitimate email with no significant risk indicators' END AS explanation FROM sorted"""
 CHECKS["risk_summaries"] = f"""{LIVE} SELECT mail_id, predicted_label, risk_score, {SEVERITY} AS severity,
     round(least(0.99::DOUBLE, best), 4) AS confidence FROM sorted"""
+CHECKS["score_responses"] = f"""{LIVE} SELECT mail_id, CAST(mail_id AS VARCHAR) AS message_id, sender AS from_email,
+    predicted_label AS label, round(least(0.99::DOUBLE, best), 4) AS confidence, risk_score, dom AS domain,
+    kw AS spam_keyword_count, is_known AS sender_is_known,
+    nullif(string_split(factors, ':')[1], '') AS first_reason FROM sorted"""
 CHECKS["decision_override"] = f"""{RISK_T}{SCORED}, decided AS (SELECT *,
     CASE WHEN risk_score >= 60 THEN 1 WHEN risk_score >= 35 THEN 2 WHEN phish > 0.15 AND n >= 2 THEN 3
          WHEN spam > 0.25 AND n >= 2 THEN 4 ELSE 5 END AS rule,

@@ -11,8 +11,8 @@ from postwarden.functions import fixed as fx
 from postwarden.operators.decision import decide_label
 from postwarden.operators.features import FEATURE_NAMES, serve_features_with_inputs
 from postwarden.operators.joins import HOT_SHARE
-from postwarden.operators.reputation import with_sender_reputation
-from postwarden.operators.risk import risk_score
+from postwarden.operators.reputation import KEY, with_sender_reputation
+from postwarden.operators.risk import risk_score, risk_signals
 
 
 def risk_frame(
@@ -21,13 +21,15 @@ def risk_frame(
 ) -> DataFrame:
     """Serve features, reputation and risk of each mail.
 
-    The reputation is attached first, while the row is still the raw mail, so
-    the features are never shuffled.
+    Everything that needs the text is computed in the scan; the reputation is
+    then joined to rows of numbers, so no body is ever shuffled.
     """
     keep = keep or ["mail_id"]
-    known = with_sender_reputation(mail, reputation, hot_share=hot_share)
-    rows = serve_features_with_inputs(known, [*keep, *fx.REPUTATION_COLUMNS])
-    return risk_score(rows, profile)
+    numbers = risk_signals(serve_features_with_inputs(mail, keep)).drop("combined_")
+    known = with_sender_reputation(
+        numbers.withColumn(KEY, F.col("from_")), reputation, row_id=keep[0], hot_share=hot_share
+    )
+    return risk_score(known.drop(KEY), profile)
 
 
 def score_mail(
@@ -45,11 +47,14 @@ def score_mail(
     nothing = F.col("from_email").isNull() & F.col("subject").isNull() & F.col("body").isNull()
     given = F.col("error") if "error" in mail.columns else F.lit(None).cast("string")
     checked = mail.withColumn("error", F.coalesce(given, F.when(nothing, F.lit("empty message"))))
-    good = checked.filter(F.col("error").isNull())
-    bad = checked.filter(F.col("error").isNotNull()).select(*keep, "error")
-    scored = scorer(risk_frame(good, reputation, risk_profile, keep))
+    scored = scorer(risk_frame(checked, reputation, risk_profile, [*keep, "error"]))
     decided = decide_label(scored, decision).withColumn("model_used", F.lit(model_name))
-    return decided.unionByName(bad, allowMissingColumns=True)
+    # One pass over the mails: results of bad rows are blanked instead of split off.
+    good = F.col("error").isNull()
+    return decided.select(
+        *keep, "error",
+        *[F.when(good, F.col(c)).alias(c) for c in decided.columns if c not in (*keep, "error")],
+    )
 
 
 def constant_scorer(ham: float, spam: float, phishing: float) -> Callable[[DataFrame], DataFrame]:
