@@ -170,7 +170,8 @@ def safe_text(text, full_entities: bool = False) -> Column:
 
 def bytes_to_text(raw) -> Column:
     """UTF-8 bytes to string; invalid sequences are dropped."""
-    return F.replace(F.decode(_col(raw), "UTF-8"), F.lit("�"), F.lit(""))
+    valid = F.make_valid_utf8(_col(raw).cast("string"))
+    return F.replace(valid, F.lit("\ufffd"), F.lit(""))
 
 
 def map_text(mapping) -> Column:

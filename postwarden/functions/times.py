@@ -17,14 +17,8 @@ def trunc_time(ts: Column, unit: str) -> Column:
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970, reading the value as UTC."""
-    day = F.to_date(ts)
-    seconds = F.extract(F.lit("SECOND"), ts - day.cast("timestamp_ntz"))
-    return (
-        F.unix_date(day).cast("long") * 86_400_000_000
-        + F.hour(ts).cast("long") * 3_600_000_000
-        + F.minute(ts).cast("long") * 60_000_000
-        + (seconds * 1_000_000).cast("long")
-    )
+    since = (ts - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second")
+    return (since.cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
 def to_instant(ts: Column) -> Column:

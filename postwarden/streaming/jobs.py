@@ -91,16 +91,7 @@ def hourly_volume_stream(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 def domain_count_stream(log: DataFrame) -> DataFrame:
     """Running counts per domain; one state row per domain."""
-    label = F.col("predicted_label")
-    return log.groupBy("domain").agg(
-        F.count(F.lit(1)).alias("total_emails"),
-        F.count_if(label == "ham").alias("ham_count"),
-        F.count_if(label == "spam").alias("spam_count"),
-        F.count_if(label == "phishing").alias("phishing_count"),
-        F.sum(F.col("risk_score").cast("long")).alias("risk_total"),
-        F.min(AT).alias("first_seen"),
-        F.max(AT).alias("last_seen"),
-    )
+    return domain_counts(log)
 
 
 def graded_domains(spark: SparkSession, home: str) -> DataFrame:

@@ -223,3 +223,8 @@ def test_profiles_share_columns(mails):
     for profile in ("train", "serve"):
         assert mail_features(mails, profile).columns == ["mail_id", *FEATURE_NAMES]
     assert len(FEATURE_NAMES) == 45
+
+
+def test_bytes(spark):
+    df = spark.createDataFrame([(bytearray(b"a\xff\xc3\xa9"),), (None,)], "b binary")
+    assert [r[0] for r in df.select(tx.bytes_to_text("b")).collect()] == ["aé", None]
