@@ -140,7 +140,7 @@ def unescape_html(text: str | Column, full: bool = False) -> Column:
             nested = f"replace({nested}, {_quoted(ref)}, {_quoted(char)})"
         out = F.expr(nested)
     return F.when(
-        column.contains("&"), F.regexp_replace(out, "&(?:amp|#38|#[xX]26);", "&")
+        column.contains("&"), F.regexp_replace(out, "&(?:amp;?|#38;|#[xX]26;)", "&")
     ).otherwise(column)
 
 

@@ -76,7 +76,7 @@ def unescape(t: str) -> str:
     for name, char in fx.NAMED_ENTITIES.items():
         out = f"replace({out}, '&{name};', {s(char)})"
     out = f"replace(replace({out}, '&#39;', ''''), '&#x27;', '''')"
-    return f"regexp_replace({out}, '&(amp|#38|#[xX]26);', '&', 'g')"
+    return f"regexp_replace({out}, '&(amp;?|#38;|#[xX]26;)', '&', 'g')"
 
 
 def words(t: str) -> str:

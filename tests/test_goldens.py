@@ -141,7 +141,7 @@ def test_keyword_counts_overlap(spark):
 
 
 def test_entities(spark):
-    texts = ["&lt;b&gt; &amp;lt; &quot;x&quot; &#39;", "a &amp;amp; b", "no refs", "&euro;5 &copy;"]
+    texts = ["&lt;b&gt; &amp;lt; &quot;x&quot; &#39;", "cut &amp</b> &ampx; &amplt;", "a &amp;amp; b", "no refs", "&euro;5 &copy;"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", tx.unescape_html("t").alias("n"),
                        tx.unescape_html("t", full=True).alias("f")).collect():
