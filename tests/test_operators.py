@@ -287,3 +287,23 @@ def test_tfidf_shuffles_texts_once(spark, data):
     vocab = spark.createDataFrame([("a", 1.0)], "term string, idf double")
     plan = _plan(vectors.tfidf(mail, vocab, "subject"))
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_scoring_never_shuffles_texts(spark, data):
+    """With broadcasts off, no exchange of the scoring plan carries a text column."""
+    import re
+
+    rows = spark.read.parquet(f"{data}/documents.parquet").select(
+        F.col("doc_id").alias("mail_id"), F.col("text").alias("body"),
+        F.substring("text", 1, 60).alias("subject"), F.col("source").alias("from_email"),
+    )
+    rep = reputation.sender_reputation(rows.withColumn("label", F.lit("ham")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = scoring.risk_frame(rows, rep)._explain_string(mode="formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved
+    assert not any(re.search(r"\b(text|body|body_|combined_)#", columns) for columns in moved)
