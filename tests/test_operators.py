@@ -289,7 +289,7 @@ def test_tfidf_shuffles_texts_once(spark, data):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-def test_scoring_never_shuffles_texts(spark, data):
+def test_scoring_never_shuffles_texts(spark, data, capsys):
     """With broadcasts off, no exchange of the scoring plan carries a text column."""
     import re
 
@@ -301,9 +301,10 @@ def test_scoring_never_shuffles_texts(spark, data):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        plan = scoring.risk_frame(rows, rep)._explain_string(mode="formatted")
+        scoring.risk_frame(rows, rep).explain("formatted")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = capsys.readouterr().out
     moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
     assert moved
     assert not any(re.search(r"\b(text|body|body_|combined_)#", columns) for columns in moved)
