@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from postwarden.llm import bytebpe, urltrie, warc
-from postwarden.llm.common import read
+from pyspark.sql import functions as F
+
+from postwarden.llm import bytebpe, langid, packing, toxicity, urltrie, warc
+from postwarden.llm.common import read, remainder
 
 QUERIES: dict = {}
 
@@ -20,6 +22,19 @@ def query(fn):
     return fn
 
 
+def _held_out(divisor: int, left: int):
+    return F.coalesce(remainder("doc_id", divisor) == left, F.lit(False)).alias("held_out")
+
+
+@query
+def op1_language_id(spark, d):
+    docs = read(spark, d, "documents")
+    out = langid.identified(
+        docs, docs.filter(remainder("doc_id", 4) != 2), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    )
+    return out.select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
 @query
 def op2_byte_bpe(spark, d):
     return bytebpe.round_trips(
@@ -37,3 +52,17 @@ def op5_warc(spark, d):
 @query
 def op8_url_filter(spark, d):
     return urltrie.judged(read(spark, d, "pages"), RULES)
+
+
+@query
+def op6_best_fit_packing(spark, d):
+    return packing.packed(read(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_toxicity(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    labelled = docs.join(read(spark, d, "labels").select("doc_id", "toxic"), "doc_id").filter(remainder("doc_id", 4) != 2)
+    return toxicity.scored(docs, labelled).select(
+        "doc_id", _held_out(4, 2), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
