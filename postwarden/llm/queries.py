@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from postwarden.llm import bytebpe, langid, packing, toxicity, urltrie, warc
+from postwarden.llm import bytebpe, langid, packing, syncmers, toxicity, urltrie, warc
 from postwarden.llm.common import read, remainder
 
 QUERIES: dict = {}
@@ -66,3 +66,8 @@ def op10_toxicity(spark, d):
     return toxicity.scored(docs, labelled).select(
         "doc_id", _held_out(4, 2), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     )
+
+
+@query
+def op3_closed_syncmers(spark, d):
+    return syncmers.compared_with_edited(read(spark, d, "documents"))
