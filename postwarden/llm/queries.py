@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from postwarden.llm import bytebpe, langid, packing, syncmers, toxicity, urltrie, warc
+from postwarden.llm import bytebpe, langid, lattice, packing, syncmers, toxicity, urltrie, warc
 from postwarden.llm.common import read, remainder
 
 QUERIES: dict = {}
@@ -71,3 +71,8 @@ def op10_toxicity(spark, d):
 @query
 def op3_closed_syncmers(spark, d):
     return syncmers.compared_with_edited(read(spark, d, "documents"))
+
+
+@query
+def op7_lattice_neighbours(spark, d):
+    return lattice.linked(read(spark, d, "embeddings"))
