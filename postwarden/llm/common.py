@@ -66,3 +66,46 @@ def group_starts(*columns: np.ndarray) -> np.ndarray:
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     return np.append(np.flatnonzero(new), n)
+
+
+def merged(rows: DataFrame, how: str, kind: str) -> np.ndarray | None:
+    """One array from an array per task (columns part, data), added or or-ed in steps of 256 at a time.
+
+    Every array has the same bounded size, so no task holds more than 256 of them.
+    """
+    def join(table: pa.Table) -> pa.Table:
+        total = None
+        for x in table.column("data"):
+            own = np.frombuffer(x.as_py(), kind)
+            total = own if total is None else total + own if how == "sum" else total | own
+        part = table.column("part")[0].as_py() >> 8
+        return pa.table({"part": pa.array([part], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    last = rows.agg(F.max("part")).first()[0]
+    if last is None:
+        return None
+    while True:
+        rows = rows.groupBy((F.col("part") / 256).cast("bigint").alias("_g")).applyInArrow(
+            lambda t: join(t), "part bigint, data binary"
+        )
+        last >>= 8
+        if not last:
+            return np.frombuffer(rows.first()["data"], kind)
+
+
+def runs(batches, keys: int):
+    """Rows of record batches by runs of equal values in the first ``keys`` columns (numbers without nulls).
+
+    Gives numpy columns and where each run starts, with the end appended; a run is never cut.
+    """
+    held = None
+    for b in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+        starts = group_starts(*columns[:keys])
+        if len(starts) > 2:
+            yield [c[: starts[-2]] for c in columns], starts[:-1]
+        held = [c[starts[-2] :] for c in columns] if len(starts) > 1 else None
+    if held is not None:
+        yield held, np.array([0, len(held[0])])

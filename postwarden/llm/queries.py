@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from postwarden.llm import bytebpe, langid, lattice, packing, syncmers, toxicity, urltrie, warc
+from postwarden.llm import bytebpe, jaccard, langid, lattice, packing, syncmers, toxicity, urltrie, warc
 from postwarden.llm.common import read, remainder
 
 QUERIES: dict = {}
@@ -76,3 +76,8 @@ def op3_closed_syncmers(spark, d):
 @query
 def op7_lattice_neighbours(spark, d):
     return lattice.linked(read(spark, d, "embeddings"))
+
+
+@query
+def op9_jaccard_join(spark, d):
+    return jaccard.joined(read(spark, d, "documents"))
