@@ -1,13 +1,63 @@
-"""The corpus pipeline: documents to packed training sequences in named stages."""
+"""The corpus pipeline: documents to packed training sequences in named stages.
+
+Each stage works on all that the one before kept, and is written as Parquet before the next reads it.  All stages but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postwarden.llm import jaccard, langid, packing, toxicity
+from postwarden.llm.common import read
+from postwarden.session import materialise
+
+#: A text is rejected as of no language below this share of the best one.
+LEAST_LANGUAGE_SCORE = 0.5
+#: A text is rejected as toxic from this probability on.
+TOXIC_FROM = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a recognised language.  Their lang column stays as given; rows without a language teach nothing."""
+    found = langid.identified(docs, docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), carry=True)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that aren't toxic."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labelled = docs.select("doc_id", "text").join(labels, "doc_id")
+    return toxicity.scored(docs, labelled, carry=True).filter(F.col("score") < TOXIC_FROM).select("row.*")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: the one with the smallest id.  Of rows that repeat an id one stays."""
+    groups = jaccard.joined(docs.select("doc_id", "text"))
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if not repeated.isEmpty():
+        again = materialise(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns), "repeated")
+        kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    return kept
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences of at most 4096 tokens that hold the documents."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", distinct), ("packing", pack)]
+
+#: No stage has an SQL form; the pipeline is tested against its operators' brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

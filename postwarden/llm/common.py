@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,6 +40,21 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def carried(df: DataFrame, id_col: str, carry: bool) -> Column:
+    """What an operator hands on beside its results: the id, or the whole row as one column, so that no names clash."""
+    if carry:
+        return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return F.col(id_col).cast("bigint").alias(id_col)
+
+
+def result_type(narrow: DataFrame, **fields: str) -> T.StructType:
+    """The first column of ``narrow`` and further fields."""
+    kind = T.StructType([narrow.schema.fields[0]])
+    for name, of in fields.items():
+        kind = kind.add(name, of)
+    return kind
+
+
 def take_sample(df: DataFrame, key: str, by: list[str], rows: int) -> DataFrame:
     """About ``rows`` rows of each value of ``by``, chosen by a hash of ``key``.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwarden.llm.common import batch, take_sample, texts
+from postwarden.llm.common import carried, result_type, take_sample, texts
 
 UNKNOWN = "und"
 MAX_PIECE, MAX_WORD = 10, 32
@@ -170,7 +170,7 @@ class Scorer:
         return out
 
     def learn_words(self, wanted: set[bytes]) -> None:
-        new = list(wanted - self.place.keys())
+        new = [w for w in wanted if w not in self.place]
         if len(self.place) + len(new) > REMEMBER:
             self.place.clear()
             new = list(wanted)
@@ -193,11 +193,13 @@ class Scorer:
 def identified(
     df: DataFrame, train: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang", rows_per_language: int = 400, rounds: int = 4, floor: float = 0.02,
+    carry: bool = False,
 ) -> DataFrame:
     """Predicted language and score of every row of ``df``.
 
     ``train`` (id, text, language) is the learning material; about ``rows_per_language`` of its documents per
-    language, chosen by a hash of the id, are used.  Their words are counted in Spark.
+    language, chosen by a hash of the id, are used.  Their words are counted in Spark.  With ``carry``, each row is
+handed on whole, as the column ``row``.
     """
     spark = df.sparkSession
     known = train.select(id_col, text_col, lang_col).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -221,7 +223,6 @@ def identified(
     pieces = Pieces(vocabulary)
     table = np.stack([learn(pieces, by_lang[x], rounds, floor) for x in names], axis=1) if names else None
     shared = spark.sparkContext.broadcast((names, table))
-    schema = pa.schema([(id_col, pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
         langs, own = shared.value
@@ -243,8 +244,10 @@ def identified(
                     best = share.argmax(axis=1)
                     for i in np.flatnonzero(fit):
                         lang[i], score[i] = langs[best[i]], share[i, best[i]]
-                yield batch(schema, part.column(0), lang, score)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                    names=[part.schema.names[0], "lang_pred", "score"],
+                )
 
-    return df.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(
-        run, f"{id_col} bigint, lang_pred string, score double"
-    )
+    narrow = df.select(carried(df, id_col, carry), F.col(text_col).cast("string").alias("_text"))
+    return narrow.mapInArrow(run, result_type(narrow, lang_pred="string", score="double"))

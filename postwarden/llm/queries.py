@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from postwarden.llm import bytebpe, jaccard, langid, lattice, packing, syncmers, toxicity, urltrie, warc
+from postwarden.llm import attention_lm, bytebpe, jaccard, langid, lattice, packing, syncmers, toxicity, urltrie, warc
 from postwarden.llm.common import read, remainder
 
 QUERIES: dict = {}
@@ -81,3 +81,10 @@ def op7_lattice_neighbours(spark, d):
 @query
 def op9_jaccard_join(spark, d):
     return jaccard.joined(read(spark, d, "documents"))
+
+
+@query
+def op4_attention_scores(spark, d):
+    return attention_lm.scored(
+        read(spark, d, "documents"), remainder("doc_id", 5) == 1, public_tokenizers.path("piece_bpe_32k.model")
+    )

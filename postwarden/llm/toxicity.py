@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwarden.llm.common import batch, take_sample, texts
+from postwarden.llm.common import carried, result_type, take_sample, texts
 
 DIMENSIONS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
@@ -150,25 +150,27 @@ class Scorer:
 def scored(
     df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     rows_per_class: int = 4000, epochs: int = 4, rate: float = 0.3, decay: float = 1e-6, locate: float | None = None,
+    carry: bool = False,
 ) -> DataFrame:
-    """The probability that each row's text is toxic; with ``locate``, also its sentences of that score or more."""
+    """The probability that each row's text is toxic; with ``locate``, also its sentences of that score or more.
+
+    With ``carry``, each row is handed on whole, as the column ``row``.
+    """
     shared = df.sparkSession.sparkContext.broadcast(
         learn(labelled, id_col, text_col, label_col, rows_per_class, epochs, rate, decay)
     )
-    fields = [(id_col, pa.int64()), ("score", pa.float64())]
-    if locate is not None:
-        fields.append(("offending", pa.list_(pa.string())))
-    schema = pa.schema(fields)
-
     def run(batches):
         scorer = Scorer(*shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 many = texts(part.column(1))
-                more = [] if locate is None else [[[s for s, _ in scorer.offending(t, locate)] for t in many]]
-                yield batch(schema, part.column(0), [min(1.0, max(0.0, scorer.text(t))) for t in many], *more)
-
-    return df.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInArrow(
-        run, f"{id_col} bigint, score double" + ("" if locate is None else ", offending array<string>")
-    )
+                columns = [part.column(0), pa.array([min(1.0, max(0.0, scorer.text(t))) for t in many], pa.float64())]
+                if locate is not None:
+                    columns.append(pa.array([[x for x, _ in scorer.offending(t, locate)] for t in many], pa.list_(pa.string())))
+                names = [part.schema.names[0], "score", "offending"]
+                yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+
+    narrow = df.select(carried(df, id_col, carry), F.col(text_col).cast("string").alias("_text"))
+    more = {} if locate is None else {"offending": "array<string>"}
+    return narrow.mapInArrow(run, result_type(narrow, score="double", **more))
