@@ -33,11 +33,12 @@ def drift_alerts(
 ) -> DataFrame:
     """Windows whose mean risk or false positive rate moved too far from the window before.
 
-    The false positive rate divides by the mails with a known ham outcome.
+    The false positive rate is the share of bad predictions among the mails
+    whose known outcome is ham; mails without an outcome don't count.
     """
     rolled = performance_rollup(log, (window,), feedback)
     w = Window.partitionBy("time_window").orderBy("metric_date")
-    fpr = F.col("false_positives") / F.greatest(F.lit(1), F.col("ham_count") + F.col("false_positives"))
+    fpr = F.col("false_positives") / F.greatest(F.lit(1), F.col("true_negatives") + F.col("false_positives"))
     shifted = rolled.select(
         "metric_date", "time_window", "total_emails", "avg_risk_score",
         fpr.alias("false_positive_rate"),

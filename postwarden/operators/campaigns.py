@@ -7,42 +7,39 @@ from pyspark.sql import functions as F
 
 from postwarden.functions import fixed as fx
 from postwarden.functions.times import micros, trunc_time
-from postwarden.operators.joins import lookup
-from postwarden.session import materialise
 
 AT = "classified_at"
 BAD_LABELS = ["spam", "phishing"]
 
 
-def trailing_bad_counts(
-    log: DataFrame, window_seconds: int = 600, chunk_windows: int = 6
-) -> DataFrame:
+def trailing_bad_counts(log: DataFrame, window_seconds: int = 600, block_seconds: int = 60) -> DataFrame:
     """``similar_emails``: spam and phishing of the row's domain in the trailing window.
 
     The window includes its lower bound, the row and rows of the same instant.
-    A domain may hold any share of the log, so time is cut into chunks of
-    ``chunk_windows`` windows and the frame runs per (domain, chunk).  Bad rows
-    in the last window of a chunk are also given to the next chunk and dropped
-    after counting, which keeps the result exact.
+    Every bad row adds one at its time and takes it away just after the window
+    has passed, so the count is a running sum, linear in the rows.  A domain may
+    hold any share of the log: it is cut into blocks of time, and the sum of all
+    earlier blocks comes from the blocks' totals, a narrow table.
     """
-    width = window_seconds * 1_000_000
-    chunk = width * chunk_windows
+    width, block = window_seconds * 1_000_000, block_seconds * 1_000_000
     bad = F.col("predicted_label").isin(BAD_LABELS)
-    timed = log.filter(F.col("domain").isNotNull() & (F.col("domain") != "")).withColumn(
-        "us_", micros(F.col(AT))
-    ).withColumn("chunk_", F.floor(F.col("us_") / chunk).cast("long"))
-    near_end = F.col("us_") >= (F.col("chunk_") + 1) * chunk - width
-    homes = F.when(
-        bad & near_end, F.array(F.col("chunk_"), F.col("chunk_") + 1)
-    ).otherwise(F.array("chunk_"))
-    placed = timed.select(*log.columns, "us_", "chunk_", F.explode(homes).alias("home_"))
-    frame = (
-        Window.partitionBy("domain", "home_").orderBy("us_").rangeBetween(-width, Window.currentRow)
+    timed = log.filter(F.col("domain").isNotNull() & (F.col("domain") != "")).withColumn("us_", micros(F.col(AT)))
+    own = F.struct(F.col("us_").alias("at"), bad.cast("int").alias("step"), F.lit(True).alias("row"))
+    gone = F.struct((F.col("us_") + width + 1).alias("at"), F.lit(-1).alias("step"), F.lit(False).alias("row"))
+    steps = F.when(bad, F.array(own, gone)).otherwise(F.array(own))
+    in_block = F.floor(F.col("step_.at") / block).cast("long").alias("block_")
+    totals = timed.select("domain", F.explode(steps).alias("step_")).groupBy("domain", in_block).agg(
+        F.sum("step_.step").alias("total_")
     )
-    return (
-        placed.withColumn("similar_emails", F.count_if(bad).over(frame))
-        .filter(F.col("home_") == F.col("chunk_")).drop("us_", "chunk_", "home_")
+    before = Window.partitionBy("domain").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("domain", "block_", F.coalesce(F.sum("total_").over(before), F.lit(0)).alias("carried_"))
+    placed = timed.select(*log.columns, F.explode(steps).alias("step_")).select(*log.columns, "step_", in_block)
+    inside = Window.partitionBy("domain", "block_").orderBy("step_.at").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
+    return placed.join(carried, ["domain", "block_"]).withColumn(
+        "similar_emails", F.sum("step_.step").over(inside) + F.col("carried_")
+    ).filter("step_.row").select(*log.columns, "similar_emails")
 
 
 def campaign_alerts(log: DataFrame, window_seconds: int = 600, threshold: int = 15) -> DataFrame:
@@ -101,46 +98,22 @@ def campaign_profile(
     episodes = alert_slots.withColumn("starts_", starts.cast("int")).withColumn(
         "episode", F.sum("starts_").over(order).cast("int")
     )
-    # Used three times below, and far smaller than the log it is computed from.
-    episodes = materialise(episodes, "episodes")
-    place = F.concat_ws("|", "domain", F.col("slot_").cast("string"))
-    bad = log.filter(F.col("predicted_label").isin(BAD_LABELS)).withColumn(
-        "slot_", trunc_time(F.col(AT), unit)
-    ).withColumn("place_", place)
-    members = lookup(
-        bad, episodes.select(place.alias("place_"), "episode"), "place_", "email_id"
-    ).filter(F.col("episode").isNotNull())
-    keys = ["domain", "episode"]
-    volume = members.groupBy(*keys).agg(
+    bad = log.filter(F.col("predicted_label").isin(BAD_LABELS)).withColumn("slot_", trunc_time(F.col(AT), unit))
+    members = bad.join(episodes.drop("starts_"), ["domain", "slot_"])
+    low = F.lower(F.coalesce(F.col("subject"), F.lit("")))
+    words = list(dict.fromkeys(keywords))
+    counted = F.array(*[
+        F.struct((-F.count_if(low.contains(k))).alias("n"), F.lit(k).alias("keyword")) for k in words
+    ])
+    profile = members.groupBy("domain", "episode").agg(
         F.count(F.lit(1)).alias("email_count"),
         F.count_distinct("from_email").alias("unique_senders"),
         F.count_distinct("to_email").alias("unique_targets"),
         F.avg("risk_score").alias("avg_risk_score"),
+        F.min("first_").alias("first_detected"), F.max("last_").alias("last_detected"),
+        counted.alias("counted_"),
     )
-    spans = episodes.groupBy(*keys).agg(
-        F.min("first_").alias("first_detected"), F.max("last_").alias("last_detected")
-    )
-    low = F.lower(F.coalesce(F.col("subject"), F.lit("")))
-    held = F.array_compact(
-        F.array(*[F.when(low.contains(k), F.lit(k)) for k in dict.fromkeys(keywords)])
-    )
-    rank = Window.partitionBy(*keys).orderBy(F.col("n_").desc(), "keyword_")
-    common = (
-        members.select(*keys, F.explode(held).alias("keyword_"))
-        .groupBy(*keys, "keyword_").agg(F.count(F.lit(1)).alias("n_"))
-        .withColumn("rank_", F.row_number().over(rank)).filter(F.col("rank_") <= top_keywords)
-        .groupBy(*keys).agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("rank_", "keyword_"))),
-                lambda s: s["keyword_"],
-            ).alias("common_keywords")
-        )
-    )
-    return (
-        volume.join(spans, keys).join(common, keys, "left")
-        .withColumn(
-            "common_keywords",
-            F.coalesce("common_keywords", F.array().cast("array<string>")),
-        )
-        .withColumn("campaign_name", campaign_name())
-    )
+    common = F.slice(F.array_sort(F.filter("counted_", lambda x: x["n"] < 0)), 1, top_keywords)
+    return profile.withColumn("common_keywords", F.transform(common, lambda x: x["keyword"])).drop(
+        "counted_"
+    ).withColumn("campaign_name", campaign_name())

@@ -40,23 +40,26 @@ def dedupe_mail(
 
     The smallest id per content hash is found with partial aggregation, so a
     text with very many copies costs one row per task; whole rows are shuffled
-    once, by id, to be matched with the kept ids.  Rows that share an id are
-    copies of each other (ids made from content); they are merged, first
-    within each task, unless ``ids_unique`` says there are none.
+    once, by id, to be matched with the kept ids.  Rows with the same id and
+    content are merged, first within each task, unless ``ids_unique`` says there
+    are none; different contents under one id stay apart.
     """
     long_enough = df.filter(F.length("body") > min_len)
-    kept = long_enough.groupBy(_content_key(list(keys)).alias("content_")).agg(
-        F.min(order).alias(order)
-    ).select(order)
-    rows = long_enough if ids_unique else long_enough.dropDuplicates([order])
-    return rows.join(kept, order, "left_semi")
+    marked = long_enough.withColumn("content_", _content_key(list(keys)))
+    kept = marked.groupBy("content_").agg(F.min(order).alias(order))
+    rows = marked if ids_unique else marked.dropDuplicates([order, "content_"])
+    return rows.join(kept, [order, "content_"], "left_semi").drop("content_")
+
+
+def with_message_id(df: DataFrame, key: str = "message_id", order: str = "email_id") -> DataFrame:
+    """Rows without a message id get one derived from their order key."""
+    made = F.concat(F.lit("generated-"), F.col(order).cast("string"))
+    return df.withColumn(key, F.coalesce(F.nullif(F.col(key), F.lit("")), made))
 
 
 def unique_messages(df: DataFrame, key: str = "message_id", order: str = "email_id") -> DataFrame:
     """First row per message id; rows without one get an id derived from their order key."""
-    filled = df.withColumn(
-        key, F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("generated-"), F.col(order)))
-    )
+    filled = with_message_id(df, key, order)
     first = filled.groupBy(key).agg(F.min(order).alias(order))
     return filled.join(first, [key, order], "left_semi")
 

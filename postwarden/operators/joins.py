@@ -23,19 +23,19 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
 
 def lookup(
     left: DataFrame, right: DataFrame, key: str, row_id: str | None = None,
-    share: float | None = HOT_SHARE,
+    share: float | None = None,
 ) -> DataFrame:
     """Left join to a table that is unique on ``key``.
 
-    Rows of hot keys are served by a broadcast of the few hot ``right`` rows.
+    By default a plain join, whose skewed partitions AQE splits.  With ``share``,
+    ``left`` is read three times and rows of hot keys are served by a broadcast of the few hot ``right`` rows.
     Their join key is then replaced by a spread-out value that matches nothing,
     so the shuffled join that serves all other keys gets no hot partition.
-    That value is ``row_id``, or a hash of the row.  ``share=None`` is a plain
-    left join, for when the join is known to be even.
+    That value is ``row_id``, or a hash of the row.
     """
     values = [c for c in right.columns if c != key]
     if share is None:
-        return left.join(right, key, "left")
+        return left.join(right, key, "left").select(*left.columns, *values)
     keys = hot_keys(left.select(key), key, share)
     served = right.join(F.broadcast(keys), key, "left_semi").select(
         key, F.struct(*values).alias("hot_")
@@ -55,17 +55,3 @@ def lookup(
     return marked.join(cold, "cold_key_", "left").select(
         *left.columns, *[found[v].alias(v) for v in values]
     )
-
-
-SMALL_ROWS = 100_000
-
-
-def small_or_balanced_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Lookup in a reference table that is expected to be small.
-
-    Its rows are counted (never more than the bound plus one are read).  Within
-    the bound it is broadcast; beyond it the balanced lookup is used.
-    """
-    if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        return left.join(F.broadcast(right), key, "left")
-    return lookup(left, right, key)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from postwarden.functions import fixed as fx
 from postwarden.functions import text as tx
 from postwarden.functions import urls as ur
-from postwarden.operators.joins import small_or_balanced_lookup
 
 
 def analyze_links(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -39,15 +38,17 @@ def mail_links(df: DataFrame, text: str = "body", row_id: str = "mail_id") -> Da
 
 
 def registered_domains(
-    df: DataFrame, suffixes: DataFrame, host: str = "host", max_labels: int = 3
+    df: DataFrame, suffixes: DataFrame, host: str = "host", max_labels: int | None = None
 ) -> DataFrame:
     """Adds ``suffix``, ``domain`` and ``subdomain`` of a host by its longest listed suffix.
 
-    One lookup per suffix length; hosts crowd on few suffixes, so the suffix
-    table is broadcast within its checked size and balanced beyond it.
-    ``max_labels`` is the number of labels of the longest suffix.
+    One join per suffix length, whose strategy is left to the planner.
+    ``max_labels`` is the number of labels of the longest suffix; unless given
+    it is read from the table.
     """
     listed = suffixes.select(F.lower("suffix").alias("suffix_")).distinct()
+    if max_labels is None:
+        max_labels = listed.agg(F.max(F.size(F.split("suffix_", r"\.")))).first()[0] or 1
     out = df.withColumn("labels_", F.split(F.col(host), r"\."))
     for k in range(1, max_labels + 1):
         tail = F.array_join(F.slice("labels_", -k, k), ".")
@@ -55,7 +56,7 @@ def registered_domains(
         right = listed.select(
             F.col("suffix_").alias(f"tail_{k}_"), F.col("suffix_").alias(f"hit_{k}_")
         )
-        out = small_or_balanced_lookup(out, right, f"tail_{k}_")
+        out = out.join(right, f"tail_{k}_", "left")
     is_ip = F.col(host).rlike(fx.IPV4_HOST)
     hits = [F.when(~is_ip, F.col(f"hit_{k}_")) for k in range(max_labels, 0, -1)]
     suffix = F.coalesce(*hits, F.lit(""))
@@ -81,7 +82,7 @@ def registered_domains(
 
 
 def url_threat(
-    df: DataFrame, suffixes: DataFrame, url: str = "url", max_labels: int = 3
+    df: DataFrame, suffixes: DataFrame, url: str = "url", max_labels: int | None = None
 ) -> DataFrame:
     """Adds the threat features and ``threat_score`` in [0, 1] for a URL column.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwarden.functions.times import trunc_time
@@ -18,7 +18,7 @@ def look_back(log: DataFrame, as_of: str, hours: int) -> DataFrame:
 def label_shares(df: DataFrame, label: str = "predicted_label") -> DataFrame:
     """Mails and share per label."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("mails"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = F.sum("mails").over(Window.partitionBy())  # over one row per label
     return counts.select(label, "mails", (F.col("mails") / total).alias("share"))
 
 
@@ -97,16 +97,21 @@ def performance_rollup(
     """Volume, label, risk and error counts per hour, day and week.
 
     The log is reduced to hourly sums once; days and weeks add those up.
-    ``feedback`` (message_id, true_label) yields false positives and negatives.
+    ``feedback`` (message_id, true_label) yields false positives and negatives;
+    of several outcomes of one message the first by name counts.
     """
     label, score = F.col("predicted_label"), F.col("risk_score")
     if feedback is not None:
-        log = log.join(feedback.select("message_id", "true_label"), "message_id", "left")
+        known = feedback.filter(F.col("message_id").isNotNull()).groupBy("message_id").agg(
+            F.min("true_label").alias("true_label")
+        )
+        log = log.join(known, "message_id", "left")
         truth = F.col("true_label")
         wrong_bad = truth.isNotNull() & (truth == "ham") & (label != "ham")
+        right_ham = truth.isNotNull() & (truth == "ham") & (label == "ham")
         wrong_ham = truth.isNotNull() & (truth != "ham") & (label == "ham")
     else:
-        wrong_bad = wrong_ham = F.lit(False)
+        wrong_bad = wrong_ham = right_ham = F.lit(False)
 
     def total(name: str | None) -> Column:
         return F.sum(F.col(name).cast("double") if name else F.lit(None).cast("double"))
@@ -120,6 +125,7 @@ def performance_rollup(
         F.count_if(score >= 60).alias("critical_risk_count"),
         F.count_if(wrong_bad).alias("false_positives"),
         F.count_if(wrong_ham).alias("false_negatives"),
+        F.count_if(right_ham).alias("true_negatives"),
         F.sum(score.cast("long")).alias("risk_total"),
         total(confidence).alias("confidence_total"),
         total(millis).alias("millis_total"),
@@ -136,7 +142,7 @@ def performance_rollup(
     )
     n = F.col("total_emails")
     return rolled.select(
-        "w_.metric_date", "w_.time_window", *sums[:8],
+        "w_.metric_date", "w_.time_window", *sums[:9],
         (F.col("risk_total") / n).alias("avg_risk_score"),
         (F.col("confidence_total") / n).alias("avg_confidence"),
         (F.col("millis_total") / n).alias("avg_processing_time_ms"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postwarden.functions import fixed as fx
 from postwarden.functions import text as tx
 from postwarden.functions.senders import clean_address
-from postwarden.operators.joins import HOT_SHARE, lookup
+from postwarden.operators.joins import lookup
 
 KEY = "from_email_norm"
 
@@ -71,7 +71,7 @@ def label_distribution(df: DataFrame, labels: list[str] = fx.LABELS) -> DataFram
 
 def with_sender_reputation(
     df: DataFrame, reputation: DataFrame, default_ratio: float = 0.0,
-    normalise: str = "address", row_id: str = "mail_id", hot_share: float | None = HOT_SHARE,
+    normalise: str = "address", row_id: str = "mail_id", hot_share: float | None = None,
 ) -> DataFrame:
     """Reputation columns for every row; unknown senders get 0 and ``default_ratio``.
 

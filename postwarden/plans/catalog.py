@@ -35,12 +35,12 @@ def _log(spark, d):
     return view(spark, d, "mail_log")
 
 
-def _mail(spark, d, spread=False):
-    return view(spark, d, "mail", spread)
+def _mail(spark, d):
+    return view(spark, d, "mail")
 
 
-def _links(spark, d, spread=False):
-    return view(spark, d, "link_mail", spread)
+def _links(spark, d):
+    return view(spark, d, "link_mail")
 
 
 def _labelled(spark, d):
@@ -131,7 +131,7 @@ def table_counts(spark, d):
 @query
 def performance_rollup(spark, d):
     return reports.performance_rollup(_log(spark, d), feedback=_feedback(spark, d)).drop(
-        "avg_confidence", "avg_processing_time_ms"
+        "avg_confidence", "avg_processing_time_ms", "true_negatives"
     )
 
 
@@ -218,41 +218,41 @@ def campaign_profile(spark, d):
 
 @query
 def clean_text_tags_first(spark, d):
-    return table(spark, d, "pages", True).select("page_id", tx.clean_text("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", tx.clean_text("html").alias("text"))
 
 
 @query
 def clean_text_entities_first(spark, d):
-    return table(spark, d, "pages", True).select(
+    return table(spark, d, "pages").select(
         "page_id", tx.clean_text("html", "entities_first").alias("text")
     )
 
 
 @query
 def page_text(spark, d):
-    return table(spark, d, "pages", True).select("page_id", tx.html_to_text("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", tx.html_to_text("html").alias("text"))
 
 
 @query
 def unescaped_pages(spark, d):
-    return table(spark, d, "pages", True).select("page_id", tx.unescape_html("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", tx.unescape_html("html").alias("text"))
 
 
 @query
 def unescaped_pages_full(spark, d):
-    return table(spark, d, "pages", True).select(
+    return table(spark, d, "pages").select(
         "page_id", tx.unescape_html("html", full=True).alias("text")
     )
 
 
 @query
 def safe_text(spark, d):
-    return table(spark, d, "documents", True).select("doc_id", tx.safe_text("text").alias("text"))
+    return table(spark, d, "documents").select("doc_id", tx.safe_text("text").alias("text"))
 
 
 @query
 def text_statistics(spark, d):
-    rows = table(spark, d, "documents", True).select(
+    rows = table(spark, d, "documents").select(
         "doc_id", "text", tx.squeeze("text").alias("squeezed")
     )
     stats = tx.text_stats("text", "squeezed", "body", fx.ASCII_PUNCT)
@@ -266,7 +266,7 @@ def text_statistics(spark, d):
 @query
 def keyword_groups(spark, d):
     low = F.lower(F.concat_ws(" ", "body", "subject"))
-    rows = _links(spark, d, True).select("mail_id", low.alias("low"))
+    rows = _links(spark, d).select("mail_id", low.alias("low"))
     found = [
         tx.keywords_present("low", words).alias(f"{group}_{kind}")
         for group, lists in (("compact", fx.COMPACT_WORDS), ("extended", fx.EXTENDED_WORDS))
@@ -277,7 +277,7 @@ def keyword_groups(spark, d):
 
 @query
 def html_statistics(spark, d):
-    rows = table(spark, d, "pages", True)
+    rows = table(spark, d, "pages")
     out = [
         c.alias(f"{profile}_{n}")
         for profile in ("train", "serve") for n, c in html_measures("html", profile).items()
@@ -287,7 +287,7 @@ def html_statistics(spark, d):
 
 @query
 def redacted_documents(spark, d):
-    return table(spark, d, "documents", True).select("doc_id", tx.redact_pii("text").alias("text"))
+    return table(spark, d, "documents").select("doc_id", tx.redact_pii("text").alias("text"))
 
 
 @query
@@ -318,7 +318,7 @@ def sender_addresses(spark, d):
 
 def _features(name: str, source: str, profile: str):
     def run(spark, d):
-        return mail_features(view(spark, d, source, True), profile)
+        return mail_features(view(spark, d, source), profile)
 
     run.__name__ = name
     QUERIES[name] = run
@@ -433,7 +433,7 @@ RISK_COLUMNS = [
 
 def _risk(spark, d, profile):
     rep = reputation.sender_reputation(_labelled_links(spark, d))
-    return scoring.risk_frame(_links(spark, d, True), rep, profile)
+    return scoring.risk_frame(_links(spark, d), rep, profile)
 
 
 def _labelled_links(spark, d):
@@ -475,7 +475,7 @@ def _decide(name, risk_profile, decision):
     def run(spark, d):
         rep = reputation.sender_reputation(_labelled_links(spark, d))
         scored = scoring.score_mail(
-            _links(spark, d, True), rep, _hashed_scorer, risk_profile, decision
+            _links(spark, d), rep, _hashed_scorer, risk_profile, decision
         )
         return scored.select(
             "mail_id", "risk_score", "predicted_label",
@@ -500,7 +500,7 @@ def risk_factors(spark, d):
 def score_responses(spark, d):
     """Fields read back from the nested answers."""
     rep = reputation.sender_reputation(_labelled_links(spark, d))
-    scored = scoring.score_mail(_links(spark, d, True), rep, _hashed_scorer)
+    scored = scoring.score_mail(_links(spark, d), rep, _hashed_scorer)
 
     def field(path: str, kind: str = "string"):
         return F.get_json_object("response", f"$.{path}").cast(kind)
@@ -520,7 +520,7 @@ def score_responses(spark, d):
 @query
 def risk_summaries(spark, d):
     rep = reputation.sender_reputation(_labelled_links(spark, d))
-    return scoring.risk_summary(scoring.score_mail(_links(spark, d, True), rep, _hashed_scorer))
+    return scoring.risk_summary(scoring.score_mail(_links(spark, d), rep, _hashed_scorer))
 
 
 # --- reputation -------------------------------------------------------------
@@ -630,7 +630,7 @@ def parsed_mail(spark, d):
         F.lit("From: "), "source", F.lit("@example.com\nSubject: "), F.col("doc_id").cast("string"),
         F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"),
     )
-    files = table(spark, d, "documents", True).select(
+    files = table(spark, d, "documents").select(
         F.concat(F.lit("/mail/ham/"), F.col("doc_id")).alias("path"),
         F.encode(F.concat(head, "text"), "UTF-8").alias("content"),
     )
@@ -681,37 +681,37 @@ def parquet_round_trip(spark, d):
 
 @query
 def tfidf_vocabulary(spark, d):
-    vocab = vectors.fit_tfidf(_mail(spark, d, True), "body", 1000)
+    vocab = vectors.fit_tfidf(_mail(spark, d), "body", 5000)
     return vocab.withColumn("idf", F.round("idf", 6))
 
 
 @query
 def tfidf_subject_unigrams(spark, d):
     vocab = vectors.fit_tfidf(
-        _mail(spark, d), "subject", 300, bigrams=False, min_df=3, max_df=0.95
+        _mail(spark, d), "subject", 1000, bigrams=False, min_df=3, max_df=0.95
     )
     return vocab.withColumn("idf", F.round("idf", 6))
 
 
 @query
 def tfidf_weights(spark, d):
-    mail = _mail(spark, d, True)
-    vocab = vectors.fit_tfidf(mail, "subject", 500)
-    return vectors.tfidf(mail, vocab, "subject").withColumn("weight", F.round("weight", 6))
+    mail = _mail(spark, d)
+    vocab = vectors.fit_tfidf(mail, "body", 5000)
+    return vectors.tfidf(mail, vocab, "body").withColumn("weight", F.round("weight", 6))
 
 
 @query
 def tfidf_vector_norms(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    mail = _mail(spark, d, True)
-    vocab = vectors.fit_tfidf(mail, "subject", 500)
-    out = vectors.tfidf_vectors(mail, vocab, "subject").select(
+    mail = _mail(spark, d)
+    vocab = vectors.fit_tfidf(mail, "body", 5000)
+    out = vectors.tfidf_vectors(mail, vocab, "body").select(
         "mail_id", vector_to_array("features").alias("a")
     )
     return out.select(
         "mail_id", F.size(F.filter("a", lambda x: x > 0)).alias("terms"),
-        F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 6).alias("total"),
+        F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x), 4).alias("squares"),
     )
 
 
@@ -739,7 +739,7 @@ def trained_boosted(spark, d):
 
 @query
 def forest_importance(spark, d):
-    mail = training.labelled(_mail(spark, d, True))
+    mail = training.labelled(_mail(spark, d))
     columns = [c for c in mail_features(mail, "train").columns if c != "mail_id"]
     rows = model.assemble(mail_features(mail, "train", ["mail_id", "label_code"]), columns)
     fitted = model.fit_classifier(

@@ -210,7 +210,8 @@ CHECKS["volume_spikes"] = f"""{LOG}, hourly AS ({HOURLY.format(where='')}), pair
 SELECT hour, predicted_label, mails, previous, mails / previous - 1 AS increase
 FROM pairs WHERE mails > previous * 1.25"""
 CHECKS["drift_alerts"] = f"""{LOG} {FEEDBACK}, daily AS ({rollup('day', 'daily')}), rates AS (
-    SELECT *, false_positives / greatest(1, ham_count + false_positives) AS fpr FROM daily), moves AS (
+    SELECT *, false_positives / greatest(1, known_ham) AS fpr FROM daily JOIN (SELECT date_trunc('day', classified_at)::TIMESTAMP AS metric_date,
+        count(*) FILTER (WHERE true_label = 'ham') AS known_ham FROM judged GROUP BY 1) USING (metric_date)), moves AS (
     SELECT *, avg_risk_score - lag(avg_risk_score) OVER (ORDER BY metric_date) AS shift,
            fpr - lag(fpr) OVER (ORDER BY metric_date) AS rise FROM rates)
 SELECT metric_date, total_emails, avg_risk_score, fpr AS false_positive_rate,
@@ -894,17 +895,17 @@ def vocabulary(column: str, size: int, bigrams: bool = True, where: str = "true"
 
 
 CHECKS["tfidf_vocabulary"] = (
-    f"{vocabulary('body', 1000)} SELECT term, term_count, doc_count, round(idf, 6) AS idf FROM vocab"
+    f"{vocabulary('body', 5000)} SELECT term, term_count, doc_count, round(idf, 6) AS idf FROM vocab"
 )
 CHECKS["tfidf_subject_unigrams"] = vocabulary(
-    "subject", 300, False, "doc_count >= 3 AND doc_count <= 0.95 * (SELECT count(*) FROM mail)"
+    "subject", 1000, False, "doc_count >= 3 AND doc_count <= 0.95 * (SELECT count(*) FROM mail)"
 ) + " SELECT term, term_count, doc_count, round(idf, 6) AS idf FROM vocab"
-WEIGHTS = f"""{vocabulary('subject', 500)}, raw AS (SELECT mail_id, term, count(*) * any_value(idf) AS w
+WEIGHTS = f"""{vocabulary('body', 5000)}, raw AS (SELECT mail_id, term, count(*) * any_value(idf) AS w
     FROM terms JOIN vocab USING (term) GROUP BY 1, 2),
 weights AS (SELECT mail_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY mail_id)) AS weight FROM raw)"""
 CHECKS["tfidf_weights"] = f"{WEIGHTS} SELECT mail_id, term, round(weight, 6) AS weight FROM weights"
 CHECKS["tfidf_vector_norms"] = f"""{WEIGHTS} SELECT m.mail_id, CAST(count(weight) AS INT) AS terms,
-    round(coalesce(sum(weight), 0.0), 6) AS total FROM mail m LEFT JOIN weights USING (mail_id) GROUP BY 1"""
+    CAST(CASE WHEN count(weight) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS squares FROM mail m LEFT JOIN weights USING (mail_id) GROUP BY 1"""
 PREDICTED = f"""{MAILS}, pred AS (SELECT mail_id, {CODE} AS label, CASE WHEN length(body) % 4 = 0 THEN 1
     WHEN length(body) % 9 = 0 THEN 2 ELSE 0 END AS prediction FROM mail WHERE label IS NOT NULL)"""
 CHECKS["confusion_counts"] = f"{PREDICTED} SELECT label, prediction, count(*) AS n FROM pred GROUP BY 1, 2"

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from postwarden.functions import fixed as fx
 from postwarden.operators.decision import decide_label
 from postwarden.operators.features import FEATURE_NAMES, serve_features_with_inputs
-from postwarden.operators.joins import HOT_SHARE
 from postwarden.operators.reputation import KEY, with_sender_reputation
 from postwarden.operators.risk import risk_score, risk_signals
 
 
 def risk_frame(
     mail: DataFrame, reputation: DataFrame, profile: str = "additive",
-    keep: list[str] | None = None, hot_share: float | None = HOT_SHARE,
+    keep: list[str] | None = None, hot_share: float | None = None,
 ) -> DataFrame:
     """Serve features, reputation and risk of each mail.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +37,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path for stream state and intermediate tables.
 
     It lies under ``spark.checkpoint.dir``, which on a cluster names shared
-    storage.  Only where that is unset (tests, local runs) is one made up.
+    storage.  Where that is unset, it lies in the warehouse, which must not be a
+    local path then unless the master is local.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="postwarden-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
+        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "working")
+        local = base.startswith("file:") or "://" not in base
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 

@@ -150,17 +150,17 @@ def parse_mail(files: DataFrame, body_policy: str = "all_plain", full_entities:
 def read_csv_mail(
     spark: SparkSession, path: str, label: str | None = None, source: str = "csv",
 ) -> DataFrame:
-    """CSV with sender, subject, body and, unless ``label`` is given, a 0/1 label (1 is spam).
+    """CSV with sender, subject, body and, unless ``label`` is given, a 0/1 label (1 or 1.0 is spam).
 
-    Rows with a null in any used column are dropped.
+    Rows with a null in any used column, or a label that isn't a number, are dropped.
     """
     df = (
         spark.read.option("header", True).option("multiLine", True)
         .option("quote", '"').option("escape", '"').csv(path)
     )
     mark = F.lit(label) if label else F.when(
-        F.col("label").try_cast("int") == 1, "spam"
-    ).when(F.col("label").isNotNull(), "ham")
+        F.col("label").try_cast("double") == 1, "spam"
+    ).when(F.col("label").try_cast("double").isNotNull(), "ham")
     return df.select(
         F.col("sender").alias("from_email"), "subject", "body", mark.alias("label"),
         F.lit(source).alias("source"),

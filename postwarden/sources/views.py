@@ -84,27 +84,23 @@ TABLES = {
 }
 
 
-def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    """One given table; ``spread`` readies text tables for per-character work."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread_small(df) if spread and name in TEXT_TABLES else df
-
+#: A session setting: how many partitions text tables are dealt to.  Unset, scans stay as they are; it is
+#: meant for small files whose single row group cannot be split.
+TEXT_PARTITIONS = "spark.postwarden.textPartitions"
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
 
-    A scan that already has several splits per core, which any large table
-    has, is returned as it is, so nothing large is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One given table."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    partitions = spark.conf.get(TEXT_PARTITIONS, None) if name in TEXT_TABLES else None
+    return df.repartition(int(partitions)) if partitions else df
 
 
-def view(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the views above over the parquet tables in ``folder``."""
     text, needs = TABLES[name]
     return spark.sql(
-        _as_arguments(text, needs), args=None, **{t: table(spark, folder, t, spread) for t in needs}
+        _as_arguments(text, needs), args=None, **{t: table(spark, folder, t) for t in needs}
     )
 
 

@@ -17,8 +17,8 @@ from postwarden.functions.times import from_instant, to_instant
 from postwarden.operators import campaigns as cp
 from postwarden.operators.domains import domain_counts, grade_domains, merge_domain_counts
 from postwarden.plans.scoring import factor_rows, log_rows
+from postwarden.operators.dataset import with_message_id
 from postwarden.session import shared_dir
-from postwarden.sources.tables import read_or_empty
 
 AT = "classified_at"
 INSTANT = "instant_"  # watermarks need a time with zone
@@ -120,7 +120,11 @@ def sender_history(log: DataFrame) -> DataFrame:
 
 
 def unique_message_stream(log: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """First arrival per message id; ids are forgotten once ``lateness`` has passed."""
+    """First arrival per message id; ids are forgotten once ``lateness`` has passed.
+
+    Rows without an id get one from their order key, as in a table.
+    """
+    log = with_message_id(log)
     timed = log.withColumn(INSTANT, to_instant(F.col(AT))).withWatermark(INSTANT, lateness)
     return timed.dropDuplicatesWithinWatermark(["message_id"]).drop(INSTANT)
 
@@ -134,13 +138,20 @@ CAMPAIGN_STATE = (
 RECENT = "domain string, predicted_label string, classified_at timestamp_ntz"
 
 
+def _state(spark: SparkSession, home: str, name: str, batch: int, schema: str) -> DataFrame:
+    """What the batch left; empty before the first one."""
+    if batch < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_batch_folder(home, name, batch))
+
+
 def campaign_job(
     log: DataFrame, home: str, window_seconds: int = 600, threshold: int = 15,
     lateness_seconds: int = 3600, once: bool = True,
 ) -> StreamingQuery:
     """Keeps one campaign row per domain up to date.
 
-    State is two tables per batch: the recent log rows a trailing count can
+    Lost state of an earlier batch is an error.  State is two tables per batch: the recent log rows a trailing count can
     still need (lateness + window), and the campaigns so far.  Each batch counts
     over recent + new rows with the same chunked window as the batch job, so a
     busy domain is spread over many tasks.  A row that comes late by less than
@@ -151,8 +162,8 @@ def campaign_job(
 
     def sink(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        recent = read_or_empty(spark, _batch_folder(home, "recent", batch - 1), RECENT)
-        before = read_or_empty(spark, _batch_folder(home, "campaigns", batch - 1), CAMPAIGN_STATE)
+        recent = _state(spark, home, "recent", batch - 1, RECENT)
+        before = _state(spark, home, "campaigns", batch - 1, CAMPAIGN_STATE)
         new = rows.select("domain", "predicted_label", AT)
         newest = recent.agg(F.max(AT)).scalar()
         in_time = new.filter(newest.isNull() | (F.col(AT) >= newest - F.expr(late)))
@@ -205,7 +216,8 @@ def store_job(
             good = scored.filter(F.col("error").isNull())
             mails = log_rows(scored)
             outputs = {"mails": mails, "factors": factor_rows(good), "history": sender_history(mails),
-                       "domain_counts": domain_counts(mails)}
+                       "domain_counts": domain_counts(mails),
+                       "errors": scored.filter(F.col("error").isNotNull()).select("mail_id", "error")}
             for name, df in outputs.items():
                 df.write.mode("overwrite").parquet(_batch_folder(home, name, batch))
         finally:

@@ -36,15 +36,6 @@ def test_lookup_with_hot_and_unknown_keys(spark):
     )
 
 
-def test_reference_table_beyond_the_bound(spark, monkeypatch):
-    left = spark.createDataFrame([(i, f"k{i % 7}") for i in range(50)], "id int, k string")
-    right = spark.createDataFrame([(f"k{i}", i) for i in range(5)], "k string, v int")
-    small = sorted(map(str, joins.small_or_balanced_lookup(left, right, "k").select("id", "k", "v").collect()))
-    monkeypatch.setattr(joins, "SMALL_ROWS", 2)
-    large = sorted(map(str, joins.small_or_balanced_lookup(left, right, "k").select("id", "k", "v").collect()))
-    assert small == large
-
-
 # --- campaigns --------------------------------------------------------------
 
 
