@@ -159,8 +159,12 @@ def test_prefixes_are_enough():
         same = len(np.intersect1d(x, y))
         if 100 * same < 75 * (len(x) + len(y) - same):
             continue
-        (px, mx), (py, my) = (jaccard.prefix(s, level, (75, 100)) for s in (x, y))
-        assert len(np.intersect1d(x[px], y[py])) >= min(mx, my)
+        (px, mx, lx), (py, my, ly) = (jaccard.prefix(s, level, (75, 100)) for s in (x, y))
+        both = np.intersect1d(x[px], y[py])
+        assert len(both) >= min(mx, my)
+        if lx != ly:
+            first, size = (px, x) if lx < ly else (py, y)
+            assert same <= len(size) - len(first) + len(both)
 
 
 def test_jaccard_on_odd_tables(crowded, none, rows):
