@@ -28,9 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that aren't toxic."""
-    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = docs.select("doc_id", "text").join(labels, "doc_id")
-    return toxicity.scored(docs, labelled, carry=True).filter(F.col("score") < TOXIC_FROM).select("row.*")
+    found = toxicity.scored(docs, docs, read(spark, sf_dir, "labels"), carry=True)
+    return found.filter(F.col("score") < TOXIC_FROM).select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

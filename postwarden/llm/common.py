@@ -47,7 +47,7 @@ def carried(df: DataFrame, id_col: str, carry: bool) -> Column:
     return F.col(id_col).cast("bigint").alias(id_col)
 
 
-def result_type(narrow: DataFrame, **fields: str) -> T.StructType:
+def result_type(narrow: DataFrame, **fields: str | T.DataType) -> T.StructType:
     """The first column of ``narrow`` and further fields."""
     kind = T.StructType([narrow.schema.fields[0]])
     for name, of in fields.items():

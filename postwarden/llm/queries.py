@@ -61,9 +61,8 @@ def op6_best_fit_packing(spark, d):
 
 @query
 def op10_toxicity(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    labelled = docs.join(read(spark, d, "labels").select("doc_id", "toxic"), "doc_id").filter(remainder("doc_id", 4) != 2)
-    return toxicity.scored(docs, labelled).select(
+    docs = read(spark, d, "documents")
+    return toxicity.scored(docs, docs.filter(remainder("doc_id", 4) != 2), read(spark, d, "labels")).select(
         "doc_id", _held_out(4, 2), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     )
 

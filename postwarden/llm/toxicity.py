@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postwarden.llm.common import carried, result_type, take_sample, texts
+from postwarden.session import materialise
 
 DIMENSIONS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
@@ -88,21 +90,28 @@ def fit(docs: list[list[list[int]]], n_words: int, word_features: list[list[int]
     return w, float(b)
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int,
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_class: int,
           epochs: int, rate: float, decay: float) -> tuple[np.ndarray | None, float]:
-    rows = labelled.select(id_col, text_col, label_col).filter(F.col(label_col).isin(0, 1))
-    counts = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}
+    """Weights and bias.  Ids meet labels as narrow rows; only the bounded sample of them is joined, by broadcast, to texts."""
+    marked = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
+    rows = materialise(docs.select(F.col(id_col).alias("_id")).join(marked, "_id"), "labelled")
+    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     if len(counts) < 2:
         return None, float(bool(counts.get(1)))
-    sample = take_sample(rows, id_col, [label_col], rows_per_class)
+    chosen = take_sample(rows, "_id", ["_label"], rows_per_class).distinct()
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def cut(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(["\n".join(" ".join(sorted(s)) for s in bags(t)) for t in texts(b.column(1))], pa.string()),
-            ], names=["label", "words"])
-
-    got = sample.select(F.col(label_col).cast("int"), text_col).mapInArrow(cut, "label int, words string").toArrow()
+                b.column(0), b.column(1),
+                pa.array(["\n".join(" ".join(sorted(s)) for s in bags(t)) for t in texts(b.column(2))], pa.string()),
+            ], names=["id", "label", "words"])
+
+    got = sample.select(F.col("_id").cast("bigint"), F.col("_label").cast("int"), "_text").mapInArrow(
+        cut, "id bigint, label int, words string"
+    ).toArrow()
+    got = got.sort_by([("id", "ascending"), ("words", "ascending")]).drop_columns("id")  # the steps depend on the order
     number: dict[str, int] = {}
     docs, labels = [], np.array(got.column(0).to_pylist(), float)
     for text in got.column(1).to_pylist():
@@ -148,16 +157,16 @@ class Scorer:
 
 
 def scored(
-    df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    rows_per_class: int = 4000, epochs: int = 4, rate: float = 0.3, decay: float = 1e-6, locate: float | None = None,
+    df: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    rows_per_class: int = 4000, epochs: int = 8, rate: float = 0.6, decay: float = 1e-6, locate: float | None = None,
     carry: bool = False,
 ) -> DataFrame:
     """The probability that each row's text is toxic; with ``locate``, also its sentences of that score or more.
 
-    With ``carry``, each row is handed on whole, as the column ``row``.
+    It is learnt from the texts of ``docs`` that ``labels`` (id, label) names.  With ``carry``, each row is handed on whole, as the column ``row``.
     """
     shared = df.sparkSession.sparkContext.broadcast(
-        learn(labelled, id_col, text_col, label_col, rows_per_class, epochs, rate, decay)
+        learn(docs, labels, id_col, text_col, label_col, rows_per_class, epochs, rate, decay)
     )
     def run(batches):
         scorer = Scorer(*shared.value)
@@ -172,5 +181,5 @@ def scored(
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
     narrow = df.select(carried(df, id_col, carry), F.col(text_col).cast("string").alias("_text"))
-    more = {} if locate is None else {"offending": "array<string>"}
+    more = {} if locate is None else {"offending": T.ArrayType(T.StringType())}
     return narrow.mapInArrow(run, result_type(narrow, score="double", **more))
