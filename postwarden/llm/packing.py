@@ -15,6 +15,7 @@ A null text is empty: its only id is the end.  Repeated rows are packed each.  A
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -24,11 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postwarden.llm.bytebpe import byte_characters
 from postwarden.llm.common import batch, texts
 from postwarden.session import materialise
 
 #: Words whose ids a worker remembers; the memory is emptied when full.
 REMEMBER = 250_000
+MARKS = [b".", b",", b"!", b"?", b";", b":", b"!!", b".!!", b",!!"]
+#: Letters whose lower case and normal form don't depend on what stands beside them, and closing marks.
+_LETTERS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,!?;:]*)").fullmatch
 
 
 class WordIds:
@@ -43,6 +48,32 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.shown = byte_characters()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words.
+
+        Most are Latin letters with or without closing marks.  The tokenizer parts the letters from the marks, so
+        the letters' ids come from its model directly and are shared by all words that differ in marks or case.
+        """
+        others, model, shown = [], self.library.model, self.shown
+        for word in words:
+            text = word.decode()
+            found = _LETTERS(text)
+            if not found or (found[2] and found[2].encode() not in self.known):
+                others.append(text)
+                continue
+            low = found[1].lower()
+            ids = self.letters.get(low)
+            if ids is None:
+                if len(self.letters) >= REMEMBER:
+                    self.letters.clear()
+                spelt = low if low.isascii() else "".join([shown[b] for b in low.encode()])
+                ids = self.letters[low] = np.array([t.id for t in model.tokenize(spelt)], "<u4").tobytes()
+            self.known[word] = ids + self.known[found[2].encode()] if found[2] else ids
+        for word, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False)):
+            self.known[word.encode()] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, many: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -51,17 +82,13 @@ class WordIds:
         for at in range(0, len(cut), 256):
             part = cut[at : at + 256]
             wanted = set().union(*part)
-            missing = wanted - self.known.keys()
+            missing = [w for w in wanted if w not in self.known]
             if missing:
                 if len(self.known) + len(missing) > REMEMBER:
                     self.known.clear()
-                    missing = wanted
-                new = list(missing)
-                for k in range(0, len(new), 4096):
-                    some = new[k : k + 4096]
-                    found = self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                    for word, e in zip(some, found):
-                        self.known[word] = np.array(e.ids, "<u4").tobytes()
+                    missing = list(wanted)
+                self._learn(MARKS)
+                self._learn(missing)
             out += [b"".join(map(self.known.__getitem__, words)) for words in part]
         return out
 
