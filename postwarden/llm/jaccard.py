@@ -5,7 +5,9 @@ order: those of a bounded count sketch that stand out come later, the others by
 partners share at least o of them, the first n - o + m are a prefix, and two partners have m of them in common if each has
 such a prefix.  Each document takes the m whose cost (entries of the prefix, and partners to check, estimated by the
 sketch) is least: one for rare shingles, more where the prefix reaches common ones.  A pair is checked if it shares as many
-prefix shingles as the smaller m of the two asks for; the check compares the whole sets exactly.
+prefix shingles as the smaller m of the two asks for; the check compares the whole sets exactly.  Before that, the shingles
+of a prefix that no other prefix holds bound what two sets can share: of the two, the one whose prefix ends first in the
+order has all its shared prefix shingles in the other's prefix, so its unmatched ones are in its own set alone.
 
 Large groups of near copies would meet in every shingle.  So a first step ties each document to the smallest of those that
 agree with it in several minima of hashes, checks that pair, and takes components.  From then on only documents of
@@ -25,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postwarden.llm.common import batch, merged, runs, texts
+from postwarden.llm.common import batch, group_starts, merged, runs, texts
 from postwarden.llm.components import components
 from postwarden.session import materialise
 
@@ -74,8 +76,8 @@ def levels(sketch: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(sketch - mean - 6 * np.sqrt(mean + 1), 0.5)) + 2).clip(0).astype(np.uint8)
 
 
-def prefix(tokens: np.ndarray, level: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, int]:
-    """The prefix of a set and the number of matches it asks for."""
+def prefix(tokens: np.ndarray, level: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, int, int]:
+    """The prefix of a set, the number of matches it asks for, and a number that orders sets by their prefix's last shingle."""
     own = level[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]
     order = np.lexsort((tokens, own))
     n, least = len(tokens), int(needed(len(tokens), share))
@@ -83,7 +85,8 @@ def prefix(tokens: np.ndarray, level: np.ndarray, share: tuple[int, int]) -> tup
     ends = n - least + np.arange(1, most + 1)
     partners = np.append(0, np.cumsum(np.where(own[order] > 0, np.exp2(own[order] - 2.0), 0)))[ends]
     m = int(np.argmin(ends + CHECK_COST * partners / np.arange(1, most + 1))) + 1
-    return order[: ends[m - 1]], m
+    last = order[ends[m - 1] - 1]
+    return order[: ends[m - 1]], m, (int(own[last]) << 57) | (int(tokens[last]) >> 7)
 
 
 def _described(docs: DataFrame, words: int) -> DataFrame:
@@ -181,7 +184,7 @@ def _first_step(nodes: DataFrame) -> DataFrame:
 def _entries(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, int]) -> DataFrame:
     """Prefix entries that meet another one: shingle, id, size of the set, matches asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
-    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("m", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("last", pa.int64())])
     common = 13  # a sketch level: from some thousand documents on, an entry surely meets others
 
     def emit(batches):
@@ -189,17 +192,18 @@ def _entries(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, i
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                found: list[list] = [[], [], [], [], []]
+                found: list[list] = [[], [], [], [], [], []]
                 for key, t in zip(some.column(0).to_pylist(), texts(some.column(1))):
                     s = shingles(t, words)
                     if not len(s):
                         continue
-                    first, m = prefix(s, own, share)
+                    first, m, last = prefix(s, own, share)
                     chosen = s[first]
                     hot = own[(chosen & np.uint64(SKETCH - 1)).astype(np.int64)] >= common
                     for x, v in zip(found, (
                         chosen.view(np.int64), np.where(hot, 1 + key % 9973, 0).astype(np.int32), np.full(len(chosen), key),
                         np.full(len(chosen), len(s), np.int32), np.full(len(chosen), m, np.int32),
+                        np.full(len(chosen), last),
                     )):
                         x.append(v)
                 if found[0]:
@@ -211,7 +215,7 @@ def _entries(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, i
             if many.any():
                 yield batch(schema, *[c[many] for c in columns])
 
-    kind = "token bigint, salt int, id bigint, n int, m int"
+    kind = "token bigint, salt int, id bigint, n int, m int, last bigint"
     entries = docs.filter("id is not null").mapInArrow(emit, kind)
     met = entries.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(several, kind)
     return materialise(met.drop("salt"), "entries")
@@ -219,7 +223,12 @@ def _entries(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, i
 
 def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Pairs of nodes of different components that share as many prefix shingles as they have to."""
-    rows = materialise(entries.join(member.filter("id = node").select("id", "part"), "id").distinct(), "members")
+    met_by_others = F.count(F.lit(1)).over(Window.partitionBy("id", "n", "m", "last"))
+    taken = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + F.col("m")
+    rows = entries.join(member.filter("id = node").select("id", "part"), "id").distinct().withColumn(
+        "most", (F.col("n") - taken + met_by_others).cast("int")  # what the set can share with others
+    )
+    rows = materialise(rows, "members")
     by_part = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c"))
     crossing = by_part.groupBy("token").agg(
         F.sum("c").alias("all"), F.max(F.struct("c", "part")).alias("top"), F.count(F.lit(1)).alias("parts")
@@ -236,7 +245,9 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
     def every(of: str):
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    shown = ["token", "low", "high", "side", "id", "part", "n", "m"]
+    # Shingles with the same largest component go together, so that pairs they share are counted before they leave the task.
+    place = ["top", "low", "high", "token"]
+    shown = [*place, "side", "id", "part", "n", "m", "last", "most"]
     work = (
         top.withColumn("low", block("top_blocks")).withColumn("high", every("blocks")).withColumn("side", F.lit(0)).select(shown)
         .union(rest.withColumn("high", block("blocks")).withColumn("low", every("top_blocks")).withColumn("side", F.lit(1)).select(shown))
@@ -246,11 +257,12 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
             .withColumn("low", -1 - F.least("mine", "theirs")).withColumn("high", F.greatest("mine", "theirs")).select(shown)
         )
     )
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("m", pa.int32())])
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("m", pa.int32()), ("c", pa.int64())])
 
     def meet(batches):
-        for columns, starts in runs(batches, 3):
-            _, low, high, side, key, part, n, m = columns
+        for columns, starts in runs(batches, 4):
+            _, low, high, _, side, key, part, n, m, last, most = columns
+            n, most = n.astype(np.int64), most.astype(np.int64)
             out: list[list] = [[], [], []]
             for s, e in zip(starts[:-1], starts[1:]):
                 if e - s < 2:
@@ -263,19 +275,26 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
                     else:
                         fit &= key[own] > key[i]
                     fit &= np.minimum(n[own], n[i]) * share[1] >= np.maximum(n[own], n[i]) * share[0]
+                    bound = np.where(last[own] < last[i], most[own], most[i])
+                    bound = np.where(last[own] == last[i], np.maximum(most[own], most[i]), bound)
+                    fit &= bound * (share[0] + share[1]) >= (n[own] + n[i]) * share[0]
                     j = np.flatnonzero(fit) + s
                     if len(j):
                         out[0].append(np.minimum(key[i], key[j]))
                         out[1].append(np.maximum(key[i], key[j]))
                         out[2].append(np.minimum(m[i], m[j]))
             if out[0]:
-                yield batch(schema, *map(np.concatenate, out))
-
-    met = work.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(
-        meet, "x bigint, y bigint, m int"
+                x, y, m = map(np.concatenate, out)
+                order = np.lexsort((y, x))
+                x, y, m = x[order], y[order], m[order]
+                first = group_starts(x, y)
+                yield batch(schema, x[first[:-1]], y[first[:-1]], np.maximum.reduceat(m, first[:-1]), np.diff(first))
+
+    met = work.repartition("top", "low", "high").sortWithinPartitions(*place).mapInArrow(
+        meet, "x bigint, y bigint, m int, c bigint"
     )
     return materialise(
-        met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.max("m").alias("m")).filter("c >= m").select("x", "y"), "pairs"
+        met.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("m").alias("m")).filter("c >= m").select("x", "y"), "pairs"
     )
 
 
