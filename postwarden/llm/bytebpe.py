@@ -105,11 +105,11 @@ class ByteBpe:
         for at in range(0, len(cut), 256):
             part = cut[at : at + 256]
             wanted = set().union(*part)
-            missing = wanted - self.known.keys()
+            missing = [p for p in wanted if p not in self.known]
             if missing:
                 if len(self.known) + len(missing) > REMEMBER:
                     self.known.clear()
-                    missing = wanted
+                    missing = list(wanted)
                 self._learn(missing)
             out += [b"".join(map(self.known.__getitem__, pieces)) for pieces in part]
         return out
