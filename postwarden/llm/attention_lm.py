@@ -145,26 +145,46 @@ class AttentionLm:
     def ready(self) -> AttentionLm:
         """Projects every piece and place once, so that scoring only looks them up."""
         p, root = self.p, np.float32(1 / np.sqrt(WIDTH))
-        w = np.concatenate([p["Q"] * root, p["K"], p["V"] @ p["O"], np.eye(WIDTH, dtype=np.float32)], axis=1)
-        self.piece, self.place = p["E"] @ w, p["P"] @ w
+        asks = np.concatenate([p["Q"] * root, np.eye(WIDTH, dtype=np.float32)], axis=1)
+        holds = np.concatenate([p["K"], p["V"] @ p["O"]], axis=1)
+        self.asks, self.asks_place = p["E"] @ asks, p["P"] @ asks
+        self.holds, self.holds_place = p["E"] @ holds, p["P"] @ holds
         return self
 
     def _log_probabilities(self, ids: np.ndarray, target: np.ndarray, start: int) -> np.ndarray:
-        """Natural logs for the places from ``start`` on of each window."""
-        x = self.piece[ids] + self.place
-        q, k, v, own = (x[..., i * WIDTH : (i + 1) * WIDTH] for i in range(4))
-        mask = np.triu(np.full((WINDOW, WINDOW), NEGATIVE), 1)[start:]
-        a = softmax(q[:, start:] @ k.transpose(0, 2, 1) + mask)
-        h = (a @ v + own[:, start:]).reshape(-1, WIDTH)
-        z = h @ self.p["U"]
-        z += self.p["b"]
-        z -= z.max(axis=1, keepdims=True)
-        t = target.ravel()
-        chosen = z[np.arange(len(z)), self.group[t]]
-        np.exp(z, out=z)
-        return chosen - np.log(z.sum(axis=1)) + self.inside[t]
-
-    def score(self, many: list[np.ndarray], rows: int = 192) -> np.ndarray:
+        """Natural logs for the places from ``start`` on of each window.
+
+        Exponentials are taken as they are, which is the fast way for a trained model's sizes; should one
+        overflow or a sum vanish, the largest is subtracted first.
+        """
+        x = self.asks.take(ids[:, start:], axis=0)
+        x += self.asks_place[start:]
+        y = self.holds.take(ids, axis=0)
+        y += self.holds_place
+        q, own, k, v = x[..., :WIDTH], x[..., WIDTH:], y[..., :WIDTH], y[..., WIDTH:]
+        seen = np.tri(WINDOW, dtype=np.float32)[start:]
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            a = q @ k.transpose(0, 2, 1)
+            np.exp(a, out=a)
+            a *= seen
+            total = a.sum(axis=-1, keepdims=True)
+            if not (np.isfinite(total).all() and (total > 0).all()):
+                a = softmax(q @ k.transpose(0, 2, 1) + np.where(seen > 0, np.float32(0), NEGATIVE))
+                total = np.float32(1)
+            h = ((a @ v) / total + own).reshape(-1, WIDTH)
+            z = h @ self.p["U"]
+            t = target.ravel()
+            at = np.arange(len(z)), self.group[t]
+            chosen = z[at] + self.p["b"][at[1]]
+            np.exp(z, out=z)
+            total = z @ np.exp(self.p["b"])
+            if not (np.isfinite(total).all() and (total > 0).all()):
+                z = h @ self.p["U"] + self.p["b"]
+                most = z.max(axis=1)
+                return z[at] - most - np.log(np.exp(z - most[:, None]).sum(axis=1)) + self.inside[t]
+        return chosen - np.log(total) + self.inside[t]
+
+    def score(self, many: list[np.ndarray], rows: int = 96) -> np.ndarray:
         """Log probability of each sequence of ids and its end."""
         half = WINDOW // 2
         size = np.array([len(x) + 1 for x in many], np.int64)
