@@ -5,8 +5,7 @@ masked self-attention over a window predicts the class of the next piece: freque
 the others share classes in which a piece has its smoothed frequency.  It is trained by numpy on a bounded sample of the
 learning documents.  To score a text, windows overlap by half: the first one scores all its pieces, each later one those
 of its second half, so every piece is scored once and with at least half a window before it.  Windows of many texts are
-scored together.  The model's probability of a text is the mean of the attention model's and that of the smoothed counts of
-words in all learning documents, so that it also holds what the whole corpus says about rare words.
+scored together.  The score of a text is this model's log probability; the smoothed word counts give the base score only.
 
 The counts of words cover all learning documents.  Tasks number the words of a block of documents and give texts as
 word numbers; the blocks' words, far fewer than the texts', are summed in one shuffle and return to their block.
@@ -340,10 +339,9 @@ def scored(
             tokens.append(len(n) + 1)
             met.append(int(known[n].sum()) + bool(ends))
             score.append(float(logs[n].sum() + np.log10((ends + 0.5) / below)))
-        mixed = np.logaddexp(left.column("score").to_numpy() * np.log(10), np.array(score) * np.log(10)) / np.log(10) - np.log10(2)
         return pa.Table.from_arrays([
             left.column("id"), left.column("held"), pa.array(tokens, pa.int64()), pa.array(met, pa.int64()),
-            pa.array([all_tokens] * len(tokens), pa.int64()), pa.array(score, pa.float64()), pa.array(mixed, pa.float64()),
+            pa.array([all_tokens] * len(tokens), pa.int64()), pa.array(score, pa.float64()), left.column("score"),
         ], schema=out)
 
     return rows.select("block", "id", "held", "score", "words").groupBy("block").cogroup(

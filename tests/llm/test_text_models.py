@@ -199,3 +199,16 @@ def test_lm_on_odd_tables(crowded, none):
     assert attention_lm.scored(none, held, path, steps=2).count() == 0
     nothing = attention_lm.scored(crowded, F.lit(True), path, steps=2).collect()
     assert {r.train_tokens for r in nothing} == {0} and len(nothing) == crowded.count()
+
+
+def test_lm_score_is_the_models_own(docs, monkeypatch):
+    from postwarden.llm.common import remainder
+
+    path = P.path("piece_bpe_32k.model")
+    own = attention_lm.Pieces(path)
+    model = attention_lm.AttentionLm(own.size, np.random.default_rng(4).random(own.size) * 9)
+    monkeypatch.setattr(attention_lm, "fitted", lambda *a, **b: model)
+    few = docs.filter("doc_id < 9 or doc_id between 200 and 206")
+    got = attention_lm.scored(few, remainder("doc_id", 5) == 1, path).collect()
+    want = sorted(model.ready().text_scores([attention_lm.words_of(r.text or "") for r in few.collect()], own))
+    assert sorted(r.score for r in got) == pytest.approx(want, rel=1e-4)
