@@ -2,8 +2,10 @@
 
 The attention model reads subword ids of a public vocabulary (of each lower-cased word in turn, then an end).  One layer of
 masked self-attention over a window predicts the class of the next piece: frequent pieces are classes of their own,
-the others share classes in which a piece has its smoothed frequency.  It is trained by numpy on a bounded sample of the
-learning documents.  To score a text, windows overlap by half: the first one scores all its pieces, each later one those
+the others share classes in which a piece has its smoothed frequency.  Pieces are counted over all learning documents,
+and the model is trained by numpy on all of them: the documents are cut into rounds; in a round every task trains on its
+own documents from the round's common parameters, and the tasks' changes are averaged in a tree of arrays of bounded
+size, embeddings by how often a task met the piece.  Few documents are read several times over.  To score a text, windows overlap by half: the first one scores all its pieces, each later one those
 of its second half, so every piece is scored once and with at least half a window before it.  Windows of many texts are
 scored together.  The score of a text is this model's log probability; the smoothed word counts give the base score only.
 
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postwarden.llm.common import batch, take_sample, texts
+from postwarden.llm.common import batch, group_starts, merged, texts
 from postwarden.session import materialise
 
 WINDOW, WIDTH, HEADS_OF_THEIR_OWN, SHARED = 32, 24, 224, 32
@@ -34,6 +36,10 @@ BEGIN, END = 1, 2
 #: Words whose pieces a worker remembers; the memory is emptied when full.
 REMEMBER = 250_000
 BLOCK_TOKENS = 3_000_000
+#: Windows in an Adam step, and pieces that a task trains on.
+STEP_ROWS, TASK_PIECES = 64, 4_000_000
+#: Sixteenths of the documents, by their number in a task, after which the tasks' parameters are averaged.
+ROUNDS = ((0, 1), (1, 4), (4, 16))
 NEGATIVE = np.float32(-1e9)
 
 
@@ -100,26 +106,58 @@ class AttentionLm:
             "U": random(WIDTH, classes) * 0.1, "b": np.log(np.bincount(self.group, smooth) / smooth.sum()).astype(np.float32),
         }
 
-    def train(self, stream: np.ndarray, steps: int, rate: float = 0.01, rows: int = 64, seed: int = 2) -> None:
-        """Adam steps on random windows of a stream of ids."""
-        if len(stream) <= WINDOW + 1:
-            return
+    def train(self, streams, planned: float, done: float = 0.0, upto: float = 1.0, rate: float = 0.01, seed: int = 2) -> np.ndarray:
+        """Adam steps on every piece of the streams of ids, about ``planned`` pieces; how often each piece was read.
+
+        The rate falls with the share of the whole training, here from ``done`` to ``upto``.
+        """
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         mask = np.triu(np.full((WINDOW, WINDOW), NEGATIVE), 1)
-        for step in range(1, steps + 1):
-            at = rng.integers(0, len(stream) - WINDOW, rows)[:, None] + np.arange(WINDOW + 1)
-            g = self._gradients(stream[at[:, :-1]], self.group[stream[at[:, 1:]]], mask)
-            speed = rate * min(1.0, step / 50) * (1 - 0.9 * step / steps)
-            for k, grad in g.items():
-                first[k] += 0.1 * (grad - first[k])
-                second[k] += 0.01 * (grad * grad - second[k])
-                self.p[k] -= speed * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
-
-    def _gradients(self, ids: np.ndarray, target: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
+        met, read, step = np.zeros(len(self.p["E"]), np.int64), 0, 0
+        for windows in training_windows(streams, rng):
+            for at in range(0, len(windows), STEP_ROWS):
+                some = windows[at : at + STEP_ROWS]
+                ids = some[:, :-1]
+                step, read = step + 1, read + ids.size
+                rows, own, often = np.unique(ids, return_inverse=True, return_counts=True)
+                met[rows] += often
+                g = self._gradients(own.reshape(ids.shape), self.group[some[:, 1:]], mask, self.p["E"][rows])
+                part = done + (upto - done) * min(1.0, read / max(planned, 1))
+                speed = rate * min(1.0, step / 50) * (1 - 0.9 * part)
+                for k, grad in g.items():
+                    # Of the embeddings only the rows of the step's pieces change.
+                    of = rows if k == "E" else slice(None)
+                    one = first[k][of] * 0.9 + 0.1 * grad
+                    two = second[k][of] * 0.99 + 0.01 * (grad * grad)
+                    first[k][of], second[k][of] = one, two
+                    self.p[k][of] -= speed * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-6)
+        return met
+
+    def change(self, start: dict[str, np.ndarray], met: np.ndarray) -> np.ndarray:
+        """The change since ``start`` times its weight, and the weights, as one array of fixed size."""
+        weight = np.float32(met.sum())
+        dense = [((self.p[k] - start[k]) * weight).ravel() for k in start if k != "E"]
+        table = (self.p["E"] - start["E"]) * met[:, None].astype(np.float32)
+        return np.concatenate([[weight], *dense, met, table.ravel()]).astype(np.float32)
+
+    def move(self, total: np.ndarray) -> None:
+        """Applies the sum of tasks' changes as their weighted mean."""
+        at = 1
+        for k, v in self.p.items():
+            if k != "E":
+                v += total[at : at + v.size].reshape(v.shape) / max(total[0], 1)
+                at += v.size
+        size = len(self.p["E"])
+        met, table = total[at : at + size], total[at + size :].reshape(size, -1)
+        self.p["E"] += table / np.maximum(met, 1)[:, None]
+
+    def _gradients(self, ids: np.ndarray, target: np.ndarray, mask: np.ndarray, table=None) -> dict[str, np.ndarray]:
+        """``ids`` number the rows of ``table``, which stands for all embeddings or for those in use."""
         p, root = self.p, np.float32(1 / np.sqrt(WIDTH))
-        x = p["E"][ids] + p["P"]
+        table = p["E"] if table is None else table
+        x = table[ids] + p["P"]
         q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
         a = softmax(q @ k.transpose(0, 2, 1) * root + mask)
         o = a @ v
@@ -134,8 +172,11 @@ class AttentionLm:
         ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * root
         dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
         dx = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-        de = np.zeros_like(p["E"])
-        np.add.at(de, ids, dx)
+        de = np.zeros_like(table)
+        order = np.argsort(ids, axis=None, kind="stable")
+        sorted_ids = ids.ravel()[order]
+        starts = group_starts(sorted_ids)[:-1]
+        de[sorted_ids[starts]] = np.add.reduceat(flat(dx)[order], starts)
         return {
             "E": de, "P": dx.sum(axis=0), "Q": flat(x).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv),
             "O": flat(o).T @ flat(dh), "U": flat(h).T @ flat(dz), "b": flat(dz).sum(axis=0),
@@ -221,42 +262,100 @@ class AttentionLm:
         return self.score(sequences) / np.log(10)
 
 
-def trained(sample: list[str], path: str, steps: int) -> AttentionLm:
-    """A model of the sample's pieces."""
-    own, stream = Pieces(path), []
-    for t in sample:
-        words = words_of(t)
-        own.learn(set(words))
-        stream += [np.array([BEGIN], np.int32), own(words), np.array([END], np.int32)]
-    flat = np.concatenate(stream) if stream else np.zeros(0, np.int32)
-    model = AttentionLm(own.size, np.bincount(flat[flat != BEGIN], minlength=own.size).astype(float))
-    model.train(flat, steps)
+def training_windows(streams, rng, chunk: int = 2048):
+    """Windows and the piece after each, in which every piece but the first of all is the next one once; shuffled in chunks."""
+    held, size, any_yet = [], 0, False
+
+    def cut(flat: np.ndarray, n: int) -> np.ndarray:
+        at = np.arange(n)[:, None] * WINDOW + np.arange(WINDOW + 1)
+        return flat[at][rng.permutation(n)]
+
+    for x in streams:
+        held.append(x)
+        size += len(x)
+        if size > chunk * WINDOW:
+            flat = np.concatenate(held)
+            n = (len(flat) - 1) // WINDOW
+            yield cut(flat, n)
+            # The last window stays, so that the end of all can be filled with what came before.
+            keep, any_yet = flat[(n - 1) * WINDOW :], True
+            held, size = [keep[WINDOW:]], len(keep) - WINDOW
+            before = keep[:WINDOW]
+    flat = np.concatenate(held) if held else np.zeros(0, np.int32)
+    n, left = (len(flat) - 1) // WINDOW, (len(flat) - 1) % WINDOW
+    if len(flat) > 1:
+        if n:
+            yield cut(flat, n)
+        if left:
+            joined = np.concatenate([before, flat]) if any_yet else flat
+            # Less than a window in all is read round and round.
+            yield (joined[-WINDOW - 1 :] if len(joined) > WINDOW else np.resize(joined, WINDOW + 1))[None]
+
+
+def fitted(train: DataFrame, path: str, text_col: str, steps: int) -> AttentionLm:
+    """A model of all documents, with so many readings of them that ``steps`` steps are made at least."""
+    schema = pa.schema([("slice", pa.int32()), ("part", pa.int64()), ("data", pa.binary())])
+    kind = "slice int, part bigint, data binary"
+
+    def number(batches):
+        own, turn = pieces(path), 0
+        counts = np.zeros(own.size, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                data = []
+                for t in texts(b.column(0).slice(at, 512)):
+                    words, parts = words_of(t), []
+                    for start in range(0, len(words), REMEMBER // 2):
+                        few = words[start : start + REMEMBER // 2]
+                        own.learn(set(few))
+                        parts.append(own(few))
+                    ids = np.concatenate([[BEGIN], *parts, [END]]).astype(np.int32)
+                    counts += np.bincount(ids[1:], minlength=own.size)
+                    data.append(ids.astype(np.uint16 if own.size <= 1 << 16 else np.int32).tobytes())
+                slices = (turn + np.arange(len(data), dtype=np.int32)) % 16
+                turn += len(data)
+                yield batch(schema, slices, [None] * len(data), data)
+        if turn:
+            yield batch(schema, [None], [TaskContext.get().partitionId()], [counts.tobytes()])
+
+    made = materialise(train.select(F.col(text_col).alias("text")).mapInArrow(number, kind), "pieces")
+    counts = merged(made.filter("slice is null").select("part", "data"), "sum", "int64")
+    size = pieces(path).size
+    narrow = np.uint16 if size <= 1 << 16 else np.int32
+    if counts is None:
+        return AttentionLm(size, np.zeros(size))
+    model, total = AttentionLm(size, counts.astype(float)), int(counts.sum())
+    tasks = -(-total // TASK_PIECES)
+    passes = max(1, -(-steps * STEP_ROWS * WINDOW // total))
+    for low, high in ROUNDS:
+        shared = train.sparkSession.sparkContext.broadcast(model)
+        planned = total / tasks * passes * (high - low) / 16
+
+        def learn(batches, low=low, high=high, shared=shared, planned=planned):
+            held = [x for b in batches for x in b.column(0).to_pylist()]
+            if held:
+                start = {k: v.copy() for k, v in shared.value.p.items()}
+                lm = pickle.loads(pickle.dumps(shared.value))
+                part = TaskContext.get().partitionId()
+                streams = (np.frombuffer(x, narrow).astype(np.int32) for _ in range(passes) for x in held)
+                met = lm.train(streams, planned, low / 16, high / 16, seed=part + 2)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "data": [lm.change(start, met).tobytes()]})
+
+        rows = made.filter(f"slice >= {low} and slice < {high}").select("data").coalesce(tasks)
+        changes = materialise(rows.mapInArrow(learn, "part bigint, data binary"), "changes")
+        change = merged(changes, "sum", "float32", 4)
+        if change is not None:
+            model.move(change)
     return model
 
 
-def fitted(train: DataFrame, path: str, id_col: str, text_col: str, sample_docs: int, steps: int) -> AttentionLm:
-    """A model trained on about ``sample_docs`` of the documents, chosen by a hash of the id.
-
-    One task trains it on that bounded sample.
-    """
-    known = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("all"))
-    rows = take_sample(known, "id", ["all"], sample_docs).select("id", "text", F.lit(0).alias("one"))
-
-    def fit(table: pa.Table) -> pa.Table:
-        model = trained(texts(table.sort_by("id").column("text")), path, steps)
-        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
-
-    made = rows.groupBy("one").applyInArrow(lambda t: fit(t), "model binary").first()
-    return pickle.loads(made["model"]) if made else trained([], path, steps)
-
-
 def word_key(word: bytes) -> bytes:
     return word if len(word) <= 16 else b"\xff" + hashlib.blake2b(word, digest_size=16).digest()
 
 
 def scored(
     df: DataFrame, held: Column, vocabulary: str, id_col: str = "doc_id",
-    text_col: str = "text", sample_docs: int = 1500, steps: int = 2000,
+    text_col: str = "text", steps: int = 2000,
 ) -> DataFrame:
     """Token counts and both scores of every row; rows where ``held`` isn't false aren't learnt from."""
     spark = df.sparkSession
@@ -265,7 +364,7 @@ def scored(
         F.coalesce(~held, F.lit(False)).alias("train"), F.coalesce(held, F.lit(False)).alias("held"),
     )
     model = spark.sparkContext.broadcast(
-        fitted(docs.filter("train and text is not null"), vocabulary, "id", "text", sample_docs, steps)
+        fitted(docs.filter("train and text is not null"), vocabulary, "text", steps)
     )
     schema = pa.schema([
         ("block", pa.int64()), ("id", pa.int64()), ("held", pa.bool_()), ("train", pa.bool_()), ("score", pa.float64()),

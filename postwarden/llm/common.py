@@ -84,27 +84,27 @@ def group_starts(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def merged(rows: DataFrame, how: str, kind: str) -> np.ndarray | None:
-    """One array from an array per task (columns part, data), added or or-ed in steps of 256 at a time.
+def merged(rows: DataFrame, how: str, kind: str, bits: int = 8) -> np.ndarray | None:
+    """One array from an array per task (columns part, data), added or or-ed in steps of 2 to the ``bits`` at a time.
 
-    Every array has the same bounded size, so no task holds more than 256 of them.
+    Every array has the same bounded size, so no task holds more than that many of them.
     """
     def join(table: pa.Table) -> pa.Table:
         total = None
         for x in table.column("data"):
             own = np.frombuffer(x.as_py(), kind)
             total = own if total is None else total + own if how == "sum" else total | own
-        part = table.column("part")[0].as_py() >> 8
+        part = table.column("part")[0].as_py() >> bits
         return pa.table({"part": pa.array([part], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
 
     last = rows.agg(F.max("part")).first()[0]
     if last is None:
         return None
     while True:
-        rows = rows.groupBy((F.col("part") / 256).cast("bigint").alias("_g")).applyInArrow(
+        rows = rows.groupBy((F.col("part") / (1 << bits)).cast("bigint").alias("_g")).applyInArrow(
             lambda t: join(t), "part bigint, data binary"
         )
-        last >>= 8
+        last >>= bits
         if not last:
             return np.frombuffer(rows.first()["data"], kind)
 

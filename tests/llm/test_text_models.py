@@ -212,3 +212,46 @@ def test_lm_score_is_the_models_own(docs, monkeypatch):
     got = attention_lm.scored(few, remainder("doc_id", 5) == 1, path).collect()
     want = sorted(model.ready().text_scores([attention_lm.words_of(r.text or "") for r in few.collect()], own))
     assert sorted(r.score for r in got) == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_windows_cover_every_piece_once():
+    rng = np.random.default_rng(5)
+    for n in (2, 20, 33, 34, 64, 65, 500, 5000):
+        stream = np.arange(n)
+        seen = np.concatenate([w[:, 1:].ravel() for w in attention_lm.training_windows(np.array_split(stream, 9), rng, chunk=3)])
+        assert set(stream[1:]) <= set(seen.tolist()) and len(seen) < n + attention_lm.WINDOW
+
+
+def test_lm_learns_from_all_documents(spark):
+    path = P.path("piece_bpe_32k.model")
+    own = attention_lm.Pieces(path)
+    # More documents than the former sample of 1,500, and words that only single ones hold.
+    texts = [f"the page number {i} of {i * 7919 % 9973}" for i in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    got = attention_lm.fitted(rows, path, "text", 2)
+    counts = np.zeros(own.size)
+    for t in texts:
+        words = attention_lm.words_of(t)
+        own.learn(set(words))
+        counts += np.bincount([*own(words), attention_lm.END], minlength=own.size)
+    fresh = attention_lm.AttentionLm(own.size, counts)
+    assert np.array_equal(got.group, fresh.group) and np.allclose(got.inside, fresh.inside)
+    moved = (got.p["E"] != fresh.p["E"]).any(axis=1)
+    assert set(np.flatnonzero(moved)) >= set(np.flatnonzero(counts)) - {attention_lm.END}
+
+
+def test_lm_changes_average_by_weight():
+    start = attention_lm.AttentionLm(30, np.ones(30))
+    total = 0
+    for by, n in ((1.0, 1), (4.0, 2)):
+        one = attention_lm.AttentionLm(30, np.ones(30))
+        for v in one.p.values():
+            v += np.float32(by)
+        total = total + one.change(start.p, np.where(np.arange(30) == 3, 0, n))
+    moved = attention_lm.AttentionLm(30, np.ones(30))
+    moved.move(total)
+    for k, v in moved.p.items():
+        want = np.full(v.shape, 3.0)
+        if k == "E":
+            want[3] = 0
+        assert np.allclose(v - start.p[k], want, atol=1e-4)
