@@ -718,23 +718,24 @@ def tfidf_vector_norms(spark, d):
 def _predictions(spark, d, algorithm, **options):
     rows = dataset.split_mail(_labelled(spark, d))
     return training.train_and_predict(
-        rows.filter("split = 'train'"), rows.filter("split <> 'train'"), algorithm, 300, 100, **options
+        rows.filter("split = 'train'"), rows.filter("split <> 'train'"), algorithm, **options
     )
 
 
 @query
 def trained_logistic(spark, d):
-    return _predictions(spark, d, "logistic", maxIter=20)
+    return _predictions(spark, d, "logistic")
 
 
 @query
 def trained_forest(spark, d):
-    return _predictions(spark, d, "forest", numTrees=10, maxDepth=6)
+    return _predictions(spark, d, "forest")
 
 
 @query
 def trained_boosted(spark, d):
-    return _predictions(spark, d, "boosted", maxIter=3, maxDepth=3)
+    val = dataset.split_mail(_labelled(spark, d)).filter("split = 'val'")
+    return _predictions(spark, d, "boosted", validation=val)
 
 
 @query

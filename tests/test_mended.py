@@ -124,3 +124,29 @@ def test_registered_queries_deal_no_texts_round(spark, data, name):
 
     plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobin" not in plan
+
+
+@pytest.mark.parametrize("name", ["trained_logistic", "trained_forest", "trained_boosted"])
+def test_registered_training_is_whole(spark, data, name, monkeypatch):
+    from __spark_entry__ import queries
+    from postwarden.functions import fixed as fx
+    from postwarden.operators.features import FEATURE_NAMES
+    from postwarden.operators.vectors import fit_tfidf
+    from postwarden.plans import catalog, training
+
+    class Seen(Exception):
+        pass
+
+    def fit(vectors, algorithm, **options):
+        raise Seen(len(vectors.first()["features"]), options, [r[0] for r in vectors.groupBy("held").count().collect()] if "held" in vectors.columns else [])
+
+    monkeypatch.setattr(training, "fit_classifier", fit)
+    with pytest.raises(Seen) as seen:
+        queries()[name](spark, data)
+    size, options, held = seen.value.args
+    rows = catalog.dataset.split_mail(catalog._labelled(spark, data)).filter("split = 'train'")
+    terms = fit_tfidf(rows, "body", fx.BODY_MAX_FEATURES, True).count() + fit_tfidf(rows, "subject", fx.SUBJECT_MAX_FEATURES, True).count()
+    assert size == terms + len(FEATURE_NAMES) + len(fx.REPUTATION_COLUMNS)
+    assert not {"maxIter", "maxDepth", "numTrees"} & set(options)
+    if name == "trained_boosted":
+        assert (options.get("validation") == "held") == (True in held) and False in held
