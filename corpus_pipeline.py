@@ -14,7 +14,8 @@ from postwarden.llm import jaccard, langid, packing, toxicity
 from postwarden.llm.common import read
 from postwarden.session import materialise
 
-#: A text is rejected as of no language below this share of the best one.
+#: A text is rejected as of no language below this share of the best one.  The share is practically 1 for texts of more
+#: than a few words, so in effect only texts of unknown language are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
 #: A text is rejected as toxic from this probability on.
 TOXIC_FROM = 0.3
@@ -33,15 +34,44 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the smallest id.  Of rows that repeat an id one stays."""
-    groups = jaccard.joined(docs.select("doc_id", "text"))
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one text of each group of near copies: one with the smallest id.
+
+    Different texts under one id are judged apart; of rows with the same id and text one stays.
+    """
+    repeated = materialise(
+        docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated"
+    )
+    single, keyed = docs, docs.select(F.col("doc_id").alias("_key"), "text")
     if not repeated.isEmpty():
-        again = materialise(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns), "repeated")
-        kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again)
-    return kept
+        single = docs.join(repeated, "doc_id", "left_anti").select(docs.columns)
+        digest = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
+        again = materialise(
+            docs.join(repeated, "doc_id", "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]), "again"
+        )
+        least = again.groupBy("doc_id").agg(F.min("_digest").alias("_least"))
+        # The first text of an id goes by the id, each other one by a hash.
+        again = materialise(again.join(least, "doc_id").withColumn(
+            "_key", F.when(F.col("_digest") == F.col("_least"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "_digest"))
+        ), "again-keyed")
+        keyed = single.select(F.col("doc_id").alias("_key"), "text").union(again.select("_key", "text"))
+    groups = jaccard.joined(keyed, "_key")
+    gone = groups.filter("_key <> component_id").select("_key").distinct()
+    if repeated.isEmpty():
+        return docs.join(gone.withColumnRenamed("_key", "doc_id"), "doc_id", "left_anti").select(docs.columns)
+    groups = materialise(groups.filter("_key is not null"), "groups")
+    named = groups.join(again.select("_key", "doc_id", "_digest"), "_key", "left")
+    first = F.min(F.struct(F.coalesce("doc_id", "_key").alias("id"), F.coalesce("_digest", F.lit("")).alias("text"), "_key"))
+    # Where a hash is the smallest number of its group, the text with the smallest id stays instead.
+    other = materialise(
+        named.groupBy("component_id").agg(first.alias("first")).select("component_id", F.col("first._key").alias("_key"))
+        .filter("_key <> component_id"), "other"
+    )
+    gone = materialise(
+        groups.filter("_key <> component_id").select("_key").distinct().join(other.select("_key"), "_key", "left_anti")
+        .union(other.select("component_id")), "gone"
+    )
+    kept = single.join(gone.withColumnRenamed("_key", "doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return kept.union(again.join(gone, "_key", "left_anti").select(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

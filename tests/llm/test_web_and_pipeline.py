@@ -121,3 +121,13 @@ def test_stage_results_equal_the_operators(spark, docs, folder):
     _, root = brute_join(rows)
     kept = {r.doc_id for r in corpus_pipeline.distinct(spark, docs, folder).collect()}
     assert kept == {k for k, v in root.items() if k == v} | {None}
+
+
+def test_texts_under_one_id_are_judged_apart(spark, docs, folder):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (3, c), (3, a), (9, None), (9, b), (None, a)]
+    df = spark.createDataFrame([(k, t, "aa", "s", 0) for k, t in rows], docs.schema)
+    out = corpus_pipeline.distinct(spark, df, folder)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (3, c), (5, b), (9, None), (None, a)], key=str)
