@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwarden.llm.common import batch, group_starts, merged, runs, texts
@@ -236,7 +236,7 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
         "token", F.col("top.part").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("top_blocks"),
         F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("blocks"),
     )
-    met = materialise(rows.join(crossing, "token"), "crossing")
+    met = materialise(rows.join(crossing, "token").withColumn("slice", slice_of("token", "top_blocks")), "crossing")
     top, rest = met.filter("part = top"), met.filter("part <> top")
 
     def block(of: str):
@@ -245,8 +245,9 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
     def every(of: str):
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    # Shingles with the same largest component go together, so that pairs they share are counted before they leave the task.
-    place = ["top", "low", "high", "token"]
+    # Shingles with the same largest component go together, so that pairs they share are counted before they leave the task;
+    # slices, more for a larger component, bound how many.
+    place = ["top", "low", "high", "slice", "token"]
     shown = [*place, "side", "id", "part", "n", "m", "last", "most"]
     work = (
         top.withColumn("low", block("top_blocks")).withColumn("high", every("blocks")).withColumn("side", F.lit(0)).select(shown)
@@ -260,8 +261,8 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("m", pa.int32()), ("c", pa.int64())])
 
     def meet(batches):
-        for columns, starts in runs(batches, 4):
-            _, low, high, _, side, key, part, n, m, last, most = columns
+        for columns, starts in runs(batches, 5):
+            _, low, high, _, _, side, key, part, n, m, last, most = columns
             n, most = n.astype(np.int64), most.astype(np.int64)
             out: list[list] = [[], [], []]
             for s, e in zip(starts[:-1], starts[1:]):
@@ -290,7 +291,7 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
                 first = group_starts(x, y)
                 yield batch(schema, x[first[:-1]], y[first[:-1]], np.maximum.reduceat(m, first[:-1]), np.diff(first))
 
-    met = work.repartition("top", "low", "high").sortWithinPartitions(*place).mapInArrow(
+    met = work.repartition(*place[:4]).sortWithinPartitions(*place).mapInArrow(
         meet, "x bigint, y bigint, m int, c bigint"
     )
     return materialise(
@@ -298,6 +299,11 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
     )
 
 
+def slice_of(token: str, top_blocks: str) -> Column:
+    """The part of its largest component's shingles that a shingle belongs to."""
+    return F.pmod(F.xxhash64(token), F.col(top_blocks) * 8)
+
+
 def joined(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (75, 100)
 ) -> DataFrame:

@@ -251,3 +251,12 @@ def test_lattice_on_odd_tables(spark):
     assert lattice.linked(df).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 0.0], 1, "x"), (1, [0.0, 1.0], 1, "x"), (None, [1.0, 0.0], 1, "x")], "vec_id long, embedding array<float>, label int, node string")
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in lattice.linked(twice).collect()) == [(0, 1, 1), (1, 0, 1), (1, 1, 1)]
+
+
+def test_shingles_of_one_component_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    tokens = spark.range(2000).withColumn("top_blocks", F.expr("if(id < 1000, 1, 20)"))
+    counts = tokens.groupBy("top_blocks", jaccard.slice_of("id", "top_blocks").alias("slice")).count().collect()
+    for blocks, most in ((1, 200), (20, 25)):
+        assert max(r["count"] for r in counts if r.top_blocks == blocks) < most
