@@ -6,7 +6,9 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from postwarden.llm import attention_lm, bytebpe, jaccard, langid, lattice, packing, syncmers, toxicity, urltrie, warc
+from postwarden.llm import (
+    attention_lm, bytebpe, jaccard, kmeanstree, langid, lattice, lexical, negatives, packing, syncmers, toxicity, urltrie, warc,
+)
 from postwarden.llm.common import read, remainder
 
 QUERIES: dict = {}
@@ -87,3 +89,20 @@ def op4_attention_scores(spark, d):
     return attention_lm.scored(
         read(spark, d, "documents"), remainder("doc_id", 5) == 1, public_tokenizers.path("piece_bpe_32k.model")
     )
+
+
+@query
+def op11_lexical_search(spark, d):
+    return lexical.ranked(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+@query
+def op12_hard_negatives(spark, d):
+    rows = read(spark, d, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_nearest_vectors(spark, d):
+    return kmeanstree.nearest(read(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
