@@ -10,7 +10,7 @@ from postwarden.functions import fixed as fx
 from postwarden.functions import senders as sd
 from postwarden.functions import text as tx
 from postwarden.functions import urls as ur
-from postwarden.operators import alerts, campaigns, dataset, domains, evaluation, links, model
+from postwarden.operators import alerts, campaigns, dataset, domains, evaluation, linear, links, model
 from postwarden.operators import reports, reputation, vectors
 from postwarden.operators.features import html_measures, mail_features
 from postwarden.plans import corpus, scoring, training
@@ -738,14 +738,90 @@ def trained_boosted(spark, d):
     return _predictions(spark, d, "boosted", validation=val)
 
 
+#: Gradient steps of the registered linear models.
+STEPS = 40
+
+
+def _linear(spark, d):
+    """What is learnt from the labelled mails of the train split: feature space, linear model, spreads of the numbers."""
+    rows = dataset.split_mail(_labelled(spark, d)).filter("split = 'train'")
+    space = training.fit_feature_space(rows)
+    return space, *training.fit_linear(rows, space, STEPS)
+
+
+def _scores(*more):
+    return [F.round(c, 4).alias(c) for c in (*linear.SCORES, *more)]
+
+
+@query
+def stacked_coordinates(spark, d):
+    """The stacked vectors of all mails, as rows, in the space of the train split."""
+    rows = dataset.split_mail(_labelled(spark, d)).filter("split = 'train'")
+    space = training.fit_feature_space(rows)
+    mail = training.sparse_rows(_mail(spark, d), space)
+    return training.coordinates(mail, space.names).withColumn("value", F.round("value", 6))
+
+
+@query
+def trained_softmax(spark, d):
+    space, fitted, _ = _linear(spark, d)
+    rest = dataset.split_mail(_labelled(spark, d)).filter("split <> 'train'")
+    keep = ["mail_id", "label_code"]
+    scored = training.linear_scores(training.sparse_rows(training.labelled(rest), space, keep=keep), fitted, keep)
+    return scored.select(*keep, *_scores(), model.predicted_code().alias("prediction"))
+
+
+@query
+def softmax_importance(spark, d):
+    space, fitted, spreads = _linear(spark, d)
+    return linear.importance(fitted, spreads, spark).withColumn("importance", F.round("importance", 4))
+
+
+def _scored_mails(mail, space, fitted):
+    scored = scoring.score_mail(mail, space.reputation, scoring.ModelScorer(fitted, space))
+    return scored.select(
+        "mail_id", *_scores("model_confidence"), "predicted_label", "risk_score", "severity", "category"
+    )
+
+
+@query
+def scored_by_model(spark, d):
+    """Every mail scored by the fitted model: features, reputation, risk, decision."""
+    space, fitted, _ = _linear(spark, d)
+    return _scored_mails(_mail(spark, d), space, fitted)
+
+
+@query
+def scored_by_saved_model(spark, d):
+    """The same by a model that was published, and loaded by another session."""
+    space, fitted, _ = _linear(spark, d)
+    root = shared_dir(spark, "models")
+    training.save_model(space, fitted, root)
+    loaded = training.load_model(spark.newSession(), root)
+    found = _scored_mails(_mail(loaded[0].reputation.sparkSession, d), *loaded)
+    path = shared_dir(spark, "saved-scores")
+    found.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def scored_by_forest(spark, d):
+    """Every mail scored by a fitted forest, whose vectors are made beside the serve features."""
+    rows = dataset.split_mail(_labelled(spark, d)).filter("split = 'train'")
+    space = training.fit_feature_space(rows)
+    learnt = materialise(training.feature_vectors(training.labelled(rows), space, keep=["mail_id", "label_code"]), "training")
+    fitted = model.fit_classifier(learnt, "forest")
+    scored = scoring.score_mail(_mail(spark, d), space.reputation, scoring.VectorScorer(fitted, space))
+    return scored.select("mail_id", *_scores("model_confidence"), "predicted_label", "risk_score", "category")
+
+
 @query
 def forest_importance(spark, d):
     mail = training.labelled(_mail(spark, d))
     columns = [c for c in mail_features(mail, "train").columns if c != "mail_id"]
     rows = model.assemble(mail_features(mail, "train", ["mail_id", "label_code"]), columns)
     fitted = model.fit_classifier(
-        materialise(rows.select("label_code", "features"), "importance"), "forest",
-        numTrees=10, maxDepth=5,
+        materialise(rows.select("label_code", "features"), "importance"), "forest"
     )
     return model.feature_importance(spark, fitted, columns)
 

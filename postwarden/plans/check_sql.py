@@ -630,21 +630,28 @@ CHECKS["document_features_compact"] = compact_features(MAIL_SRC)
 
 AMOUNT = rf"[$₹€£][{W}]*\p{{Nd}}{{1,3}}(?:,\p{{Nd}}{{3}})+|\p{{Nd}}{{6,}}"
 _risk_columns = serve_columns()
-RISK_BASE = f"""{serve_ready(LINK_SRC, 'raw_headers')},
-known AS (SELECT {address('from_email')} AS sender, CAST(count(*) > 1 AS INT) AS is_known FROM src
-    WHERE mail_id % 6 IN (0, 2, 3) GROUP BY 1),
+
+
+def risk_base(source: str, headers: str, known_from: str) -> str:
+    """Serve features and risk signals of a source; senders in ``known_from`` (from_email) twice are known."""
+    c = _risk_columns
+    return f"""{serve_ready(source, headers)},
+known AS (SELECT {address('from_email')} AS sender, CAST(count(*) > 1 AS INT) AS is_known FROM {known_from} GROUP BY 1),
 sig AS (SELECT r.mail_id, r.sender, coalesce(is_known, 0) AS is_known,
     {shape('r.sender')['risk_level']} AS level, {shape('r.sender')['domain']} AS dom,
     replace({shape('r.sender')['reasons']}, '|', ', ') AS reasons,
-    {_risk_columns['ip_in_url']} AS ip, {_risk_columns['suspicious_tld']} AS tld,
-    {_risk_columns['suspicious_sender']} AS susp, {_risk_columns['spam_keyword_count']} AS kw,
-    {_risk_columns['spam_money_symbol']} AS money, {_risk_columns['subject_uppercase_ratio']} AS upper_ratio,
-    {_risk_columns['spam_exclamation_count']} AS excl, {_risk_columns['subject_has_buy_now']} AS buy,
+    {c['ip_in_url']} AS ip, {c['suspicious_tld']} AS tld,
+    {c['suspicious_sender']} AS susp, {c['spam_keyword_count']} AS kw,
+    {c['spam_money_symbol']} AS money, {c['subject_uppercase_ratio']} AS upper_ratio,
+    {c['spam_exclamation_count']} AS excl, {c['subject_has_buy_now']} AS buy,
     {present('low', fx.PHISHING_PHRASES)} AS phrases, {sum_of('low', fx.URGENCY_TERMS)} AS urgency,
     {matches('low', AMOUNT)} AS amounts, regexp_matches(low, {rx(rf'(?i)[0-9]+%[{W}]*(off|discount|free)')}) AS discount
     FROM ready r LEFT JOIN known USING (sender))"""
 
 
+RISK_BASE = risk_base(LINK_SRC, "raw_headers", "src WHERE mail_id % 6 IN (0, 2, 3)")
+
+
 def points(rules) -> str:
     return "(" + " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p, *_ in rules) + ")"
 
@@ -724,9 +731,10 @@ def descriptions(rules) -> str:
     return f"array_to_string(list_filter([{items}], lambda x: x IS NOT NULL)[1:3], ', ')"
 
 
-RISK_A = f"""{RISK_BASE}, risk AS (SELECT *, CAST({points(ADDITIVE + ADDITIVE_LATE)} AS INT) AS risk_score,
+ADDITIVE_RISK = f""", risk AS (SELECT *, CAST({points(ADDITIVE + ADDITIVE_LATE)} AS INT) AS risk_score,
     'none' AS threat_type, 0 AS phishing_indicators, 0 AS spam_indicators,
     {rule_count(ADDITIVE + ADDITIVE_LATE)} AS n, {factor_list(ADDITIVE + ADDITIVE_LATE)} AS factors FROM sig)"""
+RISK_A = RISK_BASE + ADDITIVE_RISK
 RISK_T = f"""{RISK_BASE}, risk AS (SELECT *, CAST({points(TYPED)} AS INT) AS risk_score,
     CASE WHEN {IS_PHISH} THEN 'phishing' WHEN kw >= 5 OR {LURE} THEN 'spam' ELSE 'none' END AS threat_type,
     CAST({points(PHISHY)} AS INT) AS phishing_indicators, CAST({points(SPAMMY)} AS INT) AS spam_indicators,
@@ -736,13 +744,15 @@ CHECKS["risk_additive"] = f"{RISK_A} SELECT {RISK_OUT.format(sev=SEVERITY)} FROM
 TYPED_SEVERITY = """CASE WHEN phishing_indicators >= 40 THEN 'critical' WHEN phishing_indicators >= 20 OR risk_score >= 40 THEN 'high'
     WHEN risk_score >= 20 THEN 'medium' ELSE 'low' END"""
 CHECKS["risk_threat_typed"] = f"{RISK_T} SELECT {RISK_OUT.format(sev=TYPED_SEVERITY)} FROM risk"
-SCORED = """, scored AS (SELECT *, (mail_id % 11) / 20.0::DOUBLE AS ham, (mail_id % 7) / 20.0::DOUBLE AS spam,
-    (mail_id % 5) / 20.0::DOUBLE AS phish FROM risk), top AS (SELECT *, greatest(ham, spam, phish) AS best,
+TOP = """, top AS (SELECT *, greatest(ham, spam, phish) AS best,
     CASE WHEN ham >= spam AND ham >= phish THEN 'ham' WHEN spam >= phish THEN 'spam' ELSE 'phishing' END AS first_top FROM scored)"""
-LIVE = f"""{RISK_A}{SCORED}, decided AS (SELECT *, CASE WHEN risk_score >= 60 AND phish > 0.15 THEN 'phishing'
+SCORED = f""", scored AS (SELECT *, (mail_id % 11) / 20.0::DOUBLE AS ham, (mail_id % 7) / 20.0::DOUBLE AS spam,
+    (mail_id % 5) / 20.0::DOUBLE AS phish FROM risk){TOP}"""
+DECIDED = """, decided AS (SELECT *, CASE WHEN risk_score >= 60 AND phish > 0.15 THEN 'phishing'
     WHEN kw >= 3 OR buy = 1 OR (spam > 0.3 AND risk_score >= 15) THEN 'spam' ELSE first_top END AS predicted_label FROM top),
 sorted AS (SELECT *, CASE WHEN predicted_label = 'spam' THEN CASE WHEN risk_score > 30 THEN 'spam_high_risk' ELSE 'spam_promotional' END
     WHEN predicted_label = 'phishing' THEN CASE WHEN risk_score >= 60 THEN 'phishing_critical' ELSE 'phishing_suspicious' END END AS category FROM decided)"""
+LIVE = f"{RISK_A}{SCORED}{DECIDED}"
 CHECKS["decision_live"] = f"""{LIVE} SELECT mail_id, risk_score, predicted_label, round(least(0.99::DOUBLE, best), 4) AS confidence, category,
     CASE category WHEN 'spam_high_risk' THEN concat('Classified as HIGH-RISK SPAM: ', n, ' risk indicators with aggressive marketing tactics')
       WHEN 'spam_promotional' THEN 'Classified as SPAM due to promotional content and marketing keywords'
@@ -918,3 +928,99 @@ report AS (SELECT k, CASE WHEN guessed = 0 THEN 0.0::DOUBLE ELSE hit / guessed E
 CHECKS["class_report"] = f"{REPORT} SELECT k AS label_code, precision, recall, f1, actual AS support FROM report"
 CHECKS["model_quality"] = f"""{REPORT} SELECT CAST(sum(hit) AS BIGINT) / CAST(sum(actual) AS BIGINT) AS accuracy,
     round(sum(f1 * actual) / sum(actual), 6) AS f1_weighted, CAST(sum(actual) AS BIGINT) AS rows FROM report"""
+
+# --- the linear model -------------------------------------------------------
+
+STEPS, L2, MOMENTUM = 40, 0.001, 0.9
+CLASSES = range(3)
+
+
+def term_vectors(block: str, size: int) -> str:
+    """Terms of a text column, the vocabulary of the train rows, and every mail's weights of length one."""
+    toks = f"list_filter(regexp_extract_all(lower(coalesce({block}, '')), {rx(f'[{fx.WORD}]{{2,}}')}), lambda w: NOT list_contains({STOP}, w))"
+    b = f"m_{block}"
+    return f"""{b}_words AS (SELECT mail_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT mail_id, {toks} AS ws FROM src)),
+{b}_terms AS (SELECT mail_id, w AS term FROM {b}_words UNION ALL SELECT mail_id, w || ' ' || nxt FROM (SELECT mail_id, w,
+    lead(w) OVER (PARTITION BY mail_id ORDER BY i) AS nxt FROM {b}_words) WHERE nxt IS NOT NULL),
+{b}_vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM m_train)) / (1 + count(DISTINCT mail_id))) + 1 AS idf
+    FROM {b}_terms SEMI JOIN m_train USING (mail_id) GROUP BY term ORDER BY count(*) DESC, term LIMIT {size}),
+{b}_raw AS (SELECT mail_id, term, count(*) * any_value(idf) AS w FROM {b}_terms JOIN {b}_vocab USING (term) GROUP BY 1, 2),
+{b}_x AS (SELECT mail_id, '{block}_tfidf_' || term AS feature, w / sqrt(sum(w * w) OVER (PARTITION BY mail_id)) AS value FROM {b}_raw)"""
+
+
+def long_form(query: str, names: list[str]) -> str:
+    casts = ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in names)
+    return f"SELECT mail_id, feature, value FROM (UNPIVOT (SELECT mail_id, {casts} FROM ({query})) ON {', '.join(names)} INTO NAME feature VALUE value)"
+
+
+_numbers = list(serve_columns())
+_rep = ", ".join(f"coalesce(r.{c}, 0) AS {c}" for c in fx.REPUTATION_COLUMNS)
+MODEL_SPACE = f"""m_train AS (SELECT *, {CODE} AS code FROM (SELECT *, md5(CAST(mail_id AS VARCHAR)) AS h FROM src) WHERE label IS NOT NULL AND {SPLIT} = 'train'),
+m_rest AS (SELECT *, {CODE} AS code FROM (SELECT *, md5(CAST(mail_id AS VARCHAR)) AS h FROM src) WHERE label IS NOT NULL AND {SPLIT} <> 'train'),
+{term_vectors('body', 5000)},
+{term_vectors('subject', 1000)},
+m_text AS MATERIALIZED (SELECT * FROM m_body_x UNION ALL SELECT * FROM m_subject_x),
+m_rep AS ({reputation(address('from_email')).replace('FROM mail WHERE', 'FROM m_train WHERE')}),
+m_known AS ({long_form(f"SELECT mail_id, {_rep} FROM src LEFT JOIN m_rep r ON r.from_email_norm = {address('from_email')}", fx.REPUTATION_COLUMNS)}),
+m_learn AS ({long_form(train_features(MAIL_SRC, "''"), _numbers)} UNION ALL SELECT * FROM m_known)"""
+
+
+def chances(x: str, weights: str) -> str:
+    """Class probabilities from rows (mail_id, feature, value) and weights (feature, w0, w1, w2)."""
+    sums = ", ".join(f"sum(x.value * w.w{c}) AS z{c}" for c in CLASSES)
+    parts = ", ".join(f"exp(z{c} - greatest(z0, z1, z2)) AS e{c}" for c in CLASSES)
+    out = ", ".join(f"e{c} / (e0 + e1 + e2) AS p{c}" for c in CLASSES)
+    return f"SELECT mail_id, {out} FROM (SELECT mail_id, {parts} FROM (SELECT x.mail_id, {sums} FROM {x} x JOIN {weights} w USING (feature) GROUP BY 1))"
+
+
+def descent() -> str:
+    steps = []
+    for k in range(STEPS):
+        grads = ", ".join(f"sum(x.value * (p.p{c} - CASE WHEN t.code = {c} THEN 1 ELSE 0 END)) AS g{c}" for c in CLASSES)
+        moves = ", ".join(
+            f"{MOMENTUM}::DOUBLE * w.d{c} - (SELECT rate FROM m_rate) * (g.g{c} / (SELECT n FROM m_rate)"
+            f" + CASE WHEN feature = 'intercept' THEN 0 ELSE {L2}::DOUBLE * w.w{c} END) AS d{c}" for c in CLASSES
+        )
+        olds = ", ".join(f"w.w{c}" for c in CLASSES)
+        news = ", ".join(f"w{c} + d{c} AS w{c}, d{c}" for c in CLASSES)
+        steps.append(f"""m_p{k} AS MATERIALIZED ({chances('m_x', f'm_w{k}')}),
+m_g{k} AS (SELECT x.feature, {grads} FROM m_x x JOIN m_p{k} p USING (mail_id) JOIN m_train t USING (mail_id) GROUP BY 1),
+m_w{k + 1} AS MATERIALIZED (SELECT feature, {news} FROM (SELECT feature, {olds}, {moves} FROM m_w{k} w JOIN m_g{k} g USING (feature)))""")
+    return ",\n".join(steps)
+
+
+FITTED = f"""{MODEL_SPACE},
+m_stats AS MATERIALIZED (SELECT feature, avg(value) AS mean, CASE WHEN min(value) < max(value) THEN 1 / stddev_pop(value) ELSE 0.0::DOUBLE END AS scale
+    FROM m_learn SEMI JOIN m_train USING (mail_id) GROUP BY 1),
+m_x AS MATERIALIZED (SELECT mail_id, feature, value FROM m_text SEMI JOIN m_train USING (mail_id)
+    UNION ALL SELECT mail_id, feature, (value - mean) * scale FROM m_learn SEMI JOIN m_train USING (mail_id) JOIN m_stats USING (feature)
+    UNION ALL SELECT mail_id, 'intercept', 1.0::DOUBLE FROM m_train),
+m_rate AS MATERIALIZED (SELECT n, 1 / (0.5::DOUBLE * square / n + {L2}::DOUBLE) AS rate
+    FROM (SELECT count(DISTINCT mail_id) AS n, sum(value * value) AS square FROM m_x)),
+m_w0 AS (SELECT feature, {', '.join(f'0.0::DOUBLE AS w{c}, 0.0::DOUBLE AS d{c}' for c in CLASSES)} FROM m_x GROUP BY 1),
+{descent()}"""
+
+
+def model_scores(numbers: str) -> str:
+    """Chances of every mail, with the numbers of one profile standardised like those of the train rows."""
+    return f"""m_all AS (SELECT * FROM m_text UNION ALL SELECT mail_id, feature, (value - mean) * scale FROM {numbers} JOIN m_stats USING (feature)
+    UNION ALL SELECT mail_id, 'intercept', 1.0::DOUBLE FROM src),
+m_scores AS (SELECT mail_id, p0 AS ham, p1 AS spam, p2 AS phish FROM ({chances('m_all', f'm_w{STEPS}')}))"""
+
+
+ROUNDED = "round(ham, 4) AS ham_score, round(spam, 4) AS spam_score, round(phish, 4) AS phishing_score"
+CHECKS["stacked_coordinates"] = f"""{MAIL_SRC}, {MODEL_SPACE} SELECT mail_id, feature, round(value, 6) AS value
+FROM (SELECT * FROM m_text UNION ALL SELECT * FROM m_learn) WHERE value <> 0"""
+CHECKS["trained_softmax"] = f"""{MAIL_SRC}, {FITTED}, {model_scores('m_learn')} SELECT mail_id, code AS label_code, {ROUNDED},
+    CAST(CASE WHEN ham >= spam AND ham >= phish THEN 0 WHEN spam >= phish THEN 1 ELSE 2 END AS INT) AS prediction
+FROM m_rest JOIN m_scores USING (mail_id)"""
+CHECKS["softmax_importance"] = f"""{MAIL_SRC}, {FITTED}, m_sizes AS (SELECT feature, abs(w0) + abs(w1) + abs(w2) AS importance
+    FROM m_w{STEPS} WHERE feature <> 'intercept')
+SELECT feature, round(importance, 4) AS importance FROM m_sizes WHERE importance > 0 ORDER BY m_sizes.importance DESC, feature LIMIT 200"""
+_model_live = f"""{risk_base(MAIL_SRC, "''", 'm_train')}{ADDITIVE_RISK},
+m_serve AS ({long_form(f"SELECT mail_id, {select(serve_columns())} FROM ready", _numbers)} UNION ALL SELECT * FROM m_known),
+{model_scores('m_serve')}, scored AS (SELECT * FROM risk JOIN m_scores USING (mail_id)){TOP}{DECIDED}"""
+# The model has to stand before what reads it.
+CHECKS["scored_by_model"] = CHECKS["scored_by_saved_model"] = f"""{MAIL_SRC}, {FITTED}, {_model_live.removeprefix(MAIL_SRC + ', ')}
+SELECT mail_id, {ROUNDED}, round(least(0.99::DOUBLE, best), 4) AS model_confidence, predicted_label, risk_score,
+    {SEVERITY} AS severity, category FROM sorted"""

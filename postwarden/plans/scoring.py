@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from postwarden.functions import fixed as fx
 from postwarden.operators.decision import decide_label
 from postwarden.operators.features import FEATURE_NAMES, serve_features_with_inputs
+from postwarden.operators.linear import SCORES, LinearModel, softmax
+from postwarden.operators.model import assemble, predict_scores
 from postwarden.operators.reputation import KEY, with_sender_reputation
 from postwarden.operators.risk import risk_score, risk_signals
+from postwarden.operators.vectors import sparse_stage, tfidf_stage
+from postwarden.plans.training import NUMBERS, FeatureSpace
 
 
 def risk_frame(
@@ -38,15 +42,18 @@ def score_mail(
 ) -> DataFrame:
     """Mails with label, confidence, risk and explanation.
 
-    ``scorer`` adds ham_score, spam_score and phishing_score.  Rows that come
-    with an ``error``, and rows without any content, are returned unscored with
+    ``scorer`` adds ham_score, spam_score and phishing_score.  One that needs the texts (``ModelScorer``,
+    ``VectorScorer``) reads them where they are scanned.  Rows that come with an ``error``, and rows without any content, are returned unscored with
     the reason, so one bad mail never fails a batch.
     """
     keep = keep or ["mail_id"]
     nothing = F.col("from_email").isNull() & F.col("subject").isNull() & F.col("body").isNull()
     given = F.col("error") if "error" in mail.columns else F.lit(None).cast("string")
     checked = mail.withColumn("error", F.coalesce(given, F.when(nothing, F.lit("empty message"))))
-    scored = scorer(risk_frame(checked, reputation, risk_profile, [*keep, "error"]))
+    carried = getattr(scorer, "carried", [])
+    if carried:
+        checked = scorer.prepare(checked)
+    scored = scorer(risk_frame(checked, reputation, risk_profile, [*keep, "error", *carried])).drop(*carried)
     decided = decide_label(scored, decision).withColumn("model_used", F.lit(model_name))
     # One pass over the mails: results of bad rows are blanked instead of split off.
     good = F.col("error").isNull()
@@ -62,6 +69,57 @@ def constant_scorer(ham: float, spam: float, phishing: float) -> Callable[[DataF
     return lambda df: df.select("*", *[F.lit(float(v)).alias(k) for k, v in values.items()])
 
 
+class ModelScorer:
+    """Class scores by a linear model.
+
+    What the terms add to the scores is worked out beside the serve features, in the scan, so that a mail carries three numbers
+    through the join with its sender's reputation instead of its text or vector.
+    """
+
+    carried = ["term_logits_"]
+
+    def __init__(self, model: LinearModel, space: FeatureSpace):
+        if model.names != space.names:
+            raise ValueError("the model was learnt on other features")
+        self.model, self.space = model, space
+
+    def prepare(self, mail: DataFrame) -> DataFrame:
+        rows, vectors, at = mail, [], 0
+        for name, vocab in (("body", self.space.body), ("subject", self.space.subject)):
+            rows = sparse_stage(rows, [t for t, _ in vocab], [w for _, w in vocab], name, f"{name}_terms_")
+            vectors.append((F.col(f"{name}_terms_"), at, len(vocab)))
+            at += len(vocab)
+        return rows.select(*mail.columns, F.array(*self.model.sparse_logits(vectors)).alias("term_logits_"))
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        numbers = self.model.number_logits(NUMBERS)
+        logits = df.select("*", *[
+            (F.col("term_logits_")[c] + numbers[c] + F.lit(b)).alias(f"z{c}_") for c, b in enumerate(self.model.intercepts)
+        ])
+        names = [f"z{c}_" for c in range(len(SCORES))]
+        chances = softmax([F.col(n) for n in names])
+        return logits.select("*", *[p.alias(n) for p, n in zip(chances, SCORES)]).drop(*names)
+
+
+class VectorScorer:
+    """Class scores by a fitted model of Spark ML; sparse vectors travel with the mails."""
+
+    carried = ["body_vector_", "subject_vector_"]
+
+    def __init__(self, model, space: FeatureSpace):
+        self.model, self.space = model, space
+
+    def prepare(self, mail: DataFrame) -> DataFrame:
+        rows = mail
+        for name, vocab in (("body", self.space.body), ("subject", self.space.subject)):
+            rows = tfidf_stage(rows, [t for t, _ in vocab], [w for _, w in vocab], name, f"{name}_vector_")
+        return rows
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        rows = assemble(df, [*self.carried, *NUMBERS])
+        return predict_scores(rows, self.model).drop("features")
+
+
 def risk_summary(scored: DataFrame, row_id: str = "mail_id") -> DataFrame:
     """The short form of a score."""
     return scored.select(
