@@ -20,20 +20,6 @@ DIGIT = (
 WORD = r"\p{L}\p{N}_"
 ASCII_PUNCT = r"!-/:-@\[-`{-~"
 
-# Entities decoded natively; the full table is used by unescape_html(full=True).
-NAMED_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "copy": "©", "reg": "®", "trade": "™", "middot": "·",
-    "hellip": "…", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
-    "laquo": "«", "raquo": "»", "bull": "•",
-    "pound": "£", "euro": "€", "yen": "¥", "cent": "¢",
-    "times": "×", "deg": "°", "sect": "§",
-    "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß",
-    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç",
-    "ntilde": "ñ", "aacute": "á", "oacute": "ó", "uacute": "ú",
-}
-
 # --- labels -----------------------------------------------------------------
 
 LABELS = ["ham", "spam", "phishing"]

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterable
 from functools import reduce
 from operator import add
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from postwarden.functions import fixed as fx
+from postwarden.functions import references
 
 
 # Intersections let the regex engine reject ordinary letters on the first range.
@@ -113,44 +111,18 @@ def strip_tags(text) -> Column:
     return F.regexp_replace(_col(text), fx.TAG, " ")
 
 
-@F.pandas_udf(StringType())
-def _unescape_all(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def unescape_html(text: str | Column) -> Column:
+    """Decode character references."""
+    return references.unescape_html(_col(text))
 
 
-def unescape_html(text: str | Column, full: bool = False) -> Column:
-    """Decode character references.
-
-    The default stays native and knows ``fixed.NAMED_ENTITIES``; ``full`` uses
-    the complete HTML5 table, and sends only texts that hold an ``&`` to Python.
-    Ampersands are produced last, so that ``&amp;lt;`` yields ``&lt;``.
-    """
-    column = _col(text)
-    if full:
-        return F.coalesce(_unescape_all(F.when(column.contains("&"), column)), column)
-    chars = {f"&{name};": char for name, char in fx.NAMED_ENTITIES.items()}
-    chars |= {"&#39;": "'", "&#x27;": "'"}
-    if isinstance(text, Column):
-        out = column
-        for ref, char in chars.items():
-            out = F.replace(out, F.lit(ref), F.lit(char))
-    else:
-        nested = text
-        for ref, char in chars.items():
-            nested = f"replace({nested}, {_quoted(ref)}, {_quoted(char)})"
-        out = F.expr(nested)
-    return F.when(
-        column.contains("&"), F.regexp_replace(out, "&(?:amp;?|#38;|#[xX]26;)", "&")
-    ).otherwise(column)
-
-
-def clean_text(text, order: str = "tags_first", full_entities: bool = False) -> Column:
+def clean_text(text, order: str = "tags_first") -> Column:
     """Plain text from markup: ``tags_first`` strips then decodes, ``entities_first`` the reverse."""
     text = F.coalesce(_col(text), F.lit(""))
     if order == "tags_first":
-        return squeeze(unescape_html(strip_tags(text), full_entities))
+        return squeeze(unescape_html(strip_tags(text)))
     if order == "entities_first":
-        return squeeze(strip_tags(unescape_html(text, full_entities)))
+        return squeeze(strip_tags(unescape_html(text)))
     raise ValueError(f"unknown order {order!r}")
 
 
@@ -163,9 +135,9 @@ def html_to_text(markup) -> Column:
     return clean_text(no_blocks)
 
 
-def safe_text(text, full_entities: bool = False) -> Column:
+def safe_text(text) -> Column:
     """Training-side normalisation: decode references, then squeeze white space."""
-    return squeeze(F.coalesce(unescape_html(text, full_entities), F.lit("")))
+    return squeeze(F.coalesce(unescape_html(text), F.lit("")))
 
 
 def bytes_to_text(raw) -> Column:

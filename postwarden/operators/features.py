@@ -2,7 +2,7 @@
 
 Each profile is a chain of projections: clean the inputs once, derive what
 several features share (lower-cased text, URL array), then the features.
-No shuffle and, unless full entity decoding is asked for, no Python.
+No shuffle and no Python.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ SERVE_SPECIAL = r"^\p{L}\p{N} "
 
 
 def mail_features(
-    df: DataFrame, profile: str = "train", keep: list[str] | None = None, full_entities: bool = False
+    df: DataFrame, profile: str = "train", keep: list[str] | None = None
 ) -> DataFrame:
     """Feature columns per mail, next to the ``keep`` columns (default ``mail_id``).
 
@@ -29,11 +29,11 @@ def mail_features(
     """
     keep = keep or ["mail_id"]
     if profile == "train":
-        return _train(df, keep, full_entities)
+        return _train(df, keep)
     if profile == "serve":
         return serve_inputs(df, keep).select(*keep, *_serve_columns())
     if profile == "compact":
-        return _compact(df, keep, full_entities)
+        return _compact(df, keep)
     raise ValueError(f"unknown profile {profile!r}")
 
 
@@ -53,13 +53,13 @@ def _named(columns: dict[str, Column]) -> list[Column]:
 # --- train ------------------------------------------------------------------
 
 
-def _train(df: DataFrame, keep: list[str], full: bool) -> DataFrame:
+def _train(df: DataFrame, keep: list[str]) -> DataFrame:
     cleaned = df.select(
         *keep,
-        tx.safe_text("body", full).alias("body_"),
-        tx.safe_text("subject", full).alias("subject_"),
-        F.lower(tx.safe_text("from_email", full)).alias("from_"),
-        tx.safe_text(_headers(df), full).alias("headers_"),
+        tx.safe_text("body").alias("body_"),
+        tx.safe_text("subject").alias("subject_"),
+        F.lower(tx.safe_text("from_email")).alias("from_"),
+        tx.safe_text(_headers(df)).alias("headers_"),
     )
     shared = cleaned.select(
         "*", F.concat_ws(" ", "body_", "subject_").alias("both_")
@@ -217,11 +217,11 @@ def serve_features_with_inputs(df: DataFrame, keep: list[str]) -> DataFrame:
 # --- compact ----------------------------------------------------------------
 
 
-def _compact(df: DataFrame, keep: list[str], full: bool) -> DataFrame:
+def _compact(df: DataFrame, keep: list[str]) -> DataFrame:
     cleaned = df.select(
         *keep,
-        tx.clean_text("body", "entities_first", full).alias("body_"),
-        tx.clean_text("subject", "entities_first", full).alias("subject_"),
+        tx.clean_text("body", "entities_first").alias("body_"),
+        tx.clean_text("subject", "entities_first").alias("subject_"),
         F.lower(F.coalesce(F.col("from_email"), F.lit(""))).alias("from_"),
     ).select(
         "*",

@@ -240,9 +240,8 @@ def unescaped_pages(spark, d):
 
 @query
 def unescaped_pages_full(spark, d):
-    return table(spark, d, "pages").select(
-        "page_id", tx.unescape_html("html", full=True).alias("text")
-    )
+    """The whole table of names, which is what the default decodes."""
+    return table(spark, d, "pages").select("page_id", tx.unescape_html(F.col("html")).alias("text"))
 
 
 @query
@@ -876,8 +875,8 @@ def stream_hourly_volume(spark, d):
 @query
 def stream_domain_risk(spark, d):
     home = jobs.new_home(spark, "domains")
-    jobs.drain(jobs.upsert_job(jobs.domain_count_stream(_log_stream(spark, d)), home))
-    graded = jobs.graded_domains(spark, home)
+    jobs.drain(jobs.domain_job(_log_stream(spark, d), home))
+    graded = jobs.stored_domains(spark, home)
     return graded.withColumn("risk_reasons", _joined("risk_reasons"))
 
 
@@ -900,3 +899,74 @@ def stream_sender_history(spark, d):
     home = jobs.new_home(spark, "history")
     jobs.drain(jobs.append_job(jobs.sender_history(_log_stream(spark, d)), home))
     return spark.read.parquet(os.path.join(home, "rows"))
+
+
+def _stored(spark, d):
+    """The link mails as a stream of three batches, scored and stored; gives the store's folder."""
+    folder, home = shared_dir(spark, "mail-files"), jobs.new_home(spark, "store")
+    mails = _links(spark, d).withColumns({
+        "message_id": F.concat(F.lit("<"), F.col("mail_id"), F.lit("@pages.example.org>")),
+        "to_email": F.array(F.concat(F.lit("t"), F.col("mail_id") % 41, F.lit("@example.org"))),
+        "classified_at": F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(mail_id AS INT), 0)"),
+    }).withColumn("sent_at", F.col("classified_at") - F.expr("INTERVAL 5 MINUTES"))
+    mails.repartitionByRange(3, "mail_id").write.parquet(folder)
+    rep = reputation.sender_reputation(_labelled_links(spark, d))
+    keep = ["mail_id", "message_id", "to_email", "classified_at", "sent_at"]
+    stream = jobs.log_stream(spark, folder, mails.schema, files_per_batch=1)
+    jobs.drain(jobs.store_job(
+        stream, home, lambda df: scoring.score_mail(df, rep, _hashed_scorer, keep=keep), window_seconds=DAY,
+        lateness_seconds=366 * DAY,
+    ))
+    return home
+
+
+@query
+def stream_store(spark, d):
+    """What three committed batches hold: whole mail rows with the number of their factors."""
+    home = _stored(spark, d)
+    mails, factors = jobs.stored(spark, home, "mails"), jobs.stored(spark, home, "factors")
+    counts = factors.groupBy("mail_id").agg(F.count(F.lit(1)).alias("factors"), F.min("detected_at").alias("detected_at"))
+    told = mails.join(counts, mails["email_id"] == counts["mail_id"], "left")
+    return told.select(
+        "email_id", "message_id", "from_email", F.array_join("to_email", ",").alias("to_email"), "subject", "domain",
+        "predicted_label", *_scores("confidence"), "model_version", "risk_score", "severity", "domain_risk_level",
+        "classified_at", "sent_at", F.coalesce("factors", F.lit(0)).alias("factors"), "detected_at",
+    )
+
+
+@query
+def stream_store_domains(spark, d):
+    return jobs.stored_domains(spark, _stored(spark, d)).withColumn("risk_reasons", _joined("risk_reasons"))
+
+
+@query
+def stream_store_campaigns(spark, d):
+    return jobs.campaign_table(spark, _stored(spark, d))
+
+
+@query
+def stored_performance(spark, d):
+    """The rollup with the confidence of stored mails."""
+    mails = jobs.stored(spark, _stored(spark, d), "mails")
+    rolled = reports.performance_rollup(mails, confidence="confidence", millis="processing_ms")
+    return rolled.select(
+        "metric_date", "time_window", "total_emails", "ham_count", "spam_count", "phishing_count", "high_risk_count",
+        "critical_risk_count", F.round("avg_risk_score", 6).alias("avg_risk_score"),
+        F.round("avg_confidence", 6).alias("avg_confidence"),
+        (F.col("avg_processing_time_ms") >= 0).alias("was_timed"),
+    )
+
+
+@query
+def addressed_responses(spark, d):
+    """Answers with the message's own id and recipients, read back from their JSON."""
+    mails = _links(spark, d).withColumns({
+        "message_id": F.when(F.col("mail_id") % 3 != 0, F.concat(F.lit("<"), F.col("mail_id"), F.lit("@pages.example.org>"))),
+        "to_email": F.when(F.col("mail_id") % 4 != 0, F.array(F.lit("a@example.org"), F.concat(F.lit("t"), F.col("mail_id"), F.lit("@example.org")))),
+    })
+    rep = reputation.sender_reputation(_labelled_links(spark, d))
+    scored = scoring.score_mail(mails, rep, _hashed_scorer, keep=["mail_id", "message_id", "to_email"])
+    answer = F.from_json("response", "message_id string, `to` array<string>, predicted struct<predicted_label:string>")
+    return scoring.responses(scored).select("mail_id", answer.alias("a")).select(
+        "mail_id", "a.message_id", F.array_join("a.to", ",").alias("to_email"), F.col("a.predicted.predicted_label").alias("label")
+    )

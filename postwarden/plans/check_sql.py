@@ -71,9 +71,24 @@ def tags_out(t: str) -> str:
     return f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
 
 
+# The named references that the given tables hold, with others that are common.
+NAMED_ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
+    "copy": "©", "reg": "®", "trade": "™", "middot": "·",
+    "hellip": "…", "ndash": "–", "mdash": "—",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+    "laquo": "«", "raquo": "»", "bull": "•",
+    "pound": "£", "euro": "€", "yen": "¥", "cent": "¢",
+    "times": "×", "deg": "°", "sect": "§",
+    "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß",
+    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç",
+    "ntilde": "ñ", "aacute": "á", "oacute": "ó", "uacute": "ú",
+}
+
+
 def unescape(t: str) -> str:
     out = t
-    for name, char in fx.NAMED_ENTITIES.items():
+    for name, char in NAMED_ENTITIES.items():
         out = f"replace({out}, '&{name};', {s(char)})"
     out = f"replace(replace({out}, '&#39;', ''''), '&#x27;', '''')"
     return f"regexp_replace({out}, '&(amp;?|#38;|#[xX]26;)', '&', 'g')"
@@ -1024,3 +1039,41 @@ m_serve AS ({long_form(f"SELECT mail_id, {select(serve_columns())} FROM ready",
 CHECKS["scored_by_model"] = CHECKS["scored_by_saved_model"] = f"""{MAIL_SRC}, {FITTED}, {_model_live.removeprefix(MAIL_SRC + ', ')}
 SELECT mail_id, {ROUNDED}, round(least(0.99::DOUBLE, best), 4) AS model_confidence, predicted_label, risk_score,
     {SEVERITY} AS severity, category FROM sorted"""
+
+# --- the store --------------------------------------------------------------
+
+STORED = f"""{LIVE}, stored AS (SELECT mail_id AS email_id, '<' || mail_id || '@pages.example.org>' AS message_id, o.sender AS from_email,
+    't' || (mail_id % 41) || '@example.org' AS to_email, c.subject, dom AS domain, predicted_label,
+    round(ham, 4) AS ham_score, round(spam, 4) AS spam_score, round(phish, 4) AS phishing_score,
+    least(0.99::DOUBLE, best) AS confidence, {s(fx.MODEL_NAME)} AS model_version, risk_score, {SEVERITY} AS severity,
+    level AS domain_risk_level, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(mail_id) AS classified_at, n AS factors
+    FROM sorted o JOIN cleaned c USING (mail_id))"""
+CHECKS["stream_store"] = f"""{STORED} SELECT * REPLACE (round(confidence, 4) AS confidence, CAST(factors AS BIGINT) AS factors),
+    classified_at - INTERVAL 5 MINUTE AS sent_at, CASE WHEN factors > 0 THEN classified_at END AS detected_at FROM stored"""
+_shape = shape("'x@' || domain")
+CHECKS["stream_store_domains"] = f"""{STORED}, counts AS (SELECT domain, {COUNTS}, CAST(sum(risk_score) AS BIGINT) AS risk_total,
+    min(classified_at) AS first_seen, max(classified_at) AS last_seen FROM stored WHERE domain <> '' GROUP BY domain),
+named AS (SELECT *, domain AS sender_domain FROM counts)
+SELECT domain, total_emails, ham_count, spam_count, phishing_count, {LEVEL} AS risk_level, {_shape['risk_score']} AS risk_score,
+    risk_total / total_emails AS avg_risk_score, {_shape['is_free_provider']} AS is_free_provider,
+    contains({_shape['reasons']}, 'high_risk_tld') AS has_suspicious_tld, {_shape['reasons']} AS risk_reasons, first_seen, last_seen FROM named"""
+CHECKS["stream_store_campaigns"] = f"""{STORED}, counted AS (SELECT *, count(*) FILTER (WHERE {BAD}) OVER (PARTITION BY domain
+    ORDER BY classified_at RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS similar_emails FROM stored WHERE domain <> '')
+SELECT 'Campaign-' || domain || '-' || strftime(min(classified_at), '%Y%m%d') AS campaign_name, domain,
+    'coordinated_attack' AS attack_type, 'active' AS status, 'critical' AS severity,
+    arg_max(similar_emails, classified_at) AS email_count, min(classified_at) AS first_detected, max(classified_at) AS last_detected
+FROM counted WHERE similar_emails >= 15 GROUP BY domain"""
+
+
+def stored_rollup(unit: str, name: str) -> str:
+    return f"""SELECT date_trunc('{unit}', classified_at)::TIMESTAMP AS metric_date, '{name}' AS time_window, {COUNTS},
+    count(*) FILTER (WHERE risk_score >= 35 AND risk_score < 60) AS high_risk_count, count(*) FILTER (WHERE risk_score >= 60) AS critical_risk_count,
+    round(avg(risk_score), 6) AS avg_risk_score, round(avg(confidence), 6) AS avg_confidence, true AS was_timed FROM stored GROUP BY 1"""
+
+
+CHECKS["stored_performance"] = f"{STORED} " + " UNION ALL ".join(
+    stored_rollup(u, n) for u, n in (("hour", "hourly"), ("day", "daily"), ("week", "weekly"))
+)
+CHECKS["addressed_responses"] = f"""{LIVE} SELECT mail_id,
+    CASE WHEN mail_id % 3 <> 0 THEN '<' || mail_id || '@pages.example.org>' ELSE CAST(mail_id AS VARCHAR) END AS message_id,
+    CASE WHEN mail_id % 4 <> 0 THEN 'a@example.org,t' || mail_id || '@example.org' ELSE '' END AS to_email, predicted_label AS label FROM sorted"""

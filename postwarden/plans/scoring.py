@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postwarden.functions import fixed as fx
@@ -129,11 +129,15 @@ def risk_summary(scored: DataFrame, row_id: str = "mail_id") -> DataFrame:
 
 
 def responses(scored: DataFrame, row_id: str = "mail_id") -> DataFrame:
-    """(row_id, response): the nested answer per mail as JSON."""
+    """(row_id, response): the nested answer per mail as JSON.
+
+    The message's own id and recipients are told where the scored mails carry ``message_id`` and ``to_email``.
+    """
     reputation = F.struct(*fx.REPUTATION_COLUMNS)
     nested = F.struct(
-        F.coalesce(F.col(row_id).cast("string"), F.lit("unknown")).alias("message_id"),
+        _given(scored, "message_id", F.coalesce(F.col(row_id).cast("string"), F.lit("unknown"))).alias("message_id"),
         F.col("from_").alias("from_email"),
+        _given(scored, "to_email", F.array().cast("array<string>")).alias("to"),
         F.col("subject_").alias("subject"),
         F.struct(
             *[F.round(c, 4).alias(c) for c in ("ham_score", "spam_score", "phishing_score")],
@@ -152,25 +156,38 @@ def responses(scored: DataFrame, row_id: str = "mail_id") -> DataFrame:
     return scored.select(row_id, F.to_json(nested, {"ignoreNullFields": "false"}).alias("response"))
 
 
-def factor_rows(scored: DataFrame, row_id: str = "mail_id") -> DataFrame:
-    """One row per risk factor of a mail.
+def factor_rows(scored: DataFrame, row_id: str = "mail_id", at: str | None = None) -> DataFrame:
+    """One row per risk factor of a mail, with the time it was found where ``at`` names one.
 
     The outer explode keeps Spark from deriving a filter on the factors, which
     would be pushed below the projections and compute everything twice.
     """
+    found = [F.col(at).alias("detected_at")] if at else []
     return scored.select(
-        row_id, F.posexplode_outer("risk_factors").alias("position", "factor")
+        row_id, *found, F.posexplode_outer("risk_factors").alias("position", "factor")
     ).filter(F.col("position").isNotNull()).select(
         row_id, "position", F.col("factor.type").alias("factor_type"),
         F.col("factor.weight").alias("weight"), F.col("factor.value").alias("value"),
-        F.col("factor.description").alias("description"),
+        F.col("factor.description").alias("description"), *[c for c in ("detected_at",) if at],
     )
 
 
+def _given(scored: DataFrame, name: str, otherwise: Column) -> Column:
+    """A column that mails may come with."""
+    return F.coalesce(F.col(name), otherwise) if name in scored.columns else otherwise
+
+
 def log_rows(scored: DataFrame, at: str = "classified_at") -> DataFrame:
-    """Scored mails as rows of the mail log."""
+    """Scored mails as rows of the mail log: ids, addresses, scores, model, risk and times.
+
+    ``message_id``, ``to_email`` (array) and ``sent_at`` are taken where the mails came with them (see ``keep`` of
+    ``score_mail``); a mail without a message id goes by its own id.
+    """
     return scored.filter(F.col("error").isNull()).select(
-        F.col("mail_id").alias("email_id"), F.col("mail_id").cast("string").alias("message_id"),
-        F.col("from_").alias("from_email"), F.col("domain_reputation.domain").alias("domain"),
-        "predicted_label", "risk_score", at,
+        F.col("mail_id").alias("email_id"), _given(scored, "message_id", F.col("mail_id").cast("string")).alias("message_id"),
+        F.col("from_").alias("from_email"), _given(scored, "to_email", F.array().cast("array<string>")).alias("to_email"), F.col("subject_").alias("subject"),
+        F.col("domain_reputation.domain").alias("domain"), "predicted_label", *SCORES,
+        F.col("model_confidence").alias("confidence"), F.col("model_used").alias("model_version"), "risk_score", "severity",
+        F.col("domain_reputation.risk_level").alias("domain_risk_level"), F.col(at),
+        _given(scored, "sent_at", F.col(at)).alias("sent_at"),
     )

@@ -112,7 +112,7 @@ def _decode_one(path: str, content: bytes, body_policy: str) -> dict:
     return row
 
 
-def parse_mail(files: DataFrame, body_policy: str = "all_plain", full_entities: bool = True) -> DataFrame:
+def parse_mail(files: DataFrame, body_policy: str = "all_plain") -> DataFrame:
     """Decoded mails next to the columns of ``files`` (which needs path and content).
 
     ``all_plain`` joins the plain-text parts; ``first_html`` takes the first
@@ -138,11 +138,11 @@ def parse_mail(files: DataFrame, body_policy: str = "all_plain", full_entities:
             yield out
 
     raw = files.mapInPandas(decode, schema)
-    cleaned = tx.clean_text("body_raw", full_entities=full_entities)
+    cleaned = tx.clean_text("body_raw")
     body = tx.html_to_text("body_raw") if body_policy == "first_html" else cleaned
     return raw.select(
         F.sha2("path", 256).alias("mail_id"), "path", "from_email", "recipients", "sent",
-        tx.clean_text("subject_raw", full_entities=full_entities).alias("subject"),
+        tx.clean_text("subject_raw").alias("subject"),
         body.alias("body"), "error", *extra,
     )
 

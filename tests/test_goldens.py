@@ -1,7 +1,9 @@
 """Published sample values and hand-worked edge rows."""
 
 import html
+import random
 import string
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,11 +145,44 @@ def test_keyword_counts_overlap(spark):
 def test_entities(spark):
     texts = ["&lt;b&gt; &amp;lt; &quot;x&quot; &#39;", "cut &amp</b> &ampx; &amplt;", "a &amp;amp; b", "no refs", "&euro;5 &copy;"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for r in df.select("t", tx.unescape_html("t").alias("n"),
-                       tx.unescape_html("t", full=True).alias("f")).collect():
+    for r in df.select("t", tx.unescape_html("t").alias("n"), tx.unescape_html(F.col("t")).alias("f")).collect():
         assert r["n"] == r["f"] == html.unescape(r["t"])
-    rare = spark.createDataFrame([("&zwj;&#x1F600; &notin;",)], "t string")
-    assert rare.select(tx.unescape_html("t", full=True)).first()[0] == html.unescape("&zwj;&#x1F600; &notin;")
+
+
+def test_every_named_reference(spark):
+    texts = [f"a&{n}b &{n}" for n in html5] + [f"&{n.rstrip(';')}x;&{n[:-1]}" for n in html5]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", tx.unescape_html("t").alias("n")).collect():
+        assert r["n"] == html.unescape(r["t"]), r["t"]
+
+
+def test_numeric_references(spark):
+    codes = [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000,
+             0x1F600, 0x1FFFE, 0x10FFFD, 0x10FFFF, 0x110000, 9_999_999, 10**30]
+    texts = [f"{a}{n}{b}" for n in codes for a, b in (("&#", ";"), ("&#000", "x"), ("x&#", ""))]
+    texts += [f"&#{x}{n:x};&#{x}00{n:X}g" for n in codes for x in "xX"]
+    texts += ["&#;", "&#x;", "&#xg", "&#", "&", "&&amp;&", "&#٣;", "&#0000000000000000065;", "&#x00000000041", "&# 65;", "&#-1;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", tx.unescape_html("t").alias("n")).collect():
+        assert r["n"] == html.unescape(r["t"]), r["t"]
+
+
+def test_generated_references(spark):
+    rng = random.Random(8)
+    names = [n.rstrip(";") for n in html5]
+    pieces = ["&", ";", "#", "x", "&#", "&#x", "amp", "lt", "not", "notin", "copy", " ", "\n", "é", "=", "12", "41", "😀"]
+    texts = ["".join(rng.choice(pieces if rng.random() < 0.7 else names) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts += ["&" + "a" * k + ";" for k in (30, 31, 32, 33, 40)] + ["&amp;" * 20_000, "&" * 20_000, None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", tx.unescape_html("t").alias("n")).collect():
+        assert r["n"] == (None if r["t"] is None else html.unescape(r["t"])), r["t"]
+
+
+def test_references_are_decoded_without_python(spark):
+    """The tables of names are constants of the plan."""
+    texts = spark.createDataFrame([("&lt;",)], "t string").select(tx.clean_text("t"), tx.safe_text("t"))
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and "from_json" not in plan
 
 
 def test_cleaning_order_differs(spark):

@@ -9,6 +9,7 @@ from postwarden.operators import campaigns, domains, reports, reputation
 from postwarden.plans import scoring
 from postwarden.sources.views import view
 from postwarden.streaming import jobs
+from postwarden.streaming.store import BatchStore, valid_runs
 
 SCHEMA = (
     "email_id bigint, message_id string, from_email string, domain string, "
@@ -101,13 +102,21 @@ def test_duplicates_and_history(spark, log_files):
     assert _rows(spark.read.parquet(os.path.join(home, "rows"))) == _rows(jobs.sender_history(log))
 
 
-def test_store_job_writes_all_tables(spark, data, tmp_path):
+def test_domain_job_equals_batch_with_few_files(spark, log_files):
+    folder, log = log_files
+    home = jobs.new_home(spark, "t")
+    jobs.drain(jobs.domain_job(_stream(spark, folder), home, base=2))
+    assert _rows(jobs.stored_domains(spark, home, base=2)) == _rows(domains.domain_risk(log))
+    jobs.drain(jobs.domain_job(_stream(spark, folder), home, base=2))  # nothing new
+    assert _rows(jobs.stored_domains(spark, home, base=2)) == _rows(domains.domain_risk(log))
+
+
+def _store(spark, data, tmp_path, files=2):
     folder = str(tmp_path / "mail")
     mails = view(spark, data, "link_mail").withColumn(
         "classified_at", F.lit("2024-05-01 10:00:00").cast("timestamp_ntz"))
-    mails.repartition(2).write.parquet(folder)
+    mails.repartition(files).write.parquet(folder)
     rep = reputation.sender_reputation(mails.limit(0).withColumn("label", F.lit("ham")))
-    home = jobs.new_home(spark, "t")
 
     def score(df):
         return scoring.score_mail(
@@ -115,10 +124,75 @@ def test_store_job_writes_all_tables(spark, data, tmp_path):
 
     schema = ", ".join(f"{n} {t}" for n, t in mails.dtypes)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    jobs.drain(jobs.store_job(stream, home, score))
+    return mails, score, stream
+
+
+def test_store_job_writes_all_tables(spark, data, tmp_path):
+    mails, score, stream = _store(spark, data, tmp_path)
+    home = jobs.new_home(spark, "t")
+    jobs.drain(jobs.store_job(stream, home, score, threshold=5))
     scored = score(mails)
-    stored = {n: spark.read.parquet(os.path.join(home, n)).drop("batch") for n in ("mails", "factors", "history")}
-    assert _rows(stored["mails"]) == _rows(scoring.log_rows(scored))
-    assert _rows(stored["factors"]) == _rows(scoring.factor_rows(scored))
-    assert stored["history"].count() == mails.count()
-    assert _rows(jobs.stored_domains(spark, home)) == _rows(domains.domain_risk(scoring.log_rows(scored)))
+    log = scoring.log_rows(scored)
+    assert _rows(jobs.stored(spark, home, "mails").drop("processing_ms")) == _rows(log)
+    assert _rows(jobs.stored(spark, home, "factors")) == _rows(scoring.factor_rows(scored, at="classified_at"))
+    assert _rows(jobs.stored(spark, home, "texts")) == _rows(mails.selectExpr("mail_id email_id", "body", "raw_headers"))
+    assert _rows(jobs.stored(spark, home, "history")) == _rows(jobs.sender_history(log))
+    assert jobs.stored(spark, home, "errors").count() == 0
+    assert _rows(jobs.stored_domains(spark, home)) == _rows(domains.domain_risk(log))
+    want = campaigns.detect_campaigns(log, 600, 5)
+    assert want.count() > 0 and _rows(jobs.campaign_table(spark, home)) == _rows(want)
+    assert {"confidence", "to_email", "domain_risk_level", "model_version", "sent_at"} <= set(log.columns)
+
+
+def test_a_killed_batch_leaves_nothing_visible(spark, data, tmp_path, monkeypatch):
+    mails, score, stream = _store(spark, data, tmp_path)
+    home = jobs.new_home(spark, "t")
+    commit = BatchStore.commit
+
+    def dies(self, batch, *told):
+        if batch == 1:
+            raise RuntimeError("killed")
+        commit(self, batch, *told)
+
+    monkeypatch.setattr(BatchStore, "commit", dies)
+    with pytest.raises(Exception, match="killed"):
+        jobs.drain(jobs.store_job(stream, home, score, threshold=5))
+    names = ("mails", "factors", "history", "texts", "errors")
+    seen = {n: jobs.stored(spark, home, n).count() for n in names}
+    assert 0 < seen["mails"] < mails.count() and seen["mails"] == seen["texts"] == seen["history"]
+    total = jobs.stored_domains(spark, home).agg(F.sum("total_emails")).first()[0]
+    assert total == jobs.stored(spark, home, "mails").filter("domain <> ''").count()
+    monkeypatch.setattr(BatchStore, "commit", commit)
+    # The query goes on: the killed batch is done again, in place of what it had left.
+    jobs.drain(jobs.store_job(stream, home, score, threshold=5))
+    log = scoring.log_rows(score(mails))
+    assert _rows(jobs.stored(spark, home, "mails").drop("processing_ms")) == _rows(log)
+    assert _rows(jobs.stored_domains(spark, home)) == _rows(domains.domain_risk(log))
+
+
+def test_valid_runs_cover_every_batch_once():
+    for n in range(200):
+        covered = [b for size, run in valid_runs(n, 3) for b in range(run * 3**size, (run + 1) * 3**size)]
+        assert sorted(covered) == list(range(n))
+    assert len(valid_runs(1000, 8)) <= 7 * 4
+
+
+def test_merged_state_keeps_few_files(spark, tmp_path):
+    store = BatchStore(spark, str(tmp_path / "store"), base=2)
+
+    def added(df):
+        return df.groupBy("k").agg(F.sum("n").alias("n"))
+
+    assert store.state("counts", added) is None
+    for batch in range(13):
+        assert store.begin(batch)
+        store.merge("counts", spark.createDataFrame([(batch % 3, 1), (7, batch)], "k int, n long").coalesce(1), batch, added)
+        store.commit(batch)
+        got = {r["k"]: r["n"] for r in store.state("counts", added).collect()}
+        assert got[7] == sum(range(batch + 1)) and sum(v for k, v in got.items() if k != 7) == batch + 1
+    runs = [p for p in (tmp_path / "store/state/name=counts").glob("size=*/run=*")]
+    assert len(runs) <= len(valid_runs(13, 2)) + len(valid_runs(12, 2)) + 2
+    assert len(list((tmp_path / "store/commits").glob("batch=*"))) == 2
+    assert not store.begin(12) and store.begin(13)
+    with pytest.raises(RuntimeError, match="lost batches"):
+        store.begin(15)
