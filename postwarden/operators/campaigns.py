@@ -12,34 +12,47 @@ AT = "classified_at"
 BAD_LABELS = ["spam", "phishing"]
 
 
-def trailing_bad_counts(log: DataFrame, window_seconds: int = 600, block_seconds: int = 60) -> DataFrame:
+#: Width of the time blocks that running sums are carried over, and of their parts.  A part holds no more than so many instants.
+BLOCK_SECONDS, PART_MICROS = 60, 100_000
+
+
+def trailing_bad_counts(log: DataFrame, window_seconds: int = 600, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """``similar_emails``: spam and phishing of the row's domain in the trailing window.
 
-    The window includes its lower bound, the row and rows of the same instant.
-    Every bad row adds one at its time and takes it away just after the window
-    has passed, so the count is a running sum, linear in the rows.  A domain may
-    hold any share of the log: it is cut into blocks of time, and the sum of all
-    earlier blocks comes from the blocks' totals, a narrow table.
+    The window includes its lower bound, the row and rows of the same instant.  Every bad row adds one at its time and takes it
+    away just after the window has passed, so the count is a running sum over the instants of a domain, linear in the rows.
+
+    Rows of one instant combine before they are shuffled.  The sum runs inside parts of a tenth of a second, over the parts of a
+    minute, and over the minutes of a domain: none of these groups grows with the number of mails, whatever share of the log one
+    domain, minute or instant has.
     """
-    width, block = window_seconds * 1_000_000, block_seconds * 1_000_000
+    width = window_seconds * 1_000_000
     bad = F.col("predicted_label").isin(BAD_LABELS)
     timed = log.filter(F.col("domain").isNotNull() & (F.col("domain") != "")).withColumn("us_", micros(F.col(AT)))
-    own = F.struct(F.col("us_").alias("at"), bad.cast("int").alias("step"), F.lit(True).alias("row"))
-    gone = F.struct((F.col("us_") + width + 1).alias("at"), F.lit(-1).alias("step"), F.lit(False).alias("row"))
-    steps = F.when(bad, F.array(own, gone)).otherwise(F.array(own))
-    in_block = F.floor(F.col("step_.at") / block).cast("long").alias("block_")
-    totals = timed.select("domain", F.explode(steps).alias("step_")).groupBy("domain", in_block).agg(
-        F.sum("step_.step").alias("total_")
+    own = F.struct(F.col("us_").alias("at"), bad.cast("int").alias("step"))
+    gone = F.struct((F.col("us_") + width + 1).alias("at"), F.lit(-1).alias("step"))
+    steps = timed.select("domain", F.inline(F.when(bad, F.array(own, gone)).otherwise(F.array(own))))
+    instants = steps.groupBy("domain", F.col("at").alias("us_")).agg(F.sum("step").alias("total_")).withColumn(
+        "part_", F.floor(F.col("us_") / PART_MICROS).cast("long")
+    )
+    minute = F.floor(F.col("part_") * PART_MICROS / (block_seconds * 1_000_000)).cast("long").alias("minute_")
+    parts = instants.groupBy("domain", minute, "part_").agg(F.sum("total_").alias("total_"))
+    minutes = parts.groupBy("domain", "minute_").agg(F.sum("total_").alias("total_"))
+
+    def earlier(order: str, *within: str) -> Column:
+        before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("total_").over(before), F.lit(0))
+
+    by_minute = minutes.select("domain", "minute_", earlier("minute_", "domain").alias("minutes_"))
+    by_part = parts.select("domain", "minute_", "part_", earlier("part_", "domain", "minute_").alias("parts_"))
+    carried = by_part.join(by_minute, ["domain", "minute_"]).select(
+        "domain", "part_", (F.col("minutes_") + F.col("parts_")).alias("carried_")
     )
-    before = Window.partitionBy("domain").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("domain", "block_", F.coalesce(F.sum("total_").over(before), F.lit(0)).alias("carried_"))
-    placed = timed.select(*log.columns, F.explode(steps).alias("step_")).select(*log.columns, "step_", in_block)
-    inside = Window.partitionBy("domain", "block_").orderBy("step_.at").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
+    inside = Window.partitionBy("domain", "part_").orderBy("us_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = instants.join(carried, ["domain", "part_"]).select(
+        "domain", "us_", (F.sum("total_").over(inside) + F.col("carried_")).alias("similar_emails")
     )
-    return placed.join(carried, ["domain", "block_"]).withColumn(
-        "similar_emails", F.sum("step_.step").over(inside) + F.col("carried_")
-    ).filter("step_.row").select(*log.columns, "similar_emails")
+    return timed.join(counts, ["domain", "us_"]).select(*log.columns, "similar_emails")
 
 
 def campaign_alerts(log: DataFrame, window_seconds: int = 600, threshold: int = 15) -> DataFrame:

@@ -37,34 +37,40 @@ def mail_links(df: DataFrame, text: str = "body", row_id: str = "mail_id") -> Da
     )
 
 
-def registered_domains(
-    df: DataFrame, suffixes: DataFrame, host: str = "host", max_labels: int | None = None
-) -> DataFrame:
-    """Adds ``suffix``, ``domain`` and ``subdomain`` of a host by its longest listed suffix.
+def registered_domains(df: DataFrame, suffixes: DataFrame, host: str = "host") -> DataFrame:
+    """Adds ``suffix``, ``domain`` and ``subdomain`` of a host by a table of public suffix rules.
+
+    A rule is a suffix (``co.uk``), one with any label in front (``*.ck``), or an exception from such a one (``!www.ck``: the
+    suffix is what follows its first label).  An exception wins, else the longest rule.  A host without a rule has no suffix.
 
-    One join per suffix length, whose strategy is left to the planner.
-    ``max_labels`` is the number of labels of the longest suffix; unless given
-    it is read from the table.
+    Each different host looks up all its tails at once, in one join with the rules, which the planner broadcasts if they are
+    few; what is found is joined back by host.
     """
-    listed = suffixes.select(F.lower("suffix").alias("suffix_")).distinct()
-    if max_labels is None:
-        max_labels = listed.agg(F.max(F.size(F.split("suffix_", r"\.")))).first()[0] or 1
-    out = df.withColumn("labels_", F.split(F.col(host), r"\."))
-    for k in range(1, max_labels + 1):
-        tail = F.array_join(F.slice("labels_", -k, k), ".")
-        out = out.withColumn(f"tail_{k}_", F.when(F.size("labels_") >= k, tail))
-        right = listed.select(
-            F.col("suffix_").alias(f"tail_{k}_"), F.col("suffix_").alias(f"hit_{k}_")
-        )
-        out = out.join(right, f"tail_{k}_", "left")
+    rules = suffixes.select(F.lower(F.trim("suffix")).alias("rule_")).filter("rule_ <> ''").distinct()
     is_ip = F.col(host).rlike(fx.IPV4_HOST)
-    hits = [F.when(~is_ip, F.col(f"hit_{k}_")) for k in range(max_labels, 0, -1)]
-    suffix = F.coalesce(*hits, F.lit(""))
-    temp = [f"{x}_{k}_" for x in ("tail", "hit") for k in range(1, max_labels + 1)]
-    used = F.when(F.col("suffix") == "", 0).otherwise(F.size(F.split("suffix", r"\.")))
-    rest = F.slice("labels_", F.lit(1), F.greatest(F.lit(0), F.size("labels_") - F.col("used_")))
+    labels = F.split("host_", r"\.")
+
+    def tail(k: Column) -> Column:
+        return F.array_join(F.slice(labels, -k, k), ".")
+
+    def tails(k: Column) -> Column:
+        anything = F.when(k == 1, F.lit("*")).otherwise(F.concat(F.lit("*."), tail(F.greatest(k - 1, F.lit(1)))))
+        plain = F.array(F.struct(tail(k).alias("rule_"), k.alias("used_"), F.lit(False).alias("except_")),
+                        F.struct(anything.alias("rule_"), k.alias("used_"), F.lit(False).alias("except_")))
+        return F.concat(plain, F.array(F.struct(
+            F.concat(F.lit("!"), tail(k)).alias("rule_"), (k - 1).alias("used_"), F.lit(True).alias("except_")
+        )))
+
+    asked = df.filter(F.col(host).isNotNull() & ~is_ip).select(F.col(host).alias("host_")).distinct()
+    looked = asked.select("host_", F.inline(F.flatten(F.transform(F.sequence(F.lit(1), F.size(labels)), tails))))
+    found = looked.join(rules, "rule_").groupBy("host_").agg(
+        F.coalesce(F.max(F.when(F.col("except_"), F.col("used_"))), F.max("used_")).alias("used_")
+    )
+    out = df.join(found, df[host] == found["host_"], "left").drop("host_").withColumn("labels_", F.split(F.col(host), r"\."))
+    used = F.coalesce("used_", F.lit(0))
+    rest = F.slice("labels_", F.lit(1), F.greatest(F.lit(0), F.size("labels_") - used))
     return (
-        out.withColumn("suffix", suffix).drop(*temp).withColumn("used_", used)
+        out.withColumn("suffix", F.coalesce(F.array_join(F.slice("labels_", F.greatest(F.lit(1), F.size("labels_") - used + 1), used), "."), F.lit("")))
         .withColumn("rest_", rest)
         .withColumn(
             "domain",
@@ -81,9 +87,7 @@ def registered_domains(
     )
 
 
-def url_threat(
-    df: DataFrame, suffixes: DataFrame, url: str = "url", max_labels: int | None = None
-) -> DataFrame:
+def url_threat(df: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFrame:
     """Adds the threat features and ``threat_score`` in [0, 1] for a URL column.
 
     ``multi_tld`` asks for a dot inside the registrable label, which suffix
@@ -92,7 +96,7 @@ def url_threat(
     decoded = df.withColumn("decoded_", ur.percent_decoded(url)).withColumn(
         "host", ur.url_host("decoded_")
     ).withColumn("path_", ur.url_path("decoded_"))
-    split = registered_domains(decoded, suffixes, "host", max_labels)
+    split = registered_domains(decoded, suffixes, "host")
     low_url = F.lower(F.col(url))
     has_exec = F.lower("path_").rlike(tx.any_of(fx.EXECUTABLE_EXTENSIONS, r"\z"))
     marks = split.select(
@@ -127,13 +131,14 @@ def url_threat(
 def max_url_threat(
     df: DataFrame, suffixes: DataFrame, text: str = "body", row_id: str = "mail_id"
 ) -> DataFrame:
-    """Highest link score, its URL and the number of links per text; 0 for texts without links."""
-    scored = url_threat(mail_links(df, text, row_id), suffixes)
-    worst = F.max(F.struct("threat_score", (-F.col("position")).alias("p"), "url"))
-    best = scored.groupBy(row_id).agg(worst.alias("worst_"), F.count(F.lit(1)).alias("links_"))
-    return df.select(row_id).join(best, row_id, "left").select(
-        row_id,
-        F.coalesce("worst_.threat_score", F.lit(0.0)).alias("max_threat_score"),
-        F.col("worst_.url").alias("worst_url"),
-        F.coalesce("links_", F.lit(0)).alias("link_count"),
+    """Highest link score, its URL and the number of links per text; 0 for texts without links.
+
+    Texts without links keep one row without a URL, so nothing is joined back.
+    """
+    links = df.select(row_id, F.posexplode_outer(ur.find_urls(text)).alias("position", "url"))
+    scored = url_threat(links, suffixes)
+    worst = F.max(F.when(F.col("url").isNotNull(), F.struct("threat_score", (-F.col("position")).alias("p"), "url")))
+    return scored.groupBy(row_id).agg(worst.alias("worst_"), F.count("url").alias("link_count")).select(
+        row_id, F.coalesce("worst_.threat_score", F.lit(0.0)).alias("max_threat_score"),
+        F.col("worst_.url").alias("worst_url"), "link_count",
     )

@@ -32,8 +32,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_top_json(df: DataFrame, path: str, by: str, limit: int = 200) -> None:
-    """The ``limit`` rows with the highest ``by``, as JSON lines."""
-    df.orderBy(F.col(by).desc()).limit(limit).write.mode("overwrite").json(path)
+    """The ``limit`` rows with the highest ``by``, as JSON lines; equal ones by the other columns in turn."""
+    rest = [F.col(c) for c in df.columns if c != by]
+    df.orderBy(F.col(by).desc(), *rest).limit(limit).write.mode("overwrite").json(path)
 
 
 def write_manifest(spark: SparkSession, names: list[str], path: str) -> None:

@@ -10,6 +10,7 @@ from postwarden.functions import text as tx
 from postwarden.operators import alerts, campaigns, dataset, links, reports
 from postwarden.sources import mail_files, tables
 from postwarden.streaming import jobs
+from postwarden.streaming.store import BatchStore
 
 LOG = "email_id long, message_id string, domain string, predicted_label string, risk_score int, classified_at timestamp_ntz"
 
@@ -58,9 +59,10 @@ def test_stream_keeps_rows_without_an_id(spark, tmp_path):
 
 
 def test_lost_stream_state_is_an_error(spark, tmp_path):
-    assert jobs._state(spark, str(tmp_path), "recent", -1, jobs.RECENT).count() == 0
+    store = BatchStore(spark, str(tmp_path))
+    assert store.replaced("recent", jobs.RECENT, -1).count() == 0
     with pytest.raises(Exception):
-        jobs._state(spark, str(tmp_path), "recent", 0, jobs.RECENT).count()
+        store.replaced("recent", jobs.RECENT, 0).count()
 
 
 def test_false_positive_rate_counts_known_outcomes_only(spark):

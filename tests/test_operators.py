@@ -273,11 +273,11 @@ def test_no_plan_moves_everything_to_one_task(spark, data):
         assert "SinglePartition" not in _plan(df)
 
 
-def test_tfidf_shuffles_texts_once(spark, data):
+def test_tfidf_shuffles_no_texts(spark, data):
     mail = view(spark, data, "mail")
     vocab = spark.createDataFrame([("a", 1.0)], "term string, idf double")
     plan = _plan(vectors.tfidf(mail, vocab, "subject"))
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 0
 
 
 def test_scoring_never_shuffles_texts(spark, data, capsys):
