@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from postwarden.llm.common import batch, texts
+from postwarden.llm.common import Generations, batch, texts
 
-#: Pieces a worker remembers; the memory is emptied when full.
-REMEMBER = 250_000
+#: Pieces a worker remembers.
+REMEMBER = 500_000
 
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
@@ -78,16 +78,16 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.table[rank] = token
         self.length = np.array([len(t) for t in self.table], np.int64)
-        self.known: dict[str, bytes] = {}
+        self.flat = np.frombuffer(b"".join(self.table), np.uint8)
+        self.start = np.cumsum(self.length) - self.length
+        self.known = Generations(REMEMBER)
 
     def _learn(self, pieces: Iterable[str]) -> None:
-        new = list(pieces)
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
+        new, known = list(pieces), self.known.young
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for piece, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+                known[piece] = np.array(found.ids, "<u4").tobytes()
 
     def encode_bytes(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -104,14 +104,10 @@ class ByteBpe:
         out = []
         for at in range(0, len(cut), 256):
             part = cut[at : at + 256]
-            wanted = set().union(*part)
-            missing = [p for p in wanted if p not in self.known]
+            missing = self.known.missing(set().union(*part))
             if missing:
-                if len(self.known) + len(missing) > REMEMBER:
-                    self.known.clear()
-                    missing = list(wanted)
                 self._learn(missing)
-            out += [b"".join(map(self.known.__getitem__, pieces)) for pieces in part]
+            out += [b"".join(map(self.known.young.__getitem__, pieces)) for pieces in part]
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -129,7 +125,11 @@ class ByteBpe:
         return char_of_byte[starts], char_of_byte[ends - 1] + 1
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+        ids = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), np.int64)
+        sizes = self.length[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.start[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ids) else 0)
+        return self.flat[places].tobytes()
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The text each id completes: a character split over ids comes with the last of them."""
@@ -184,7 +184,7 @@ def round_trips(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             keys = b.column(0)
             for at in range(0, b.num_rows, 512):
                 encoded = bpe.encode_bytes(texts(b.column(1).slice(at, 512)))
-                back = [bpe.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in encoded]
+                back = [bpe.decode_bytes(np.frombuffer(x, "<u4")) for x in encoded]
                 yield batch(
                     schema, keys.slice(at, 512).cast(pa.int64()), [len(x) // 4 for x in encoded],
                     [hashlib.sha256(x).hexdigest() for x in encoded],

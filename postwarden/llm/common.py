@@ -72,6 +72,30 @@ def take_sample(df: DataFrame, key: str, by: list[str], rows: int) -> DataFrame:
     return df.filter(unit < share)
 
 
+class Generations:
+    """A bounded memory of two halves: when the younger one is full it becomes the older, whose entries live on if they are asked for.
+
+    So what is met again and again is never worked out twice, and what is met once is forgotten.
+    """
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = max(1, most // 2), {}, {}
+
+    def missing(self, wanted) -> list:
+        """Those that have to be worked out and set in ``young``; after that ``young`` holds all that are wanted."""
+        young = self.young
+        new = [w for w in wanted if w not in young]
+        if len(young) + len(new) > self.half:
+            self.old, self.young, new = young, {}, list(wanted)
+        young, old, unknown = self.young, self.old, []
+        for w in new:
+            if w in old:
+                young[w] = old[w]
+            else:
+                unknown.append(w)
+        return unknown
+
+
 def group_starts(*columns: np.ndarray) -> np.ndarray:
     """Where a new group begins in columns that are sorted together, with the end appended."""
     n = len(columns[0])
