@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwarden.llm.bytebpe import byte_characters
-from postwarden.llm.common import batch, texts
+from postwarden.llm.common import Generations, batch, texts
 from postwarden.session import materialise
 
-#: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBER = 250_000
-MARKS = [b".", b",", b"!", b"?", b";", b":", b"!!", b".!!", b",!!"]
+#: Words whose ids a worker remembers.
+REMEMBER = 400_000
+MARKS = [".", ",", "!", "?", ";", ":", "!!", ".!!", ",!!"]
 #: Letters whose lower case and normal form don't depend on what stands beside them, and closing marks.
 _LETTERS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,!?;:]*)").fullmatch
 
@@ -47,8 +47,9 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.known = Generations(REMEMBER)  # ids of words
+        self.letters = Generations(REMEMBER)  # ids of their letters in lower case
+        self.marks: dict[str, bytes] = {}
         self.shown = byte_characters()
 
     def _learn(self, words: list[bytes]) -> None:
@@ -57,23 +58,25 @@ class WordIds:
         Most are Latin letters with or without closing marks.  The tokenizer parts the letters from the marks, so
         the letters' ids come from its model directly and are shared by all words that differ in marks or case.
         """
-        others, model, shown = [], self.library.model, self.shown
+        if not self.marks:
+            for mark, e in zip(MARKS, self.library.encode_batch_fast(MARKS, add_special_tokens=False)):
+                self.marks[mark] = np.array(e.ids, "<u4").tobytes()
+        others, spelt, model, shown = [], [], self.library.model, self.shown
         for word in words:
             text = word.decode()
             found = _LETTERS(text)
-            if not found or (found[2] and found[2].encode() not in self.known):
+            if not found or (found[2] and found[2] not in self.marks):
                 others.append(text)
-                continue
-            low = found[1].lower()
-            ids = self.letters.get(low)
-            if ids is None:
-                if len(self.letters) >= REMEMBER:
-                    self.letters.clear()
-                spelt = low if low.isascii() else "".join([shown[b] for b in low.encode()])
-                ids = self.letters[low] = np.array([t.id for t in model.tokenize(spelt)], "<u4").tobytes()
-            self.known[word] = ids + self.known[found[2].encode()] if found[2] else ids
+            else:
+                spelt.append((word, found[1].lower(), found[2]))
+        for low in self.letters.missing({low for _, low, _ in spelt}):
+            name = low if low.isascii() else "".join([shown[b] for b in low.encode()])
+            self.letters.young[low] = np.array([t.id for t in model.tokenize(name)], "<u4").tobytes()
+        known, letters, marks = self.known.young, self.letters.young, self.marks
+        for word, low, mark in spelt:
+            known[word] = letters[low] + marks[mark] if mark else letters[low]
         for word, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False)):
-            self.known[word.encode()] = np.array(e.ids, "<u4").tobytes()
+            known[word.encode()] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, many: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -81,15 +84,10 @@ class WordIds:
         out = []
         for at in range(0, len(cut), 256):
             part = cut[at : at + 256]
-            wanted = set().union(*part)
-            missing = [w for w in wanted if w not in self.known]
+            missing = self.known.missing(set().union(*part))
             if missing:
-                if len(self.known) + len(missing) > REMEMBER:
-                    self.known.clear()
-                    missing = list(wanted)
-                self._learn(MARKS)
                 self._learn(missing)
-            out += [b"".join(map(self.known.__getitem__, words)) for words in part]
+            out += [b"".join(map(self.known.young.__getitem__, words)) for words in part]
         return out
 
 
