@@ -166,7 +166,10 @@ def linked(
                 v = usable(vector) if label is not None else None
                 raw = None if v is None else (v + 0.0).tobytes()  # -0 is 0
                 data.append(raw)
-                node.append(None if v is None else hashlib.blake2b(raw, digest_size=16, key=label.encode()[:64]).hexdigest())
+                # The key is a digest of the whole label, so that equal vectors of other labels are other nodes.
+                node.append(None if v is None else hashlib.blake2b(
+                    raw, digest_size=16, key=hashlib.blake2b(label.encode()).digest()
+                ).hexdigest())
             yield batch(schema, b.column(0), node, b.column(2), data)
 
     parsed = materialise(rows.mapInArrow(read, "vec_id bigint, node string, label string, vector binary"), "vectors")

@@ -51,7 +51,7 @@ def crowded(docs):
     from pyspark.sql import functions as F
 
     out = docs
-    for name in ("id", "row", "score", "key", "bucket", "token", "part", "n", "m", "node", "length", "piece", "block", "words", "_text"):
+    for name in ("id", "row", "score", "key", "bucket", "token", "part", "n", "m", "node", "length", "piece", "block", "words", "_text", "_key", "_digest", "digest", "least", "component_id"):
         out = out.withColumn(name, F.lit("other"))
     return out
 

@@ -253,6 +253,31 @@ def test_lattice_on_odd_tables(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in lattice.linked(twice).collect()) == [(0, 1, 1), (1, 0, 1), (1, 1, 1)]
 
 
+def test_lattice_tells_long_labels_apart(spark):
+    long = "l" * 70
+    rows = [(1, [1.0, 0.0], long + "a"), (2, [1.0, 0.0], long + "b"), (3, [1.0, 0.01], long + "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.linked(df).collect())
+    assert got == [(1, 1, 1), (2, 0, 2), (3, 1, 1)]
+
+
+@pytest.mark.parametrize("cosine", [0.932, 0.94, 0.95])
+def test_lattice_finds_planted_pairs(spark, cosine):
+    """Pairs just above the threshold, in 64 dimensions among unrelated vectors."""
+    rng = np.random.default_rng(3)
+    rows, pairs = [], 60
+    for i in range(pairs):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (cosine * a + np.sqrt(1 - cosine**2) * b).tolist(), 1)]
+    rows += [(1000 + i, rng.normal(size=64).tolist(), 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    linked = {r.vec_id: (r.n_links, r.component_id) for r in lattice.linked(df).collect()}
+    assert sum(linked[2 * i + 1] == (1, 2 * i) for i in range(pairs)) >= 0.95 * pairs
+
+
 def test_shingles_of_one_component_are_dealt_out(spark):
     from pyspark.sql import functions as F
 
