@@ -38,40 +38,44 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Different texts under one id are judged apart; of rows with the same id and text one stays.
     """
+    # Rows travel as one column, so that no name of theirs clashes with the stage's own.
+    rows = docs.select(
+        F.col("doc_id").alias("id"), F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
     repeated = materialise(
-        docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated"
+        rows.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"), "repeated"
     )
-    single, keyed = docs, docs.select(F.col("doc_id").alias("_key"), "text")
+    single, keyed = rows, rows.select(F.col("id").alias("key"), "text")
     if not repeated.isEmpty():
-        single = docs.join(repeated, "doc_id", "left_anti").select(docs.columns)
+        single = rows.join(repeated, "id", "left_anti")
         digest = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
         again = materialise(
-            docs.join(repeated, "doc_id", "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]), "again"
+            rows.join(repeated, "id", "left_semi").withColumn("digest", digest).dropDuplicates(["id", "digest"]), "again"
         )
-        least = again.groupBy("doc_id").agg(F.min("_digest").alias("_least"))
+        least = again.groupBy("id").agg(F.min("digest").alias("least"))
         # The first text of an id goes by the id, each other one by a hash.
-        again = materialise(again.join(least, "doc_id").withColumn(
-            "_key", F.when(F.col("_digest") == F.col("_least"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "_digest"))
+        again = materialise(again.join(least, "id").withColumn(
+            "key", F.when(F.col("digest") == F.col("least"), F.col("id")).otherwise(F.xxhash64("id", "digest"))
         ), "again-keyed")
-        keyed = single.select(F.col("doc_id").alias("_key"), "text").union(again.select("_key", "text"))
-    groups = jaccard.joined(keyed, "_key")
-    gone = groups.filter("_key <> component_id").select("_key").distinct()
+        keyed = single.select(F.col("id").alias("key"), "text").union(again.select("key", "text"))
+    groups = jaccard.joined(keyed, "key")
+    gone = groups.filter("key <> component_id").select("key").distinct()
     if repeated.isEmpty():
-        return docs.join(gone.withColumnRenamed("_key", "doc_id"), "doc_id", "left_anti").select(docs.columns)
-    groups = materialise(groups.filter("_key is not null"), "groups")
-    named = groups.join(again.select("_key", "doc_id", "_digest"), "_key", "left")
-    first = F.min(F.struct(F.coalesce("doc_id", "_key").alias("id"), F.coalesce("_digest", F.lit("")).alias("text"), "_key"))
+        return rows.join(gone.withColumnRenamed("key", "id"), "id", "left_anti").select("row.*")
+    groups = materialise(groups.filter("key is not null"), "groups")
+    named = groups.join(again.select("key", "id", "digest"), "key", "left")
+    first = F.min(F.struct(F.coalesce("id", "key").alias("id"), F.coalesce("digest", F.lit("")).alias("text"), "key"))
     # Where a hash is the smallest number of its group, the text with the smallest id stays instead.
     other = materialise(
-        named.groupBy("component_id").agg(first.alias("first")).select("component_id", F.col("first._key").alias("_key"))
-        .filter("_key <> component_id"), "other"
+        named.groupBy("component_id").agg(first.alias("first")).select("component_id", F.col("first.key").alias("key"))
+        .filter("key <> component_id"), "other"
     )
     gone = materialise(
-        groups.filter("_key <> component_id").select("_key").distinct().join(other.select("_key"), "_key", "left_anti")
+        groups.filter("key <> component_id").select("key").distinct().join(other.select("key"), "key", "left_anti")
         .union(other.select("component_id")), "gone"
     )
-    kept = single.join(gone.withColumnRenamed("_key", "doc_id"), "doc_id", "left_anti").select(docs.columns)
-    return kept.union(again.join(gone, "_key", "left_anti").select(docs.columns))
+    kept = single.join(gone.withColumnRenamed("key", "id"), "id", "left_anti").select("row.*")
+    return kept.union(again.join(gone, "key", "left_anti").select("row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
