@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postwarden.functions import fixed as fx
 from postwarden.functions import text as tx
+from postwarden.session import materialise
 
 
 def min_length(df: DataFrame, chars: int = 20, column: str = "body") -> DataFrame:
@@ -109,13 +110,28 @@ def _digest(row_id: str) -> Column:
     return F.struct(F.md5(F.col(row_id).cast("string")).alias("h"), F.col(row_id).alias("id"))
 
 
+BUCKETS = 4096
+
+
+def bucket_sizes(
+    df: DataFrame, label: str, row_id: str = "mail_id", labels: list = fx.LABELS, buckets: int = BUCKETS
+) -> DataFrame:
+    """Rows of each class and hash bucket, a table of bounded size that is written once for all that reads it."""
+    narrow = df.filter(F.col(label).isin(labels)).select(label, hash_bucket(row_id, buckets).alias("bucket_"))
+    return materialise(narrow.groupBy(label, "bucket_").agg(F.count(F.lit(1)).alias("n_")), "bucket-sizes")
+
+
+def _counts(sizes: DataFrame, label: str) -> DataFrame:
+    return sizes.groupBy(label).agg(F.sum("n_").alias("class_count"))
+
+
 def first_n_per_class(
     df: DataFrame, targets: DataFrame, label: str, row_id: str = "mail_id",
-    labels: list = fx.LABELS, buckets: int = 4096,
+    labels: list = fx.LABELS, buckets: int = BUCKETS, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``picked_``: whether a row is among the ``target_`` first of its class in hash order.
 
-    ``targets`` is (label, target_).  Classes are cut into hash buckets, whose
+    ``targets`` is (label, target_), ``sizes`` what ``bucket_sizes`` gives, if it is there already.  Classes are cut into hash buckets, whose
     counts say up to which bucket a class is taken whole; only the rows of its
     one next bucket are ranked, to find the last row taken.  That gives one
     cut per class (at most ``len(labels)`` rows, hence the broadcast), and
@@ -124,7 +140,8 @@ def first_n_per_class(
     narrow = df.filter(F.col(label).isin(labels)).select(
         label, row_id, hash_bucket(row_id, buckets).alias("bucket_")
     )
-    sizes = narrow.groupBy(label, "bucket_").agg(F.count(F.lit(1)).alias("n_"))
+    if sizes is None:
+        sizes = narrow.groupBy(label, "bucket_").agg(F.count(F.lit(1)).alias("n_"))
     before = Window.partitionBy(label).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     room = sizes.join(F.broadcast(targets), label).select(
         label, "bucket_", "n_",
@@ -167,10 +184,11 @@ def stratified_holdout(
     labels: list = fx.LABELS,
 ) -> DataFrame:
     """Adds ``is_holdout``; exactly round(fraction x class size) rows of every class."""
-    targets = class_counts(df, label, labels).select(
+    sizes = bucket_sizes(df, label, row_id, labels)
+    targets = _counts(sizes, label).select(
         label, F.floor(F.col("class_count") * F.lit(fraction) + 0.5).cast("long").alias("target_")
     )
-    return first_n_per_class(df, targets, label, row_id, labels).withColumnRenamed(
+    return first_n_per_class(df, targets, label, row_id, labels, sizes=sizes).withColumnRenamed(
         "picked_", "is_holdout"
     )
 
@@ -185,7 +203,8 @@ def oversample(
     rows in hash order once more.  Other classes stay as they are; rows without
     a known class are left out.
     """
-    counts = class_counts(df, label, labels)
+    sizes = bucket_sizes(df, label, row_id, labels)
+    counts = _counts(sizes, label)
     edges = counts.agg(
         F.min(F.struct("class_count", label)).alias("least_"), F.max("class_count").alias("most_")
     )
@@ -200,7 +219,7 @@ def oversample(
         label, F.expr("want_ DIV class_count").alias("times_"),
         F.expr("want_ % class_count").alias("target_"),
     )
-    marked = first_n_per_class(df, wanted.select(label, "target_"), label, row_id, labels)
+    marked = first_n_per_class(df, wanted.select(label, "target_"), label, row_id, labels, sizes=sizes)
     repeats = (F.col("times_") + F.col("picked_").cast("long")).cast("int")
     return marked.join(F.broadcast(wanted.select(label, "times_")), label).select(
         *df.columns, F.explode(F.sequence(F.lit(1), repeats)).alias("copy")

@@ -12,7 +12,7 @@ from postwarden.functions import text as tx
 from postwarden.functions import urls as ur
 from postwarden.operators import alerts, campaigns, dataset, domains, evaluation, linear, links, model
 from postwarden.operators import reports, reputation, vectors
-from postwarden.operators.features import html_measures, mail_features
+from postwarden.operators.features import FEATURE_NAMES, html_measures, mail_features
 from postwarden.plans import corpus, scoring, training
 from postwarden.session import materialise, shared_dir
 from postwarden.sources import mail_files, tables
@@ -665,6 +665,75 @@ def indexed_files(spark, d):
     return files.join(index, "file_name").select("doc_id", "file_name", "label")
 
 
+def _mail_folders(spark, d):
+    """The mails with a label as files of their own, in folders that are named for the label and the mail."""
+    path = shared_dir(spark, "mail-folders")
+    named = F.concat(F.when(F.col("label") == "ham", "ham").otherwise("spam"), F.lit("-"), "mail_id")
+    _mail(spark, d).filter(F.col("label").isNotNull()).select(named.alias("box"), F.col("body").alias("value")).write.partitionBy(
+        "box"
+    ).text(path)
+    return path
+
+
+def _box_rows(files):
+    box = F.element_at(F.split("path", "/"), -2)
+    return files.select(
+        F.element_at(F.split(box, "-"), -1).cast("bigint").alias("mail_id"), "label", "source",
+        F.md5("content").alias("content_md5"),
+    )
+
+
+@query
+def mail_folders(spark, d):
+    return _box_rows(mail_files.read_mail_dirs(spark, _mail_folders(spark, d)))
+
+
+@query
+def stream_mail_folders(spark, d):
+    """The folders as a stream of several batches."""
+    home = jobs.new_home(spark, "folders")
+    files = mail_files.read_mail_dirs(spark, _mail_folders(spark, d), stream=True, files_per_batch=200)
+    jobs.drain(jobs.append_job(_box_rows(files), home))
+    return spark.read.parquet(os.path.join(home, "rows"))
+
+
+@query
+def stream_mail_texts(spark, d):
+    """The different texts among the files of a stream, each once over all batches."""
+    home = jobs.new_home(spark, "texts")
+    files = mail_files.read_mail_dirs(spark, _mail_folders(spark, d), stream=True, files_per_batch=200)
+    jobs.drain(jobs.append_job(_box_rows(mail_files.without_repeats(files)).select("content_md5"), home))
+    return spark.read.parquet(os.path.join(home, "rows"))
+
+
+@query
+def csv_phishing(spark, d):
+    """A file without labels, whose mails all have the label that is given."""
+    path = shared_dir(spark, "csv-phishing")
+    rows = _mail(spark, d).select(F.col("from_email").alias("sender"), "subject", "body")
+    tables.write_csv(rows, path)
+    return mail_files.read_csv_mail(spark, path, label="phishing", source="nazario")
+
+
+@query
+def top_terms_json(spark, d):
+    """The most frequent terms, written as JSON lines and read back."""
+    path = shared_dir(spark, "top-terms")
+    tables.write_top_json(vectors.fit_tfidf(_mail(spark, d), "body", 5000).select("term", "term_count"), path, "term_count")
+    return spark.read.schema("term string, term_count bigint").json(path)
+
+
+@query
+def feature_manifest(spark, d):
+    """Feature names in order, written and read back."""
+    path, mail = shared_dir(spark, "manifest"), _mail(spark, d)
+    names = vectors.feature_manifest(
+        vectors.fit_tfidf(mail, "body", 5000), vectors.fit_tfidf(mail, "subject", 1000), FEATURE_NAMES
+    )
+    tables.write_manifest(spark, names, path)
+    return spark.createDataFrame(list(enumerate(tables.read_manifest(spark, path))), "position int, feature string")
+
+
 @query
 def parquet_round_trip(spark, d):
     path = shared_dir(spark, "splits")

@@ -1077,3 +1077,16 @@ CHECKS["stored_performance"] = f"{STORED} " + " UNION ALL ".join(
 CHECKS["addressed_responses"] = f"""{LIVE} SELECT mail_id,
     CASE WHEN mail_id % 3 <> 0 THEN '<' || mail_id || '@pages.example.org>' ELSE CAST(mail_id AS VARCHAR) END AS message_id,
     CASE WHEN mail_id % 4 <> 0 THEN 'a@example.org,t' || mail_id || '@example.org' ELSE '' END AS to_email, predicted_label AS label FROM sorted"""
+
+# --- files ------------------------------------------------------------------
+
+CHECKS["mail_folders"] = CHECKS["stream_mail_folders"] = f"""{MAILS} SELECT mail_id, CASE WHEN label = 'ham' THEN 'ham' ELSE 'spam' END AS label,
+    'spamassassin' AS source, md5(body || chr(10)) AS content_md5 FROM mail WHERE label IS NOT NULL"""
+CHECKS["stream_mail_texts"] = f"{MAILS} SELECT DISTINCT md5(body || chr(10)) AS content_md5 FROM mail WHERE label IS NOT NULL"
+CHECKS["csv_phishing"] = f"{MAILS} SELECT from_email, subject, body, 'phishing' AS label, 'nazario' AS source FROM mail"
+CHECKS["top_terms_json"] = f"{vocabulary('body', 5000)} SELECT term, term_count FROM vocab ORDER BY term_count DESC, term LIMIT 200"
+_manifest = [*serve_columns(), *fx.REPUTATION_COLUMNS]
+CHECKS["feature_manifest"] = f"""WITH body AS ({vocabulary('body', 5000)} SELECT term FROM vocab), subject AS ({vocabulary('subject', 1000)} SELECT term FROM vocab),
+names AS (SELECT 1 AS block, 0 AS i, 'body_tfidf_' || term AS feature FROM body UNION ALL SELECT 2, 0, 'subject_tfidf_' || term FROM subject
+    UNION ALL SELECT 3, unnest(range({len(_manifest)})), unnest([{', '.join(s(n) for n in _manifest)}]))
+SELECT CAST(row_number() OVER (ORDER BY block, i, feature) - 1 AS INT) AS position, feature FROM names"""

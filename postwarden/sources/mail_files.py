@@ -19,9 +19,13 @@ PARSED = (
 )
 
 
-def read_mail_files(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+def read_mail_files(
+    spark: SparkSession, folder: str, stream: bool = False, files_per_batch: int | None = None
+) -> DataFrame:
     """(path, content) of every file below ``folder``; with ``stream`` as a file stream."""
     reader = spark.readStream.schema(BINARY_FILE) if stream else spark.read
+    if stream and files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         reader.format("binaryFile").option("recursiveFileLookup", True).load(folder)
         .select("path", "content")
@@ -32,12 +36,14 @@ def file_name(path="path"):
     return F.element_at(F.split(path, "/"), -1)
 
 
-def read_mail_dirs(spark: SparkSession, root: str, source: str = "spamassassin") -> DataFrame:
+def read_mail_dirs(
+    spark: SparkSession, root: str, source: str = "spamassassin", stream: bool = False, files_per_batch: int | None = None
+) -> DataFrame:
     """Files labelled by their folder's name: ham if it contains ``ham``, else spam if ``spam``."""
     folder = F.lower(F.element_at(F.split("path", "/"), -2))
     label = F.when(folder.contains("ham"), "ham").when(folder.contains("spam"), "spam")
     return (
-        read_mail_files(spark, root).withColumn("label", label)
+        read_mail_files(spark, root, stream, files_per_batch).withColumn("label", label)
         .filter(F.col("label").isNotNull()).withColumn("source", F.lit(source))
     )
 
@@ -54,10 +60,15 @@ def read_trec_index(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_trec(spark: SparkSession, index: str, data: str, source: str = "trec2007") -> DataFrame:
-    """Indexed files that exist.  A later index line for the same file wins by label order only."""
+def read_trec(
+    spark: SparkSession, index: str, data: str, source: str = "trec2007", stream: bool = False, files_per_batch: int | None = None
+) -> DataFrame:
+    """Indexed files that exist.  A later index line for the same file wins by label order only.
+
+    With ``stream`` files are taken as they arrive, and matched with the index as it stands.
+    """
     labels = read_trec_index(spark, index).groupBy("file_name").agg(F.max("label").alias("label"))
-    files = read_mail_files(spark, data).withColumn("file_name", file_name())
+    files = read_mail_files(spark, data, stream, files_per_batch).withColumn("file_name", file_name())
     return files.join(labels, "file_name").drop("file_name").withColumn("source", F.lit(source))
 
 
@@ -173,3 +184,11 @@ def with_mail_id(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumn(
         "mail_id", F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
     )
+
+
+def without_repeats(files: DataFrame) -> DataFrame:
+    """A stream of files without those whose content has come before, under whatever name.
+
+    The state is a digest per different content.
+    """
+    return files.withColumn("digest_", F.sha2("content", 256)).dropDuplicates(["digest_"]).drop("digest_")

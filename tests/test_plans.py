@@ -74,3 +74,9 @@ def test_top_rows_break_ties(spark, tmp_path):
     rows = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0), ("d", 1.0)], "feature string, importance double")
     tables.write_top_json(rows.repartition(3), str(tmp_path / "top"), "importance", 3)
     assert [r["feature"] for r in spark.read.json(str(tmp_path / "top")).orderBy(F.desc("importance"), "feature").collect()] == ["c", "a", "b"]
+
+
+def test_sampling_reads_its_input_a_few_times(spark, data):
+    for name in ("oversampled_corpus", "stratified_holdout"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= len(re.findall(r"\bRelation \[doc_id#\d+L,text", plan)) <= 2, name

@@ -124,3 +124,25 @@ def test_training(spark, data, algorithm, options):
     for r in out:
         assert r["ham_score"] + r["spam_score"] + r["phishing_score"] == pytest.approx(1.0)
         assert r["prediction"] in (0, 1, 2)
+
+
+def test_mail_folders_as_a_stream(spark, corpus, tmp_path):
+    """The stream over several batches equals the batch scan; repeated contents come once."""
+    from postwarden.streaming import jobs
+
+    root = str(corpus / "set")
+    want = sorted(map(tuple, mail_files.read_mail_dirs(spark, root).select("path", "label", "source").collect()))
+    stream = mail_files.read_mail_dirs(spark, root, stream=True, files_per_batch=1)
+    jobs.drain(jobs.append_job(stream.select("path", "label", "source"), str(tmp_path / "home")))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "home/rows")).collect())) == want
+    for i, data in enumerate((b"one", b"two", b"one", b"two", b"three")):
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / f"{i}.eml").write_bytes(data)
+    files = mail_files.read_mail_files(spark, str(tmp_path / "files"), stream=True, files_per_batch=1)
+    jobs.drain(jobs.append_job(mail_files.without_repeats(files).select("content"), str(tmp_path / "other")))
+    assert sorted(bytes(r[0]) for r in spark.read.parquet(str(tmp_path / "other/rows")).collect()) == [b"one", b"three", b"two"]
+    (tmp_path / "index").write_text("spam x/0.eml\nham x/4.eml\nspam x/9.eml\n", encoding="utf-8")
+    matched = mail_files.read_trec(spark, str(tmp_path / "index"), str(tmp_path / "files"), stream=True, files_per_batch=2)
+    jobs.drain(jobs.append_job(matched.select("label", "path"), str(tmp_path / "third")))
+    got = sorted((r.label, r.path[-5:]) for r in spark.read.parquet(str(tmp_path / "third/rows")).collect())
+    assert got == [("ham", "4.eml"), ("spam", "0.eml")]
