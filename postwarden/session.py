@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,8 +51,33 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark can write to; an absent one is fine."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_WORKING: list[list[str]] = []
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``materialise`` writes inside, once what needs them has been written elsewhere."""
+    _WORKING.append([])
+    try:
+        yield
+    finally:
+        for path in _WORKING.pop():
+            delete_folder(spark, path)
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Writes a result that several jobs will read to the shared folder and reads it back."""
+    """Writes a result that several jobs will read to the shared folder and reads it back.
+
+    The table stays unless ``working_tables`` is around the call.
+    """
     path = shared_dir(df.sparkSession, purpose)
+    if _WORKING:
+        _WORKING[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -19,8 +19,8 @@ from postwarden.operators import campaigns as cp
 from postwarden.operators.domains import domain_counts, grade_domains, merge_domain_counts
 from postwarden.plans.scoring import factor_rows, log_rows
 from postwarden.operators.dataset import with_message_id
-from postwarden.session import shared_dir
-from postwarden.streaming.store import BatchStore, delete_folder
+from postwarden.session import delete_folder, shared_dir
+from postwarden.streaming.store import BatchStore
 
 AT = "classified_at"
 INSTANT = "instant_"  # watermarks need a time with zone

@@ -17,17 +17,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postwarden.session import delete_folder
 from postwarden.sources.tables import read_or_empty
 
 MARKER = "rows bigint, millis bigint, batch int"
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Removes a folder of any file system that Spark can write to; an absent one is fine."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def valid_runs(batches: int, base: int) -> list[tuple[int, int]]:
     """(size, number) of the runs that hold the first ``batches`` batches; run i of size k holds base**k of them."""
     runs, size = [], 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postwarden.functions import fixed as fx
 from postwarden.operators import linear, vectors
-from postwarden.operators.model import SCORES, fit_classifier, predict_scores
+from postwarden.operators.model import SCORES, best_round, fit_classifier, predict_scores
 from postwarden.plans import scoring, training
 from postwarden.sources import artifacts
 
@@ -205,3 +205,24 @@ def test_weights_need_no_shuffle(spark, mail):
     norms = rows.groupBy("mail_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
     assert len(norms) == 90 and all(r["n"] == pytest.approx(1) for r in norms)
     assert vectors.tfidf(mail, vocab.limit(0)).count() == 0
+
+
+def test_patience_waits_over_a_plateau(spark):
+    plateau = [0.9, 0.7, 0.71, 0.72, 0.7, 0.69, 0.8, 0.8, 0.8]
+    assert best_round(plateau, 5) == (6, False) and best_round(plateau, 3) == (2, True)
+    assert best_round(plateau + [0.8] * 3, 5) == (6, True)
+    assert best_round([0.5], 3) == (1, False)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        x = rng.normal(size=3)
+        code = int(x[0] > 0) + int(x[0] > 0.8)
+        rows.append((x.tolist(), code if rng.random() < 0.8 else int(rng.integers(0, 3)), i % 3 == 0))
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.createDataFrame(rows, "x array<double>, label_code int, held boolean").withColumn("features", array_to_vector("x")).cache()
+    boosted = fit_classifier(df, "boosted", validation="held", patience=2, maxIter=8, maxDepth=2)
+    for code, fitted in enumerate(boosted.models):
+        held = df.filter("held").withColumn("is_class_", (F.col("label_code") == code).cast("double"))
+        losses = fitted.evaluateEachIteration(held)
+        assert len(losses) <= 8 and min(losses) == losses[-1]
