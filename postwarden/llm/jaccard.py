@@ -7,7 +7,9 @@ such a prefix.  Each document takes the m whose cost (entries of the prefix, and
 sketch) is least: one for rare shingles, more where the prefix reaches common ones.  A pair is checked if it shares as many
 prefix shingles as the smaller m of the two asks for; the check compares the whole sets exactly.  Before that, the shingles
 of a prefix that no other prefix holds bound what two sets can share: of the two, the one whose prefix ends first in the
-order has all its shared prefix shingles in the other's prefix, so its unmatched ones are in its own set alone.
+order has all its shared prefix shingles in the other's prefix, so its unmatched ones are in its own set alone.  And where many
+documents meet in a shingle, a bitmap of each whole set travels with the entry: a bit of one set that the other lacks is a shingle
+that they don't share.
 
 Large groups of near copies would meet in every shingle.  So a first step ties each document to the smallest of those that
 agree with it in several minima of hashes, checks that pair, and takes components.  From then on only documents of
@@ -41,6 +43,10 @@ SKETCH, BITMAP = 1 << 16, 1 << 23
 #: Largest number of prefix shingles that a pair is asked to share, and the cost of a check in prefix entries.
 MOST_MATCHES, CHECK_COST = 8, 4.0
 BLOCK = 1024
+#: Bits of a set's bitmap: four for a shingle at least, within these bounds.  Larger sets fill theirs, and are only spared less.
+LEAST_BITS, MOST_BITS = 64, 1 << 14
+#: Rows that meet in a shingle, up to which all their pairs are looked at in one step; beyond it bitmaps spare pairs.
+FEW = 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MINIMA = np.random.default_rng(3).integers(1, 1 << 63, MINIMA).astype(np.uint64) | np.uint64(1)
 
@@ -65,6 +71,46 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(_mixed(total + np.uint64(take)))
 
 
+def bitmap_of(tokens: np.ndarray) -> bytes:
+    """A bitmap of a set.  Its two halves laid over each other are the bitmap of half the size."""
+    size = LEAST_BITS
+    while size < 4 * len(tokens) and size < MOST_BITS:
+        size *= 2
+    seen = np.zeros(size, bool)
+    seen[(tokens >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(seen, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """The bitmaps of some rows (None: unknown), for bounds on what two of the sets share."""
+
+    def __init__(self, raw: list):
+        self.words = np.array([len(x) // 8 if x else 0 for x in raw])
+        self.place, self.of = np.zeros(len(raw), np.int64), {}
+        for w in np.unique(self.words[self.words > 0]):
+            rows = np.flatnonzero(self.words == w)
+            self.place[rows] = np.arange(len(rows))
+            self.of[int(w)] = np.frombuffer(b"".join([raw[i] for i in rows]), "<u8").reshape(-1, w)
+
+    def most_shared(self, i: int, others: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many elements set i and each of the others share at most; n has the sizes of all."""
+        most = np.minimum(n[i], n[others])
+        for w, table in self.of.items() if self.words[i] else ():
+            at = np.flatnonzero(self.words[others] == w)
+            if not len(at):
+                continue
+            one, many = self.of[int(self.words[i])][self.place[i]], table[self.place[others[at]]]
+            while len(one) > many.shape[1]:
+                one = one[: len(one) // 2] | one[len(one) // 2 :]
+            while many.shape[1] > len(one):
+                half = many.shape[1] // 2
+                many = many[:, :half] | many[:, half:]
+            alone = np.bitwise_count(one & ~many).sum(axis=1).astype(np.int64)
+            theirs = np.bitwise_count(many & ~one).sum(axis=1).astype(np.int64)
+            most[at] = np.minimum(most[at], np.minimum(n[i] - alone, n[others[at]] - theirs))
+        return most
+
+
 def needed(n: np.ndarray | int, share: tuple[int, int]):
     """Least number of common shingles that a set of ``n`` has with any partner."""
     return -(-n * share[0] // share[1])
@@ -90,10 +136,10 @@ def prefix(tokens: np.ndarray, level: np.ndarray, share: tuple[int, int]) -> tup
 
 
 def _described(docs: DataFrame, words: int) -> DataFrame:
-    """Per row: id, set digest, size and minima; per task: the counts of its shingles in the sketch."""
+    """Per row: id, set digest, size, minima and bitmap; per task: the counts of its shingles in the sketch."""
     schema = pa.schema([
         ("id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("minima", pa.list_(pa.int64())),
-        ("part", pa.int64()), ("data", pa.binary()),
+        ("bits", pa.binary()), ("part", pa.int64()), ("data", pa.binary()),
     ])
 
     def run(batches):
@@ -101,10 +147,11 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
-                digest, size, minima = [], [], []
+                digest, size, minima, bits = [], [], [], []
                 for t in texts(some.column(1)):
                     s = shingles(t, words)
                     size.append(len(s))
+                    bits.append(bitmap_of(s) if len(s) else None)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     if len(s):
                         with np.errstate(over="ignore"):
@@ -113,10 +160,10 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
                     else:
                         minima.append(None)
                 none = [None] * len(size)
-                yield batch(schema, some.column(0), digest, size, minima, none, none)
-        yield batch(schema, [None], [None], [-1], [None], [TaskContext.get().partitionId()], [counts.tobytes()])
+                yield batch(schema, some.column(0), digest, size, minima, bits, none, none)
+        yield batch(schema, [None], [None], [-1], [None], [None], [TaskContext.get().partitionId()], [counts.tobytes()])
 
-    return docs.mapInArrow(run, "id bigint, digest binary, n bigint, minima array<bigint>, part bigint, data binary")
+    return docs.mapInArrow(run, "id bigint, digest binary, n bigint, minima array<bigint>, bits binary, part bigint, data binary")
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -221,8 +268,8 @@ def _entries(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, i
     return materialise(met.drop("salt"), "entries")
 
 
-def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of nodes of different components that share as many prefix shingles as they have to."""
+def _pairs(entries: DataFrame, member: DataFrame, bitmaps: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs of nodes of different components that share as many prefix shingles as they have to, and can share enough in all."""
     met_by_others = F.count(F.lit(1)).over(Window.partitionBy("id", "n", "m", "last"))
     taken = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + F.col("m")
     rows = entries.join(member.filter("id = node").select("id", "part"), "id").distinct().withColumn(
@@ -234,9 +281,11 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
         F.sum("c").alias("all"), F.max(F.struct("c", "part")).alias("top"), F.count(F.lit(1)).alias("parts")
     ).filter("parts > 1").select(
         "token", F.col("top.part").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("top_blocks"),
-        F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("blocks"), (F.col("all") > FEW).alias("dense"),
     )
-    met = materialise(rows.join(crossing, "token").withColumn("slice", slice_of("token", "top_blocks")), "crossing")
+    crossed = rows.join(crossing, "token").withColumn("slice", slice_of("token", "top_blocks"))
+    known = bitmaps.withColumnRenamed("id", "of")
+    met = materialise(crossed.join(known, (F.col("id") == F.col("of")) & F.col("dense"), "left").drop("of", "dense"), "crossing")
     top, rest = met.filter("part = top"), met.filter("part <> top")
 
     def block(of: str):
@@ -248,7 +297,7 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
     # Shingles with the same largest component go together, so that pairs they share are counted before they leave the task;
     # slices, more for a larger component, bound how many.
     place = ["top", "low", "high", "slice", "token"]
-    shown = [*place, "side", "id", "part", "n", "m", "last", "most"]
+    shown = [*place, "side", "id", "part", "n", "m", "last", "most", "bits"]
     work = (
         top.withColumn("low", block("top_blocks")).withColumn("high", every("blocks")).withColumn("side", F.lit(0)).select(shown)
         .union(rest.withColumn("high", block("blocks")).withColumn("low", every("top_blocks")).withColumn("side", F.lit(1)).select(shown))
@@ -262,28 +311,43 @@ def _pairs(entries: DataFrame, member: DataFrame, share: tuple[int, int]) -> Dat
 
     def meet(batches):
         for columns, starts in runs(batches, 5):
-            _, low, high, _, _, side, key, part, n, m, last, most = columns
-            n, most = n.astype(np.int64), most.astype(np.int64)
+            _, low, high, _, _, side, key, part, n, m, last, most, raw = columns
+            n, most, bitmaps = n.astype(np.int64), most.astype(np.int64), None
             out: list[list] = [[], [], []]
-            for s, e in zip(starts[:-1], starts[1:]):
-                if e - s < 2:
-                    continue
-                own = slice(s, e)
-                for i in range(s, e):
-                    fit = part[own] != part[i]
-                    if low[s] >= 0 or -1 - low[s] != high[s]:
-                        fit &= side[own] > side[i]
-                    else:
-                        fit &= key[own] > key[i]
-                    fit &= np.minimum(n[own], n[i]) * share[1] >= np.maximum(n[own], n[i]) * share[0]
-                    bound = np.where(last[own] < last[i], most[own], most[i])
-                    bound = np.where(last[own] == last[i], np.maximum(most[own], most[i]), bound)
-                    fit &= bound * (share[0] + share[1]) >= (n[own] + n[i]) * share[0]
-                    j = np.flatnonzero(fit) + s
+
+            def fits(i, j):
+                """Whether rows i and j (arrays, or one row and an array) are a pair that can be alike."""
+                apart = np.where((low[i] >= 0) | (-1 - low[i] != high[i]), side[i] != side[j], key[i] != key[j])
+                bound = np.where(last[j] < last[i], most[j], most[i])
+                bound = np.where(last[j] == last[i], np.maximum(most[j], most[i]), bound)
+                return (
+                    apart & (part[i] != part[j]) & (np.minimum(n[j], n[i]) * share[1] >= np.maximum(n[j], n[i]) * share[0])
+                    & (bound * (share[0] + share[1]) >= (n[j] + n[i]) * share[0])
+                )
+
+            def give(i, j):
+                out[0].append(np.minimum(key[i], key[j]))
+                out[1].append(np.maximum(key[i], key[j]))
+                out[2].append(np.minimum(m[i], m[j]))
+
+            sizes = np.diff(starts)
+            for size in range(2, FEW + 1):
+                first = starts[:-1][sizes == size]
+                for one in range(size if len(first) else 0):
+                    for two in range(one + 1, size):
+                        hit = first[fits(first + one, first + two)]
+                        if len(hit):
+                            give(hit + one, hit + two)
+            for at in np.flatnonzero(sizes > FEW):
+                s, e = starts[at], starts[at + 1]
+                bitmaps = bitmaps or Bitmaps(raw)
+                for i in range(s, e - 1):
+                    j = np.arange(i + 1, e)
+                    j = j[fits(i, j)]
+                    if len(j):
+                        j = j[bitmaps.most_shared(i, j, n) * (share[0] + share[1]) >= (n[i] + n[j]) * share[0]]
                     if len(j):
-                        out[0].append(np.minimum(key[i], key[j]))
-                        out[1].append(np.maximum(key[i], key[j]))
-                        out[2].append(np.minimum(m[i], m[j]))
+                        give(i, j)
             if out[0]:
                 x, y, m = map(np.concatenate, out)
                 order = np.lexsort((y, x))
@@ -312,10 +376,10 @@ def joined(
     told = materialise(_described(docs, words), "described")
     sketch = merged(told.filter("part is not null").select("part", "data"), "sum", "i8")
     level = levels(sketch) if sketch is not None else np.zeros(SKETCH, np.uint8)
-    rows = told.filter("part is null").select("id", "digest", "n", "minima")
+    rows = told.filter("part is null").select("id", "digest", "n", "minima", "bits")
     usable = rows.filter("digest is not null and id is not null")
     classes = usable.groupBy("digest").agg(F.min("id").alias("node"))
-    member = materialise(usable.drop("minima").join(classes, "digest").select("id", "node").distinct(), "nodes")
+    member = materialise(usable.select("id", "digest").join(classes, "digest").select("id", "node").distinct(), "nodes")
     nodes = usable.join(member.filter("id = node").select("id"), "id", "left_semi").select("id", "minima")
     first = checked(docs, materialise(_first_step(nodes), "first-pairs"), words, share)
     roots = materialise(components(first), "first-parts")
@@ -323,7 +387,11 @@ def joined(
         "id", "node", F.coalesce("part", "node").alias("part")
     )
     known = materialise(known, "known")
-    pairs = _pairs(_entries(docs, level, words, share), known, share)
+    # Where rows under one id have several sets, their entries have no bitmap.
+    bitmaps = usable.groupBy("id").agg(F.count_distinct("digest").alias("sets"), F.first("bits").alias("bits")).select(
+        "id", F.when(F.col("sets") == 1, F.col("bits")).alias("bits")
+    )
+    pairs = _pairs(_entries(docs, level, words, share), known, bitmaps, share)
     second = checked(docs, pairs, words, share)
     # A document of several sets ties their nodes together.
     edges = first.union(second).union(member.filter("id <> node").select("id", "node"))

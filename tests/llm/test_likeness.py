@@ -278,6 +278,23 @@ def test_lattice_finds_planted_pairs(spark, cosine):
     assert sum(linked[2 * i + 1] == (1, 2 * i) for i in range(pairs)) >= 0.95 * pairs
 
 
+def test_bitmaps_never_understate_what_sets_share():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 30, 40, 300, 400, 3000, 20_000)]
+    sets += [np.unique(np.concatenate([a[: len(a) * 3 // 4], rng.integers(0, 1 << 63, len(a) // 4 + 1).astype(np.uint64)])) for a in sets]
+    n = np.array([len(a) for a in sets])
+    bits = jaccard.Bitmaps([jaccard.bitmap_of(a) for a in sets])
+    for i, a in enumerate(sets):
+        others = np.arange(len(sets))
+        most = bits.most_shared(i, others, n)
+        true = np.array([len(np.intersect1d(a, b)) for b in sets])
+        assert (most >= true).all() and most[i] == n[i]
+    # Unlike sets of one size are told apart, an unknown bitmap spares nothing.
+    assert bits.most_shared(4, np.array([5]), n)[0] < 0.75 * n[4]
+    unknown = jaccard.Bitmaps([None, jaccard.bitmap_of(sets[4])])
+    assert unknown.most_shared(0, np.array([1]), n[[4, 4]])[0] == unknown.most_shared(1, np.array([0]), n[[4, 4]])[0] == n[4]
+
+
 def test_shingles_of_one_component_are_dealt_out(spark):
     from pyspark.sql import functions as F
 
