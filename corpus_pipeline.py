@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postwarden.llm import jaccard, langid, packing, toxicity
 from postwarden.llm.common import read
-from postwarden.session import materialise
+from postwarden.session import materialise, shared_dir, working_tables
 
 #: A text is rejected as of no language below this share of the best one.  The share is practically 1 for texts of more
 #: than a few words, so in effect only texts of unknown language are rejected.
@@ -92,5 +92,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = shared_dir(spark, name)
+        with working_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
