@@ -6,10 +6,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from postwarden import session
 from postwarden.functions import text as tx
 from postwarden.operators import alerts, campaigns, dataset, links, reports
 from postwarden.sources import mail_files, tables
-from postwarden.session import materialise, working_tables
 from postwarden.streaming import jobs
 from postwarden.streaming.store import BatchStore
 
@@ -155,14 +155,10 @@ def test_registered_training_is_whole(spark, data, name, monkeypatch):
         assert (options.get("validation") == "held") == (True in held) and False in held
 
 
-def test_working_tables_are_removed(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        kept = materialise(spark.range(3), "kept")
-        with working_tables(spark):
-            materialise(materialise(spark.range(5), "one"), "two").write.parquet(str(tmp_path / "out"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
-    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["kept", "out"]
+def test_working_tables_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    kept = session.materialise(spark.range(3), "kept")
+    with session.working_tables(spark):
+        session.materialise(session.materialise(spark.range(5), "one"), "two").write.parquet(str(tmp_path / "out"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["kept", "out"]
     assert kept.count() == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 5
