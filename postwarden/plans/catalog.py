@@ -669,12 +669,22 @@ def _mail_folders(spark, d):
     """The mails with a label as files of their own, in folders that are named for the label and the mail."""
     path = shared_dir(spark, "mail-folders")
     named = F.concat(F.when(F.col("label") == "ham", "ham").otherwise("spam"), F.lit("-"), "mail_id")
-    _mail(spark, d).filter(F.col("label").isNotNull()).select(named.alias("box"), F.col("body").alias("value")).write.partitionBy(
-        "box"
-    ).text(path)
+    mail_files.write_mail_dirs(_labelled(spark, d).select(named.alias("box"), F.col("body").alias("value")), path)
     return path
 
 
+#: The streams over the folders take at least so many files a batch, and so many batches at most.
+FILES_PER_BATCH, BATCHES = 200, 4
+
+
+def _mail_stream(spark, d):
+    """The folders as a stream of several batches, whose number does not grow with the mails: each has a price of its own."""
+    files = _labelled(spark, d).count()
+    return mail_files.read_mail_dirs(
+        spark, _mail_folders(spark, d), stream=True, files_per_batch=max(FILES_PER_BATCH, -(-files // BATCHES))
+    )
+
+
 def _box_rows(files):
     box = F.element_at(F.split("path", "/"), -2)
     return files.select(
@@ -692,8 +702,7 @@ def mail_folders(spark, d):
 def stream_mail_folders(spark, d):
     """The folders as a stream of several batches."""
     home = jobs.new_home(spark, "folders")
-    files = mail_files.read_mail_dirs(spark, _mail_folders(spark, d), stream=True, files_per_batch=200)
-    jobs.drain(jobs.append_job(_box_rows(files), home))
+    jobs.drain(jobs.append_job(_box_rows(_mail_stream(spark, d)), home))
     return spark.read.parquet(os.path.join(home, "rows"))
 
 
@@ -701,8 +710,8 @@ def stream_mail_folders(spark, d):
 def stream_mail_texts(spark, d):
     """The different texts among the files of a stream, each once over all batches."""
     home = jobs.new_home(spark, "texts")
-    files = mail_files.read_mail_dirs(spark, _mail_folders(spark, d), stream=True, files_per_batch=200)
-    jobs.drain(jobs.append_job(_box_rows(mail_files.without_repeats(files)).select("content_md5"), home))
+    files = mail_files.without_repeats(_mail_stream(spark, d))
+    jobs.drain(jobs.append_job(_box_rows(files).select("content_md5"), home))
     return spark.read.parquet(os.path.join(home, "rows"))
 
 

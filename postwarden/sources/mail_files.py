@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import email
 import email.policy
+import itertools
+import os
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,46 @@ def read_mail_files(
     )
 
 
+#: Folders between the root and the folders of the mails, so that no listing or commit holds all of them at once.
+BUCKETS = 256
+
+
+def write_mail_dirs(mails: DataFrame, root: str) -> None:
+    """Writes each ``value`` and a line feed as a file, in a folder that is named by ``box``, below one of a few hundred folders.
+
+    Values of one box that meet in a task share a file.  On a local file system the tasks write the files themselves: Hadoop starts
+    a process for the mode of every file there.  Other file systems get them from Spark's writer.
+    """
+    spark = mails.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() != "file":
+        bucket = F.pmod(F.crc32("box"), F.lit(BUCKETS)).alias("bucket")
+        mails.select("box", "value", bucket).write.partitionBy("bucket", "box").text(root)
+        return
+    base = place.toUri().getPath()
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, n = TaskContext.get(), 0
+        name = f"part-{task.partitionId():05d}.txt"
+        rows = (row for batch in batches for row in zip(batch["box"], batch["value"]))
+        for box, group in itertools.groupby(rows, key=lambda row: row[0]):
+            folder = os.path.join(base, f"bucket={zlib.crc32(box.encode()) % BUCKETS}", f"box={box}")
+            os.makedirs(folder, exist_ok=True)
+            # A file appears whole, so that a task that runs twice does no harm.
+            part = os.path.join(folder, f".{name}-{task.taskAttemptId()}")
+            with open(part, "wb") as out:
+                for _, value in group:
+                    out.write((value or "").encode() + b"\n")
+            os.replace(part, os.path.join(folder, name))
+            n += 1
+        yield pd.DataFrame({"files": [n]})
+
+    named = mails.select(F.coalesce("box", F.lit("unnamed")).alias("box"), "value")
+    os.makedirs(base, exist_ok=True)
+    named.sortWithinPartitions("box").mapInPandas(write, "files bigint").agg(F.sum("files")).first()
+
+
 def file_name(path="path"):
     return F.element_at(F.split(path, "/"), -1)
 

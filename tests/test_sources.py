@@ -146,3 +146,32 @@ def test_mail_folders_as_a_stream(spark, corpus, tmp_path):
     jobs.drain(jobs.append_job(matched.select("label", "path"), str(tmp_path / "third")))
     got = sorted((r.label, r.path[-5:]) for r in spark.read.parquet(str(tmp_path / "third/rows")).collect())
     assert got == [("ham", "4.eml"), ("spam", "0.eml")]
+
+
+def test_mail_dirs_are_written_whole_and_nested(spark, tmp_path):
+    """One file a mail, in few folders below the root; empty, repeated and long rows keep their content."""
+    import os
+
+    rows = [("ham-1", "a\nb"), ("spam-2", None), ("ham-3", ""), ("spam-4", "é" * 70_000), (None, "lost"), ("ham-1", "again")]
+    root = str(tmp_path / "dirs")
+    mails = spark.createDataFrame(rows + [(f"ham-{i}", f"text {i}") for i in range(10, 600)], "box string, value string")
+    mail_files.write_mail_dirs(mails.coalesce(1), "file:" + root)
+    assert len(os.listdir(root)) <= mail_files.BUCKETS
+    files = mail_files.read_mail_dirs(spark, root)
+    got = {r.path.split("=")[-1].split("/")[0]: bytes(r.content).decode() for r in files.collect()}
+    want = {f"ham-{i}": f"text {i}\n" for i in range(10, 600)}
+    assert got == want | {"ham-1": "a\nb\nagain\n", "spam-2": "\n", "ham-3": "\n", "spam-4": "é" * 70_000 + "\n"}
+    assert files.filter("label = 'spam'").count() == 2 and not [f for _, _, n in os.walk(root) for f in n if f[0] == "."]
+
+
+def test_streams_over_mail_folders_have_a_bounded_number_of_batches(spark, data, monkeypatch):
+    """However many files there are, a stream takes them in at most ``BATCHES`` batches."""
+    from postwarden.plans import catalog
+
+    monkeypatch.setattr(catalog, "FILES_PER_BATCH", 20)
+    seen = []
+    real = mail_files.read_mail_dirs
+    monkeypatch.setattr(mail_files, "read_mail_dirs", lambda *a, **k: seen.append(k["files_per_batch"]) or real(*a, **k))
+    assert catalog._mail_stream(spark, data).isStreaming
+    n = catalog._labelled(spark, data).count()
+    assert n > 20 * catalog.BATCHES and n <= seen[0] * catalog.BATCHES < n + catalog.BATCHES
