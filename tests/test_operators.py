@@ -299,3 +299,34 @@ def test_scoring_never_shuffles_texts(spark, data, capsys):
     moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
     assert moved
     assert not any(re.search(r"\b(text|body|body_|combined_)#", columns) for columns in moved)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"min_df": 3}, {"max_df": 0.3}, {"min_df": 2, "max_df": 0.5}])
+@pytest.mark.parametrize("size", [5, 30, 10_000])
+def test_vocabulary_equals_counts_of_all_terms(spark, size, bounds):
+    """Pairs of rare words are left out before they are counted, and the vocabulary stays the same, ties included."""
+    import random
+
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(names, [1 / (i + 1) for i in range(60)], k=rng.randint(0, 40))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "w1"])], "mail_id int, body string")
+    counts, docs = {}, {}
+    for row in vectors.with_terms(df, "body").collect():
+        for t in row["terms"]:
+            counts[t] = counts.get(t, 0) + 1
+        for t in set(row["terms"]):
+            docs[t] = docs.get(t, 0) + 1
+    kept = [t for t in counts if bounds.get("min_df", 1) <= docs[t] <= 123 * bounds.get("max_df", 1.0)]
+    want = [(t, counts[t], docs[t]) for t in sorted(kept, key=lambda t: (-counts[t], t))[:size]]
+    got = vectors.fit_tfidf(df, "body", size, **bounds)
+    assert [tuple(r)[:3] for r in got.collect()] == want
+
+
+def test_rare_pairs_are_not_counted(spark, monkeypatch):
+    """Before, every different pair of the texts went through the shuffle."""
+    df = spark.createDataFrame([(i, f"aa bb cc{i} dd{i}") for i in range(50)], "mail_id int, body string")
+    real, seen = vectors._counts, []
+    monkeypatch.setattr(vectors, "_counts", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    assert [r["term"] for r in vectors.fit_tfidf(df, "body", 2).collect()] == ["aa", "aa bb"]
+    assert [r["term"] for r in seen[-1].collect()] == ["aa bb"]
