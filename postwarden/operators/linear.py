@@ -1,15 +1,19 @@
 """A three-class linear model as data: sparse rows, fitting by gradient steps, scores by a sparse product.
 
 A row's vector is kept as two arrays, the places of its numbers and the numbers.  The coefficients are a table of bounded
-size (``MAX_COEFFICIENTS``), so they travel as literal arrays inside the plan: a product is a projection, and a step of the
-fit is one projection and one sum per place, combined before its shuffle.
+size (``MAX_COEFFICIENTS``), so they travel as literal arrays inside the plan: a product is a projection.  A step of the
+fit sums per place inside each task, by Arrow batches, and adds up the tasks' sums.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +121,37 @@ def standardised(column: str, means: list[float], scales: list[float]) -> Column
     return F.transform(column, lambda v, i: (v - F.get(mean, i)) * F.get(scale, i))
 
 
+STEP = "place int, " + ", ".join(f"g{c} double" for c in range(len(fx.LABELS)))
+
+
+def _missed(weights: list[list[float]]):
+    """A task's part of a step: the sums, per place, of the values times what the probabilities miss the labels by."""
+    table = np.array(weights)
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(table.shape)
+        for batch in batches:
+            i, v, k = (batch.column(name) for name in ("i", "v", "k"))
+            rows, places = np.asarray(pc.list_parent_indices(i)), np.asarray(i.flatten())
+            values = v.flatten()
+            bad = np.bincount(rows, np.asarray(values.is_null().cast(pa.int8())), batch.num_rows) > 0
+            bad |= k.is_null().to_numpy(zero_copy_only=False)
+            values = values.fill_null(0.0).to_numpy()
+            z = np.stack([np.bincount(rows, values * w[places], batch.num_rows) for w in table])
+            chances = np.exp(z - z.max(axis=0))
+            chances /= chances.sum(axis=0)
+            chances -= np.arange(len(table))[:, None] == np.asarray(k.fill_null(-1))
+            chances[:, bad] = 0.0
+            for total, missed in zip(sums, chances):
+                total += np.bincount(places, values * missed[rows], len(total))
+        used = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int32()), *[pa.array(total[used]) for total in sums]], ["place", *[f"g{c}" for c in range(len(sums))]]
+        )
+
+    return slopes
+
+
 def fit_softmax(
     rows: DataFrame, size: int, steps: int = 60, l2: float = 0.001, momentum: float = 0.9, label: str = "label_code",
 ) -> tuple[list[list[float]], list[float]]:
@@ -141,14 +176,8 @@ def fit_softmax(
     n, rate = told["n"], 1.0 / (0.5 * told["square"] + l2)
     moved = [[0.0] * (size + 1) for _ in range(classes)]
     for _ in range(steps):
-        scored = full.select("i", "v", "k", *[dot("i", "v", literal_array(w)).alias(f"z{c}") for c, w in enumerate(weights)])
-        chances = softmax([F.col(f"z{c}") for c in range(classes)])
-        missed = scored.select("i", "v", *[
-            (p - (F.col("k") == c).cast("double")).alias(f"r{c}") for c, p in enumerate(chances)
-        ])
-        entries = missed.select(F.explode(F.arrays_zip("i", "v")).alias("e"), *[f"r{c}" for c in range(classes)])
-        sums = entries.groupBy(F.col("e.i").alias("place")).agg(
-            *[F.sum(F.col("e.v") * F.col(f"r{c}")).alias(f"g{c}") for c in range(classes)]
+        sums = full.mapInArrow(_missed(weights), STEP).groupBy("place").agg(
+            *[F.sum(f"g{c}").alias(f"g{c}") for c in range(classes)]
         ).collect()
         slopes = [[0.0] * (size + 1) for _ in range(classes)]
         for r in sums:

@@ -226,3 +226,16 @@ def test_patience_waits_over_a_plateau(spark):
         held = df.filter("held").withColumn("is_class_", (F.col("label_code") == code).cast("double"))
         losses = fitted.evaluateEachIteration(held)
         assert len(losses) <= 8 and min(losses) == losses[-1]
+
+
+def test_steps_explode_no_rows(spark, monkeypatch):
+    """A step's sums are made inside the tasks; rows with a null value or label take no part."""
+    df = spark.createDataFrame(
+        [([0, 1], [1.0, 2.0], 0), ([1], [3.0], 2), ([0], [None], 1), ([], [], None)],
+        "i array<int>, v array<double>, k int",
+    )
+    got = {r["place"]: list(r)[1:] for r in df.coalesce(1).mapInArrow(linear._missed([[0.0] * 3] * 3), linear.STEP).collect()}
+    third = 1 / 3
+    assert got.keys() == {0, 1}
+    assert got[0] == pytest.approx([third - 1, third, third])
+    assert got[1] == pytest.approx([2 * (third - 1) + 3 * third, 2 * third + 3 * third, 2 * third + 3 * (third - 1)])
