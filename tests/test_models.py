@@ -239,3 +239,14 @@ def test_steps_explode_no_rows(spark, monkeypatch):
     assert got.keys() == {0, 1}
     assert got[0] == pytest.approx([third - 1, third, third])
     assert got[1] == pytest.approx([2 * (third - 1) + 3 * third, 2 * third + 3 * third, 2 * third + 3 * (third - 1)])
+
+
+def test_training_rows_of_trees_are_dealt_by_their_binned_size(spark, monkeypatch):
+    from postwarden.plans import training
+
+    rows = spark.range(1000).coalesce(1)
+    assert training.dealt_for_trees(rows, 6000) is rows
+    monkeypatch.setattr(training, "TREE_BYTES", 100 * 6000 * 4)
+    dealt = training.dealt_for_trees(rows, 6000)
+    sizes = [len(part) for part in dealt.rdd.glom().collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 110
