@@ -47,6 +47,8 @@ BLOCK = 1024
 LEAST_BITS, MOST_BITS = 64, 1 << 14
 #: Rows that meet in a shingle, up to which all their pairs are looked at in one step; beyond it bitmaps spare pairs.
 FEW = 12
+#: Entries of shingles with the same largest component that go to one place, and pairs that a task holds before it gives them.
+SLICE_ROWS, PAIRS_HELD = 1 << 14, 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MINIMA = np.random.default_rng(3).integers(1, 1 << 63, MINIMA).astype(np.uint64) | np.uint64(1)
 
@@ -268,8 +270,19 @@ def _entries(docs: DataFrame, level: np.ndarray, words: int, share: tuple[int, i
     return materialise(met.drop("salt"), "entries")
 
 
-def _pairs(entries: DataFrame, member: DataFrame, bitmaps: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of nodes of different components that share as many prefix shingles as they have to, and can share enough in all."""
+def _summed(x: np.ndarray, y: np.ndarray, m: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """Each pair x, y once, with its largest m and the sum of c."""
+    order = np.lexsort((y, x))
+    x, y, m, c = x[order], y[order], m[order], c[order]
+    first = group_starts(x, y)[:-1]
+    return [x[first], y[first], np.maximum.reduceat(m, first), np.add.reduceat(c, first)]
+
+
+def _met(entries: DataFrame, member: DataFrame, bitmaps: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (x, y) of nodes of different components that can share enough, the matches asked for (m) and found (c).
+
+    A pair is counted where its shingles meet, over all of a task's shingles, so it has a row only for each task.
+    """
     met_by_others = F.count(F.lit(1)).over(Window.partitionBy("id", "n", "m", "last"))
     taken = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + F.col("m")
     rows = entries.join(member.filter("id = node").select("id", "part"), "id").distinct().withColumn(
@@ -283,10 +296,18 @@ def _pairs(entries: DataFrame, member: DataFrame, bitmaps: DataFrame, share: tup
         "token", F.col("top.part").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("top_blocks"),
         F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("blocks"), (F.col("all") > FEW).alias("dense"),
     )
-    crossed = rows.join(crossing, "token").withColumn("slice", slice_of("token", "top_blocks"))
+    crossed = rows.join(crossing, "token")
     known = bitmaps.withColumnRenamed("id", "of")
     met = materialise(crossed.join(known, (F.col("id") == F.col("of")) & F.col("dense"), "left").drop("of", "dense"), "crossing")
-    top, rest = met.filter("part = top"), met.filter("part <> top")
+    # Shingles with the same largest component go together, so that pairs they share are counted before they leave the task.
+    # Where they have many entries, slices bound how many; at most one component for SLICE_ROWS entries is that large.
+    large = met.groupBy("top").agg(F.count(F.lit(1)).alias("entries")).filter(F.col("entries") > SLICE_ROWS).select(
+        "top", F.ceil(F.col("entries") / (8 * SLICE_ROWS)).cast("int").alias("spread")
+    )
+    dealt = met.join(F.broadcast(large), "top", "left").withColumn(
+        "slice", F.when(F.col("spread").isNull(), F.lit(0)).otherwise(slice_of("token", "spread"))
+    )
+    top, rest = dealt.filter("part = top"), dealt.filter("part <> top")
 
     def block(of: str):
         return F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
@@ -294,8 +315,6 @@ def _pairs(entries: DataFrame, member: DataFrame, bitmaps: DataFrame, share: tup
     def every(of: str):
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    # Shingles with the same largest component go together, so that pairs they share are counted before they leave the task;
-    # slices, more for a larger component, bound how many.
     place = ["top", "low", "high", "slice", "token"]
     shown = [*place, "side", "id", "part", "n", "m", "last", "most", "bits"]
     work = (
@@ -310,6 +329,7 @@ def _pairs(entries: DataFrame, member: DataFrame, bitmaps: DataFrame, share: tup
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("m", pa.int32()), ("c", pa.int64())])
 
     def meet(batches):
+        held, size_held = [], 0
         for columns, starts in runs(batches, 5):
             _, low, high, _, _, side, key, part, n, m, last, most, raw = columns
             n, most, bitmaps = n.astype(np.int64), most.astype(np.int64), None
@@ -350,21 +370,30 @@ def _pairs(entries: DataFrame, member: DataFrame, bitmaps: DataFrame, share: tup
                         give(i, j)
             if out[0]:
                 x, y, m = map(np.concatenate, out)
-                order = np.lexsort((y, x))
-                x, y, m = x[order], y[order], m[order]
-                first = group_starts(x, y)
-                yield batch(schema, x[first[:-1]], y[first[:-1]], np.maximum.reduceat(m, first[:-1]), np.diff(first))
+                held.append(_summed(x, y, m, np.ones(len(x), np.int64)))
+                size_held += len(held[-1][0])
+            if size_held > PAIRS_HELD:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                size_held = len(held[0][0])
+                if size_held > PAIRS_HELD // 2:
+                    yield batch(schema, *held[0])
+                    held, size_held = [], 0
+        if held:
+            yield batch(schema, *_summed(*map(np.concatenate, zip(*held))))
 
-    met = work.repartition(*place[:4]).sortWithinPartitions(*place).mapInArrow(
-        meet, "x bigint, y bigint, m int, c bigint"
-    )
+    return work.repartition(*place[:4]).sortWithinPartitions(*place).mapInArrow(meet, "x bigint, y bigint, m int, c bigint")
+
+
+def _pairs(entries: DataFrame, member: DataFrame, bitmaps: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs of nodes of different components that share as many prefix shingles as they have to, and can share enough in all."""
+    met = _met(entries, member, bitmaps, share)
     return materialise(
         met.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("m").alias("m")).filter("c >= m").select("x", "y"), "pairs"
     )
 
 
 def slice_of(token: str, top_blocks: str) -> Column:
-    """The part of its largest component's shingles that a shingle belongs to."""
+    """The part of its largest component's shingles that a shingle belongs to, eight for each of ``top_blocks``."""
     return F.pmod(F.xxhash64(token), F.col(top_blocks) * 8)
 
 

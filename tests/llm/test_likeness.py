@@ -302,3 +302,16 @@ def test_shingles_of_one_component_are_dealt_out(spark):
     counts = tokens.groupBy("top_blocks", jaccard.slice_of("id", "top_blocks").alias("slice")).count().collect()
     for blocks, most in ((1, 200), (20, 25)):
         assert max(r["count"] for r in counts if r.top_blocks == blocks) < most
+
+
+def test_pairs_are_counted_where_they_meet(spark):
+    """Thirty unlinked sets that share forty shingles: a row for each pair, not for each shingle or slice of shingles."""
+    ids, tokens = range(30), range(0, 1 << 40, (1 << 40) // 40)
+    entries = spark.createDataFrame(
+        [(t, i, 100, 8, 7) for t in list(tokens)[:40] for i in ids], "token long, id long, n int, m int, last long"
+    )
+    member = spark.createDataFrame([(i, i, i) for i in ids], "id long, node long, part long")
+    bitmaps = spark.createDataFrame([(i, None) for i in ids], "id long, bits binary")
+    made = jaccard._met(entries, member, bitmaps, (75, 100)).collect()
+    assert sorted((r.x, r.y, r.m, r.c) for r in made) == [(a, b, 8, 40) for a in ids for b in ids if a < b]
+    assert jaccard._pairs(entries, member, bitmaps, (75, 100)).count() == 435
