@@ -250,3 +250,24 @@ def test_training_rows_of_trees_are_dealt_by_their_binned_size(spark, monkeypatc
     dealt = training.dealt_for_trees(rows, 6000)
     sizes = [len(part) for part in dealt.rdd.glom().collect()]
     assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 110
+
+
+def test_models_of_boosted_classes_are_fitted_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.dense([float(i % 3), float(i % 7)]), i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, ["features", "label_code"])
+    alone = fit_classifier(df, "boosted", maxIter=2, maxDepth=2)
+    all_here, fit = threading.Barrier(3, timeout=60), GBTClassifier.fit
+
+    def fit_when_all_are_here(self, data, *more):
+        all_here.wait()
+        return fit(self, data, *more)
+
+    monkeypatch.setattr(GBTClassifier, "fit", fit_when_all_are_here)
+    together = fit_classifier(df, "boosted", maxIter=2, maxDepth=2, parallelism=3)
+    assert [m.toDebugString.split("\n", 1)[1] for m in together.models] == [m.toDebugString.split("\n", 1)[1] for m in alone.models]
+    assert training.fits_together(df, 2) == 3 and training.fits_together(df, 1 << 26) == 1
