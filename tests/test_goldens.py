@@ -263,3 +263,13 @@ def test_profiles_share_columns(mails):
 def test_bytes(spark):
     df = spark.createDataFrame([(bytearray(b"a\xff\xc3\xa9"),), (None,)], "b binary")
     assert [r[0] for r in df.select(tx.bytes_to_text("b")).collect()] == ["aé", None]
+
+
+def test_only_keywords_that_occur_are_replaced(spark):
+    terms, texts = ["free", "e f", "%", "über", "it's"], ["free free", "100% über über it's", "", "none", None, "fre e f"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select("t", tx.keyword_occurrences("t", terms).alias("n"))
+    want = {t: None if t is None else sum(t.count(x) for x in terms) for t in texts}
+    assert {r.t: r.n for r in out.collect()} == want
+    plan = out._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("contains(") == plan.count("replace(") == len(terms)
