@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postwarden.llm.common import batch, group_starts, merged, texts
+from postwarden.llm.common import batch, group_starts, kept, merged, texts
 from postwarden.session import materialise
 
 WINDOW, WIDTH, HEADS_OF_THEIR_OWN, SHARED = 32, 24, 224, 32
@@ -65,9 +64,8 @@ class Pieces:
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
 
 
-@lru_cache(2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return kept(Pieces, path)
 
 
 def words_of(text: str) -> list[bytes]:

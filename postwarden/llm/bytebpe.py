@@ -20,13 +20,12 @@ import codecs
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from postwarden.llm.common import Generations, batch, texts
+from postwarden.llm.common import Generations, batch, kept, texts
 
 #: Pieces a worker remembers.
 REMEMBER = 500_000
@@ -143,10 +142,9 @@ class ByteBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(2)
 def loaded(path: str, pattern: str) -> ByteBpe:
     """One encoder per worker process."""
-    return ByteBpe(path, pattern)
+    return kept(ByteBpe, path, pattern)
 
 
 def encoded(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

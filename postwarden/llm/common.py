@@ -40,11 +40,27 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def carried(df: DataFrame, id_col: str, carry: bool) -> Column:
-    """What an operator hands on beside its results: the id, or the whole row as one column, so that no names clash."""
-    if carry:
-        return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    return F.col(id_col).cast("bigint").alias(id_col)
+def carried(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """What an operator hands on beside its results: the id, or the whole row as one column, so that no names clash.
+
+    The text stands beside it, unless the row has it as a string: no text travels twice.
+    """
+    text = F.col(text_col).cast("string").alias("_text")
+    if not carry:
+        return df.select(F.col(id_col).cast("bigint").alias(id_col), text)
+    narrow = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text)
+    return narrow.select("row") if place_of(df, text_col) is not None else narrow
+
+
+def place_of(df: DataFrame, column: str) -> int | None:
+    """The place of a column of strings among the others."""
+    at = [i for i, f in enumerate(df.schema) if f.name.lower() == column.lower() and f.dataType == T.StringType()]
+    return at[0] if len(at) == 1 else None
+
+
+def text_of(b: pa.RecordBatch, place: int | None) -> pa.Array:
+    """The texts of a batch of ``carried`` rows; ``place`` is that of the text in the row."""
+    return b.column(1) if b.num_columns > 1 else b.column(0).field(place)
 
 
 def result_type(narrow: DataFrame, **fields: str | T.DataType) -> T.StructType:
@@ -72,6 +88,25 @@ def take_sample(df: DataFrame, key: str, by: list[str], rows: int) -> DataFrame:
     return df.filter(unit < share)
 
 
+_KEPT: dict = {}
+
+
+def kept(make, *key):
+    """``make(*key)``, which this worker keeps for its later tasks in place of what it kept before.
+
+    The same workers serve all operators of a session in turn, so what each of them remembers would add up.
+    """
+    if (make, key) not in _KEPT:
+        forget()
+        _KEPT[make, key] = make(*key)
+    return _KEPT[make, key]
+
+
+def forget() -> None:
+    """Lets go of what other operators left in this worker."""
+    _KEPT.clear()
+
+
 class Generations:
     """A bounded memory of two halves: when the younger one is full it becomes the older, whose entries live on if they are asked for.
 

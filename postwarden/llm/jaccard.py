@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postwarden.llm.common import batch, group_starts, merged, runs, texts
+from postwarden.llm.common import batch, forget, group_starts, merged, runs, texts
 from postwarden.llm.components import components
 from postwarden.session import materialise
 
@@ -145,6 +145,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
     ])
 
     def run(batches):
+        forget()
         counts = np.zeros(SKETCH, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 512):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwarden.llm.common import carried, result_type, take_sample, texts
+from postwarden.llm.common import carried, forget, kept, place_of, result_type, take_sample, text_of, texts
 
 UNKNOWN = "und"
 MAX_PIECE, MAX_WORD = 10, 32
@@ -206,6 +206,7 @@ handed on whole, as the column ``row``.
     sample = take_sample(known, id_col, [lang_col], rows_per_language)
 
     def count(batches):
+        forget()
         for b in batches:
             pairs = [(lang, w) for lang, t in zip(b.column(1).to_pylist(), texts(b.column(0))) for w in words_of(t)]
             yield pa.RecordBatch.from_arrays(
@@ -222,15 +223,15 @@ handed on whole, as the column ``row``.
     names = sorted(by_lang)
     pieces = Pieces(vocabulary)
     table = np.stack([learn(pieces, by_lang[x], rounds, floor) for x in names], axis=1) if names else None
-    shared = spark.sparkContext.broadcast((names, table))
+    shared, place = spark.sparkContext.broadcast((names, table)), place_of(df, text_col)
 
     def run(batches):
         langs, own = shared.value
-        scorer, letter = langs and Scorer(Pieces(vocabulary), own), letters()
+        scorer, letter = langs and Scorer(kept(Pieces, vocabulary), own), letters()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                many = texts(part.column(1))
+                many = texts(text_of(part, place))
                 fit = [bool(langs) and letter(t) is not None for t in many]
                 lang, score = [UNKNOWN] * len(many), np.zeros(len(many))
                 if any(fit):
@@ -249,5 +250,5 @@ handed on whole, as the column ``row``.
                     names=[part.schema.names[0], "lang_pred", "score"],
                 )
 
-    narrow = df.select(carried(df, id_col, carry), F.col(text_col).cast("string").alias("_text"))
+    narrow = carried(df, id_col, text_col, carry)
     return narrow.mapInArrow(run, result_type(narrow, lang_pred="string", score="double"))

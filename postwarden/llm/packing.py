@@ -15,9 +15,9 @@ A null text is empty: its only id is the end.  Repeated rows are packed each.  A
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwarden.llm.bytebpe import byte_characters
-from postwarden.llm.common import Generations, batch, texts
+from postwarden.llm.common import Generations, batch, kept, texts
 from postwarden.session import materialise
 
 #: Words whose ids a worker remembers.
@@ -43,6 +43,8 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        # A task has one core; threads of the library's own would each hold memory besides.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -91,9 +93,8 @@ class WordIds:
         return out
 
 
-@lru_cache(2)
 def loaded(path: str) -> WordIds:
-    return WordIds(path)
+    return kept(WordIds, path)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postwarden.llm.common import carried, result_type, take_sample, texts
+from postwarden.llm.common import carried, forget, place_of, result_type, take_sample, text_of, texts
 from postwarden.session import materialise
 
 DIMENSIONS = 1 << 18
@@ -168,18 +168,21 @@ def scored(
     shared = df.sparkSession.sparkContext.broadcast(
         learn(docs, labels, id_col, text_col, label_col, rows_per_class, epochs, rate, decay)
     )
+    place = place_of(df, text_col)
+
     def run(batches):
+        forget()
         scorer = Scorer(*shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                many = texts(part.column(1))
+                many = texts(text_of(part, place))
                 columns = [part.column(0), pa.array([min(1.0, max(0.0, scorer.text(t))) for t in many], pa.float64())]
                 if locate is not None:
                     columns.append(pa.array([[x for x, _ in scorer.offending(t, locate)] for t in many], pa.list_(pa.string())))
                 names = [part.schema.names[0], "score", "offending"]
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
-    narrow = df.select(carried(df, id_col, carry), F.col(text_col).cast("string").alias("_text"))
+    narrow = carried(df, id_col, text_col, carry)
     more = {} if locate is None else {"offending": T.ArrayType(T.StringType())}
     return narrow.mapInArrow(run, result_type(narrow, score="double", **more))
