@@ -53,6 +53,8 @@ class WordIds:
         self.letters = Generations(REMEMBER)  # ids of their letters in lower case
         self.marks: dict[str, bytes] = {}
         self.shown = byte_characters()
+        # The bytes of each id; words of one piece share them.
+        self.of = [i.to_bytes(4, "little") for i in range(max(self.library.get_vocab().values(), default=-1) + 1)]
 
     def _learn(self, words: list[bytes]) -> None:
         """Ids of new words.
@@ -63,7 +65,7 @@ class WordIds:
         if not self.marks:
             for mark, e in zip(MARKS, self.library.encode_batch_fast(MARKS, add_special_tokens=False)):
                 self.marks[mark] = np.array(e.ids, "<u4").tobytes()
-        others, spelt, model, shown = [], [], self.library.model, self.shown
+        others, spelt, model, shown, of = [], [], self.library.model, self.shown, self.of
         for word in words:
             text = word.decode()
             found = _LETTERS(text)
@@ -73,12 +75,12 @@ class WordIds:
                 spelt.append((word, found[1].lower(), found[2]))
         for low in self.letters.missing({low for _, low, _ in spelt}):
             name = low if low.isascii() else "".join([shown[b] for b in low.encode()])
-            self.letters.young[low] = np.array([t.id for t in model.tokenize(name)], "<u4").tobytes()
+            self.letters.young[low] = b"".join([of[t.id] for t in model.tokenize(name)])
         known, letters, marks = self.known.young, self.letters.young, self.marks
         for word, low, mark in spelt:
             known[word] = letters[low] + marks[mark] if mark else letters[low]
         for word, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False)):
-            known[word.encode()] = np.array(e.ids, "<u4").tobytes()
+            known[word.encode()] = b"".join([of[i] for i in e.ids])
 
     def __call__(self, many: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
