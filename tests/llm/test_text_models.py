@@ -255,3 +255,44 @@ def test_lm_changes_average_by_weight():
         if k == "E":
             want[3] = 0
         assert np.allclose(v - start.p[k], want, atol=1e-4)
+
+
+def test_lm_texts_are_cut_once(docs, monkeypatch):
+    from postwarden.llm.common import remainder
+
+    calls, real = [], attention_lm.numbered
+    monkeypatch.setattr(attention_lm, "numbered", lambda *a: calls.append(real(*a)) or calls[-1])
+    few = docs.filter("doc_id < 30 or doc_id between 200 and 209")
+    path = P.path("piece_bpe_32k.model")
+    assert attention_lm.scored(few, remainder("doc_id", 5) == 1, path, steps=2).count() == few.count()
+    assert len(calls) == 1  # counting, training and scoring read the same numbers
+    own, rows = attention_lm.Pieces(path), calls[0].filter("key is null and part is null").collect()
+    texts = {r.doc_id: r.text for r in few.collect() if r.doc_id != 0}
+    assert len(rows) == few.count()
+    for r in rows:
+        if r.id in texts:
+            words = attention_lm.words_of(texts[r.id] or "")
+            own.learn(words)
+            assert np.frombuffer(r.pieces, np.uint16).tolist() == [attention_lm.BEGIN, *own(words), attention_lm.END]
+            assert len(attention_lm.from_planes(r.words)) == len(words)
+            assert (r.slice is not None) == (zlib.crc32(str(r.id).encode()) % 5 != 1 and texts[r.id] is not None)
+
+
+def test_lm_cut_gives_words_of():
+    import pyarrow as pa
+
+    odd = ["", " ", None, "  a b\x0bc\x0c d\x1c\x85\xa0 e\n", "A\tÀB b", "x\x00y  \r\n", "日本 語 a"]
+    size, words, index = attention_lm.cut(pa.array(odd, pa.string()))
+    ends = np.append(0, np.cumsum(size))
+    got = [[words[i] for i in index[x:y]] for x, y in zip(ends[:-1], ends[1:])]
+    assert got == [attention_lm.words_of(t or "") for t in odd]
+
+
+def test_lm_weights_of_any_size():
+    seen = np.tri(3, dtype=np.float32)
+    for by in (1, 100, 1000, -1000):
+        logits = (np.arange(9).reshape(1, 3, 3) * by).astype(np.float32)
+        z, total = attention_lm.weights(lambda logits=logits: logits.copy(), seen)
+        kept = np.where(seen > 0, logits.astype(float), -np.inf)
+        exact = np.exp2(kept - kept.max(axis=-1, keepdims=True))
+        assert np.allclose(z / total, exact / exact.sum(-1, keepdims=True), atol=1e-6)
