@@ -673,7 +673,7 @@ def _mail_folders(spark, d):
     return path
 
 
-#: The streams over the folders take at least so many files a batch, and so many batches at most.
+#: The streams over the folders take about so many files a batch at least, and so many batches at most.
 FILES_PER_BATCH, BATCHES = 200, 4
 
 
@@ -681,7 +681,7 @@ def _mail_stream(spark, d):
     """The folders as a stream of several batches, whose number does not grow with the mails: each has a price of its own."""
     files = _labelled(spark, d).count()
     return mail_files.read_mail_dirs(
-        spark, _mail_folders(spark, d), stream=True, files_per_batch=max(FILES_PER_BATCH, -(-files // BATCHES))
+        spark, _mail_folders(spark, d), stream=True, files_per_batch=max(FILES_PER_BATCH, -(-files // BATCHES)), by_folder=True
     )
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 import email
 import email.policy
 import itertools
+import json
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +27,16 @@ PARSED = (
 
 
 def read_mail_files(
-    spark: SparkSession, folder: str, stream: bool = False, files_per_batch: int | None = None
+    spark: SparkSession, folder: str, stream: bool = False, files_per_batch: int | None = None, by_folder: bool = False
 ) -> DataFrame:
-    """(path, content) of every file below ``folder``; with ``stream`` as a file stream."""
+    """(path, content) of every file below ``folder``; with ``stream`` as a file stream.
+
+    A stream ``by_folder`` takes the folders that ``write_mail_dirs`` has listed, each as a whole and once: the driver knows
+    folders only, where a file stream keeps every file's name.  Without a list it is a file stream.
+    """
+    base = _local_path(spark, folder) if stream and by_folder else None
+    if base and os.path.isdir(base + LISTED):
+        return _folder_stream(spark, folder, base, files_per_batch)
     reader = spark.readStream.schema(BINARY_FILE) if stream else spark.read
     if stream and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -38,29 +48,81 @@ def read_mail_files(
 
 #: Folders between the root and the folders of the mails, so that no listing or commit holds all of them at once.
 BUCKETS = 256
+#: What the folder with a small file for each of these folders adds to the root's name.
+LISTED = "-listed"
+#: Bytes and files that a task of a folder stream holds at once.
+READ_BYTES, READ_FILES = 4 << 20, 1000
+
+
+def _local_path(spark: SparkSession, root: str) -> str | None:
+    """The path of a folder on a local file system; None on any other."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    scheme = place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    return place.toUri().getPath() if scheme == "file" else None
+
+
+def _folder_stream(spark: SparkSession, root: str, base: str, files_per_batch: int | None) -> DataFrame:
+    """(path, content) of the files in the listed folders below ``base``, which the tasks list and read a few MB at a time."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    prefix = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    listed, schema = prefix + LISTED, "folder string, files bigint"
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        known = spark.read.schema(schema).json(listed).agg(F.count("folder").alias("folders"), F.sum("files").alias("files")).first()
+        share = -(-known["folders"] * files_per_batch // max(1, known["files"] or 0))
+        reader = reader.option("maxFilesPerTrigger", max(1, share))
+
+    def below(folder: str) -> Iterator[str]:
+        """The files that Spark's readers would take: none that is hidden or empty."""
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                hidden = entry.name[0] == "." or (entry.name[0] == "_" and "=" not in entry.name)
+                if hidden or entry.name.endswith("._COPYING_"):
+                    continue
+                if entry.is_dir():
+                    yield from below(entry.path)
+                elif entry.stat().st_size:
+                    yield entry.path
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(paths, contents):
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+        paths, contents, size = [], [], 0
+        for folder in (name for batch in batches for name in batch.column(0).to_pylist()):
+            for path in below(os.path.join(base, folder)):
+                with open(path, "rb") as file:
+                    contents.append(file.read())
+                paths.append(prefix + path[len(base):])
+                size += len(contents[-1])
+                if size >= READ_BYTES or len(paths) >= READ_FILES:
+                    yield rows(paths, contents)
+                    paths, contents, size = [], [], 0
+        yield rows(paths, contents)
+
+    return reader.json(listed).select("folder").mapInArrow(read, "path string, content binary")
 
 
 def write_mail_dirs(mails: DataFrame, root: str) -> None:
     """Writes each ``value`` and a line feed as a file, in a folder that is named by ``box``, below one of a few hundred folders.
 
     Values of one box that meet in a task share a file.  On a local file system the tasks write the files themselves: Hadoop starts
-    a process for the mode of every file there.  Other file systems get them from Spark's writer.
+    a process for the mode of every file there.  Other file systems get them from Spark's writer.  Once all files are there, the
+    few hundred folders are listed for streams, with their numbers of files; what comes later to a listed folder is not.
     """
-    spark = mails.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.getUri().getScheme() != "file":
+    base = _local_path(mails.sparkSession, root)
+    if base is None:
         bucket = F.pmod(F.crc32("box"), F.lit(BUCKETS)).alias("bucket")
         mails.select("box", "value", bucket).write.partitionBy("bucket", "box").text(root)
         return
-    base = place.toUri().getPath()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, n = TaskContext.get(), 0
+        task, n = TaskContext.get(), Counter()
         name = f"part-{task.partitionId():05d}.txt"
         rows = (row for batch in batches for row in zip(batch["box"], batch["value"]))
         for box, group in itertools.groupby(rows, key=lambda row: row[0]):
-            folder = os.path.join(base, f"bucket={zlib.crc32(box.encode()) % BUCKETS}", f"box={box}")
+            bucket = f"bucket={zlib.crc32(box.encode()) % BUCKETS}"
+            folder = os.path.join(base, bucket, f"box={box}")
             os.makedirs(folder, exist_ok=True)
             # A file appears whole, so that a task that runs twice does no harm.
             part = os.path.join(folder, f".{name}-{task.taskAttemptId()}")
@@ -68,12 +130,19 @@ def write_mail_dirs(mails: DataFrame, root: str) -> None:
                 for _, value in group:
                     out.write((value or "").encode() + b"\n")
             os.replace(part, os.path.join(folder, name))
-            n += 1
-        yield pd.DataFrame({"files": [n]})
+            n[bucket] += 1
+        yield pd.DataFrame({"folder": list(n), "files": list(n.values())}).astype({"folder": str, "files": "int64"})
 
     named = mails.select(F.coalesce("box", F.lit("unnamed")).alias("box"), "value")
     os.makedirs(base, exist_ok=True)
-    named.sortWithinPartitions("box").mapInPandas(write, "files bigint").agg(F.sum("files")).first()
+    written = named.sortWithinPartitions("box").mapInPandas(write, "folder string, files bigint")
+    folders = written.groupBy("folder").agg(F.sum("files").alias("files")).collect()
+    os.makedirs(base + LISTED, exist_ok=True)
+    for row in folders:
+        part = os.path.join(base + LISTED, f".{row['folder']}")
+        with open(part, "w") as out:
+            json.dump(row.asDict(), out)
+        os.replace(part, os.path.join(base + LISTED, f"{row['folder']}.json"))
 
 
 def file_name(path="path"):
@@ -81,13 +150,14 @@ def file_name(path="path"):
 
 
 def read_mail_dirs(
-    spark: SparkSession, root: str, source: str = "spamassassin", stream: bool = False, files_per_batch: int | None = None
+    spark: SparkSession, root: str, source: str = "spamassassin", stream: bool = False, files_per_batch: int | None = None,
+    by_folder: bool = False,
 ) -> DataFrame:
     """Files labelled by their folder's name: ham if it contains ``ham``, else spam if ``spam``."""
     folder = F.lower(F.element_at(F.split("path", "/"), -2))
     label = F.when(folder.contains("ham"), "ham").when(folder.contains("spam"), "spam")
     return (
-        read_mail_files(spark, root, stream, files_per_batch).withColumn("label", label)
+        read_mail_files(spark, root, stream, files_per_batch, by_folder).withColumn("label", label)
         .filter(F.col("label").isNotNull()).withColumn("source", F.lit(source))
     )
 

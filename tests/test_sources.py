@@ -164,6 +164,29 @@ def test_mail_dirs_are_written_whole_and_nested(spark, tmp_path):
     assert files.filter("label = 'spam'").count() == 2 and not [f for _, _, n in os.walk(root) for f in n if f[0] == "."]
 
 
+def test_streams_over_mail_folders_keep_folders_not_files(spark, tmp_path):
+    """What the stream's source keeps on the driver is a few hundred folders, whatever the number of mails; rows are those of a scan."""
+    import json
+
+    from postwarden.streaming import jobs
+
+    root, home = str(tmp_path / "dirs"), str(tmp_path / "home")
+    rows = [(f"{'ham' if i % 3 else 'spam'}-{i}", None if i % 7 == 0 else f"text é {i % 50}\n") for i in range(900)]
+    mail_files.write_mail_dirs(spark.createDataFrame(rows + [(None, "lost")], "box string, value string").repartition(3), root)
+    (tmp_path / "dirs/bucket=0/box=ham-0").mkdir(parents=True, exist_ok=True)
+    (tmp_path / "dirs/bucket=0/box=ham-0/.hidden").write_text("no")
+    (tmp_path / "dirs/bucket=0/box=ham-0/empty.txt").write_text("")
+    stream = mail_files.read_mail_dirs(spark, root, stream=True, files_per_batch=300, by_folder=True)
+    jobs.drain(jobs.append_job(stream, home))
+    got = spark.read.parquet(f"{home}/rows")
+    want = mail_files.read_mail_dirs(spark, "file://" + root).select("path", "content", "label", "source")
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and got.count() == 900
+    batches = list((tmp_path / "home/checkpoint/sources/0").glob("[0-9]*"))
+    kept = [json.loads(line)["path"] for b in batches for line in b.read_text().splitlines()[1:]]
+    assert 3 <= len(batches) <= 4 and len(set(kept)) == len(kept) <= mail_files.BUCKETS
+    assert mail_files.read_mail_files(spark, root, stream=True).columns == ["path", "content"]
+
+
 def test_streams_over_mail_folders_have_a_bounded_number_of_batches(spark, data, monkeypatch):
     """However many files there are, a stream takes them in at most ``BATCHES`` batches."""
     from postwarden.plans import catalog
