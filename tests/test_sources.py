@@ -198,3 +198,23 @@ def test_streams_over_mail_folders_have_a_bounded_number_of_batches(spark, data,
     assert catalog._mail_stream(spark, data).isStreaming
     n = catalog._labelled(spark, data).count()
     assert n > 20 * catalog.BATCHES and n <= seen[0] * catalog.BATCHES < n + catalog.BATCHES
+
+
+def test_texts_of_a_stream_come_once_and_keep_folders_only(spark, tmp_path, monkeypatch):
+    """Repeated texts over all batches come once, and the source's log has folders, fewer than there are mails."""
+    import hashlib
+    import json
+
+    from postwarden.plans import catalog
+
+    docs = [(i, f"text {i % 90}" if i % 4 else None, "src", "en") for i in range(700)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, int(i % 5 == 0), i % 3 % 2) for i in range(600)], "doc_id bigint, toxic int, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(catalog.jobs, "new_home", lambda spark, purpose: str(tmp_path / "home"))
+    got = [r.content_md5 for r in catalog.stream_mail_texts(spark, str(tmp_path)).collect()]
+    want = {hashlib.md5(f"{text or ''}\n".encode()).hexdigest() for i, text, *_ in docs if i < 600}
+    assert sorted(got) == sorted(want)
+    batches = list((tmp_path / "home/checkpoint/sources/0").glob("[0-9]*"))
+    kept = [json.loads(line)["path"] for b in batches for line in b.read_text().splitlines()[1:]]
+    assert 1 < len(batches) <= catalog.BATCHES and 0 < len(set(kept)) == len(kept) <= mail_files.BUCKETS
