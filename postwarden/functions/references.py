@@ -29,15 +29,15 @@ def _closed_names() -> str:
     return json.dumps(by_first)
 
 
-def _windows_characters() -> str:
-    """JSON of the characters of 128 to 159 in the Windows code page; the undefined ones stand for themselves."""
+def _windows_characters() -> list[str]:
+    """The characters of 128 to 159 in the Windows code page; the undefined ones stand for themselves."""
     texts = []
     for n in range(128, 160):
         try:
             texts.append(bytes([n]).decode("cp1252"))
         except UnicodeDecodeError:
             texts.append(chr(n))
-    return json.dumps(texts)
+    return texts
 
 
 _OPEN = {name: text for name, text in html5.items() if not name.endswith(";")}
@@ -61,7 +61,7 @@ def _character(code: Column) -> Column:
         code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
         | (code % 0x10000 >= 0xFFFE)
     )
-    windows = F.from_json(F.lit(_windows_characters()), "array<string>")
+    windows = F.array(*[F.lit(c) for c in _windows_characters()])
     return (
         F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code >= BEYOND), REPLACEMENT)
         .when(code.between(128, 159), F.get(windows, code - 128))

@@ -25,6 +25,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def cached_tables(spark):
+    """Tables that a module caches go with it, so that no plan of another one reads them."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def data():
     return DATA
